@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality_rules, secrets, url_filter
+from . import decontaminate, near_dup, pii, quality_rules, secrets, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -103,3 +103,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(k) for k in secrets.BASE_KINDS],
         F.sha2(secrets.spans_string(F.col("base")), 256).alias("base_sha256"), secrets.spans_string(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
