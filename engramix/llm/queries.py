@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, pii, quality_rules, secrets, url_filter
+from . import decontaminate, folds, language_id, near_dup, pii, quality_rules, secrets, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -108,3 +108,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(folds.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language_id.fit(docs.filter(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
