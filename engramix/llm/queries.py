@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, folds, language_id, near_dup, pii, quality_rules, secrets, url_filter
+from . import decontaminate, folds, language_id, near_dup, pii, quality_rules, secrets, sentencepiece_scan, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -117,3 +117,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.filter(~held_out))
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    encoded = sentencepiece_scan.encode(docs).drop("text")
+    counted = encoded.select("doc_id", "text_hash", F.size("piece_ids").cast("bigint").alias("n_pieces"), sentencepiece_scan.ids_digest(F.col("piece_ids")).alias("ids_hash"), "piece_ids")
+    return sentencepiece_scan.decode(counted).select(
+        "doc_id", "n_pieces", "ids_hash", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip")
+    )
