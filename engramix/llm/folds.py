@@ -28,8 +28,8 @@ def balanced_ids(labelled: DataFrame, label: str, per_label: int, id_col: str =
     )
 
 
-def sample_texts(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, object]]:
-    """(text, label) of the sampled ids, in a fixed order. ``ids`` is bounded, so it is broadcast."""
+def sample_texts(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[object, str, object]]:
+    """(id, text, label) of the sampled ids, in a fixed order. ``ids`` is bounded, so it is broadcast."""
     rows = (
         docs.select(F.col(id_col).alias("s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("s_text"))
         .join(F.broadcast(ids), "s_id")
@@ -37,4 +37,4 @@ def sample_texts(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_c
         .collect()
     )
     rows.sort(key=lambda r: (r.s_id, r.s_text, str(r.label)))
-    return [(r.s_text, r.label) for r in rows]
+    return [(r.s_id, r.s_text, r.label) for r in rows]

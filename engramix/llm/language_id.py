@@ -160,7 +160,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
     named = labelled.filter(F.col(lang_col).isNotNull())
     frequent = named.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).select(lang_col)
     ids = balanced_ids(named.select(id_col, lang_col).join(F.broadcast(frequent), lang_col), lang_col, per_label, id_col)
-    return train(sample_texts(labelled, ids, id_col, text_col))
+    return train([row[1:] for row in sample_texts(labelled, ids, id_col, text_col)])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

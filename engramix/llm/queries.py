@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, folds, language_id, near_dup, pii, quality_rules, secrets, sentencepiece_scan, url_filter
+from . import decontaminate, folds, language_id, near_dup, pii, quality_model, quality_rules, secrets, sentencepiece_scan, toxicity, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -127,3 +127,23 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.decode(counted).select(
         "doc_id", "n_pieces", "ids_hash", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip")
     )
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = F.coalesce(folds.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = toxicity.fit(docs, labels.filter(~held_out), "toxic")
+    return toxicity.score_texts(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "evidence"
+    )
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = F.coalesce(folds.fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = quality_model.fit(docs, labels.filter(~held_out), "quality")
+    return quality_model.score_texts(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
