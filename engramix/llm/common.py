@@ -58,6 +58,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many rows (an id and a hash each) a list of row keys is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def keyed_rows(docs: DataFrame, keys: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` semi- or anti-joined (``how``) with ``keys`` (id, key): the id, null-safe, and the
+    64-bit hash of the text. The keys are broadcast only after they are counted."""
+    keys = keys.select(F.col("id").alias("__k_id"), F.col("key").alias("__k_key"))
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, docs[id_col].eqNullSafe(F.col("__k_id")) & (F.xxhash64(docs[text_col]) == F.col("__k_key")), how)
+
+
 def prefix_sums(values: Column, block: int = 512) -> Column:
     """``[v0, v0+v1, ...]`` of an array of longs, in blocks so that long arrays
     don't cost the square of their length."""

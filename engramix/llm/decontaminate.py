@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import let, lower_ascii, materialize
+from .common import keyed_rows, let, lower_ascii, materialize
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,13 +79,12 @@ def postings(words: DataFrame, terms: DataFrame) -> DataFrame:
     return words.select("id", "key", F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi")
 
 
-def phrase_hits(
+def rows_with_hits(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """One row per row of ``docs``: id, n_words, n_hit, and the sorted ids (as strings) of the items with hits.
+    """id, key (hash of the text), n_hit and items (sorted ids as strings) of the rows with hits.
 
-    The word counts are taken with the postings; only rows with an alignment are
-    split into words again for the exact comparison.
+    Only rows with an alignment are split into words again for the exact comparison.
     """
     corpus = corpus_words(docs, id_col, text_col)
     windows = materialize(item_windows(items, item_id, item_text, window))
@@ -111,7 +110,7 @@ def phrase_hits(
         .groupBy("id", "key")
         .agg(F.collect_list(F.struct("item_id", "shift", "item_words", "windows")).alias("alignments"))
     )
-    found = (
+    return (
         docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
         .join(candidates.withColumnsRenamed({"id": "c_id", "key": "c_key"}), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")))
         .select("id", "key", let(phrase_words(F.col("text")), lambda w: _confirmed(w, F.col("alignments"))).alias("hits"))
@@ -119,6 +118,13 @@ def phrase_hits(
         .filter(F.size("items") > 0)
         .dropDuplicates(["id", "key"])
     )
+
+
+def phrase_hits(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """One row per row of ``docs``: id, n_words, n_hit, and the sorted ids (as strings) of the items with hits."""
+    found = rows_with_hits(docs, items, id_col, text_col, item_id, item_text, window)
     out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.size(phrase_words(F.col(text_col))).cast("bigint").alias("n_words"))
     return out.join(
         found.withColumnsRenamed({"id": "f_id", "key": "f_key"}), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), "left"
@@ -130,6 +136,15 @@ def phrase_hits(
     )
 
 
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """``docs`` without the rows that hold a window of an item."""
+    found = materialize(rows_with_hits(docs, items, id_col, text_col, item_id, item_text, window).select("id", "key"))
+    return keyed_rows(docs, found, "left_anti", id_col, text_col)
+
+
 def _confirmed(words: Column, alignments: Column) -> Column:
     """struct<n_hit, items>: the alignments' windows compared word by word."""
 

@@ -163,9 +163,10 @@ def fit(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
     return train([row[1:] for row in sample_texts(labelled, ids, id_col, text_col)])
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` appended to its columns, which
-    must not have columns of these names."""
+def identify(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score"
+) -> DataFrame:
+    """``docs`` with ``pred_col`` and ``score_col`` appended; they must not have columns of these names."""
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     place = docs.columns.index(text_col)
 
@@ -174,7 +175,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             found = [model.predict(value.as_py()) for value in batch.column(place)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "lang_score"],
+                [*batch.schema.names, pred_col, score_col],
             )
 
-    return docs.mapInArrow(run, ", ".join([*columns, "lang_pred string", "lang_score double"]))
+    return docs.mapInArrow(run, ", ".join([*columns, f"`{pred_col}` string", f"`{score_col}` double"]))

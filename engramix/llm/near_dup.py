@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, let, lower_ascii, materialize
+from .common import BROADCAST_ROWS, blank_words, keyed_rows, let, lower_ascii, materialize
 
 UNIVERSE_BITS = 22
 UNIVERSE = 1 << UNIVERSE_BITS
@@ -45,8 +45,6 @@ SEED = 20_240_501
 WORD_CACHE = 200_000
 #: Shingles whose windows are reduced at once.
 BLOCK = 4096
-#: Up to so many rows (16 bytes each) a list of wanted rows is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 500_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SIGNED = "rid bigint, doc_id {id}, text_hash bigint, class string, n_shingles bigint, bands array<bigint>"
 
@@ -246,9 +244,8 @@ def link_buckets(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent:
         pivots = min(pivots * 4, 64)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable
-    by links, itself included), kept (whether the id is the component's)."""
+def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and class, root, min_id of the classes of rows with words."""
     rows = materialize(sign(docs, id_col, text_col, shingle_words))
     classes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("min_id"))
     reps = rows.join(classes.select("rid"), "rid")
@@ -261,14 +258,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = materialize(full_sets(docs, wanted, id_col, text_col, shingle_words))
         roots = link_buckets(members, wanted.select("rid", "n_shingles"), sets, percent)
     if roots is None:
-        named = classes.select("class", F.col("min_id").alias("component_id"))
-    else:
-        placed = classes.join(roots, "rid", "left").select("class", F.coalesce("root", "rid").alias("root"), "min_id")
-        lowest = placed.groupBy("root").agg(F.min("min_id").alias("component_id"))
-        named = placed.join(lowest, "root").select("class", "component_id")
+        return rows, classes.select("class", F.col("rid").alias("root"), "min_id")
+    return rows, classes.join(roots, "rid", "left").select("class", F.coalesce("root", "rid").alias("root"), "min_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable
+    by links, itself included), kept (whether the id is the component's)."""
+    rows, placed = classes_and_roots(docs, id_col, text_col, shingle_words, percent)
+    lowest = placed.groupBy("root").agg(F.min("min_id").alias("component_id"))
+    named = placed.join(lowest, "root").select("class", "component_id")
     return rows.select("doc_id", "n_shingles", "class").join(named, "class", "left").select(
         F.col("doc_id").alias(id_col),
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id. Rows without words stay.
+
+    Rows that repeat id and text are told apart by nothing but their place, so
+    where a kept row has such repeats, one of them stays.
+    """
+    rows, placed = classes_and_roots(docs, id_col, text_col, shingle_words, percent)
+    named = rows.filter(F.col("class").isNotNull()).select("rid", F.col("doc_id").alias("id"), F.col("text_hash").alias("key"), "class")
+    named = materialize(named.join(placed.select("class", "root"), "class").drop("class"))
+    keepers = named.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("k")).select(F.col("k.rid").alias("rid"))
+    kept = named.join(keepers, "rid", "left_semi").select("id", "key")
+    dropped = materialize(named.join(keepers, "rid", "left_anti").select("id", "key").distinct())
+    k = kept.select(F.col("id").alias("i"), F.col("key").alias("h"))
+    repeats = materialize(dropped.join(k, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("h")), "left_semi"))
+    out = keyed_rows(docs, dropped, "left_anti", id_col, text_col)
+    if repeats.isEmpty():
+        return out
+    return out.unionAll(keyed_rows(docs, repeats, "left_semi", id_col, text_col).dropDuplicates([id_col, text_col]))

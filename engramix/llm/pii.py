@@ -217,20 +217,16 @@ def span_score(weights: list[float], kind: Column, votes: Column) -> Column:
     return 1 / (1 + F.exp(-(total + by_kind[kind])))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: the id, the columns in ``keep`` and ``spans``
-    (``array<struct<kind, s, e, score, base>>``, by kind, then start).
+def fit_span_classifier(candidates: DataFrame) -> list[float]:
+    """Weights of the span classifier from ``candidates`` (candidates: array of spans)."""
+    counts = count_votes(candidates)
+    return train_span_classifier(counts, fit_reliabilities(counts))
 
-    The candidates are written once (without the texts, unless ``keep`` names
-    them), then read for the vote counts and again for the scores.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*dict.fromkeys([id_col, *(keep or [])]), candidate_spans(text).alias("__candidates"))
-    rows = materialize(rows)
-    counts = count_votes(rows.select(F.col("__candidates").alias("candidates")))
-    weights = train_span_classifier(counts, fit_reliabilities(counts))
+
+def chosen_spans(candidates: Column, weights: list[float]) -> Column:
+    """``array<struct<kind, s, e, score, base>>`` of the spans that stay, by kind, then start."""
     scored = F.transform(
-        F.col("__candidates"),
+        candidates,
         lambda c: F.struct(
             c["kind"].alias("kind"),
             c["s"].alias("s"),
@@ -239,14 +235,44 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
             c["kind"].isin(BASE_KINDS).alias("base"),
         ),
     )
-    base = F.filter(scored, lambda c: c["base"])
-    apart = lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    kept = F.filter(scored, lambda c: c["base"] | ((c["score"] >= THRESHOLD) & apart(c)))
     order = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(i)) for i, k in enumerate(KINDS)))
-    ordered = F.transform(
-        F.sort_array(F.transform(kept, lambda c: F.struct(order[c["kind"]], c["s"], c["e"], c.alias("c")))), lambda o: o["c"]
-    )
-    return rows.select(*[c for c in rows.columns if c != "__candidates"], ordered.alias("spans"))
+
+    def kept(spans: Column) -> Column:
+        return let(
+            F.filter(spans, lambda c: c["base"]),
+            lambda base: F.filter(
+                spans, lambda c: c["base"] | ((c["score"] >= THRESHOLD) & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+            ),
+        )
+
+    ranked = F.transform(let(scored, kept), lambda c: F.struct(order[c["kind"]].alias("k"), c["s"].alias("s"), c["e"].alias("e"), c.alias("c")))
+    return F.transform(F.sort_array(ranked), lambda o: o["c"])
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the id and ``spans`` (``array<struct<kind, s, e, score,
+    base>>``, by kind, then start).
+
+    The candidates are written once, without the texts, then read for the vote
+    counts and again for the scores.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = materialize(docs.select(F.col(id_col).alias(id_col), candidate_spans(text).alias("candidates")))
+    weights = fit_span_classifier(rows)
+    return rows.select(id_col, chosen_spans(F.col("candidates"), weights).alias("spans"))
+
+
+def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with the spans of ``text_col`` redacted; null texts stay null.
+
+    The classifier is fitted on the candidates of all rows, which are found a
+    second time where the texts are rewritten, so that no text is written or shuffled.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(candidate_spans(text).alias("candidates")).filter(F.size("candidates") > 0)
+    weights = fit_span_classifier(materialize(found))
+    spans = let(candidate_spans(text), lambda c: chosen_spans(c, weights))
+    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), let(spans, lambda s: F.when(F.size(s) == 0, F.col(text_col)).otherwise(redact(F.col(text_col), s)))))
 
 
 def spans_string(spans: Column) -> Column:
