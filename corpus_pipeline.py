@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramix.llm import decontaminate, language_id, near_dup, pii, sentencepiece_scan
-from engramix.llm.common import materialize, read_table
+from engramix.llm.common import materialize, read_table, ship_package
 
 #: Below this probability a language counts as undetermined.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     model = language_id.fit(docs)
     found = language_id.identify(docs, model, pred_col="__lang", score_col="__score")
     sure = (F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)
@@ -34,6 +35,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return near_dup.drop_near_duplicates(docs, shingle_words=5, percent=80)
 
 
@@ -47,6 +49,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     encoded = sentencepiece_scan.encode(docs, ids_col="__ids").withColumn("piece_ids", F.col("__ids"))
     decoded = sentencepiece_scan.decode(encoded, ids_col="__ids", text_col="__decoded")
     return decoded.select(*docs.columns, "piece_ids", F.col("__decoded").eqNullSafe(F.col("text")).alias("decodes"))
