@@ -9,11 +9,11 @@
    minimum over the windows.
 3. Signatures are cut into ``BANDS`` bands of ``ROWS`` rows. A pair with similarity 0.8
    misses all bands with a probability of 3e-6.
-4. Buckets are searched by rounds of pivots rather than by all pairs: every member of a
-   bucket is compared with the bucket's pivot on the full sets; pivots leave; links are
-   contracted to components; a bucket whose remaining members are in one component is
-   done. The number of pivots grows fourfold by the round, up to 64, and rounds go on until in
-   each bucket every pair is compared or already connected. Nothing is capped.
+4. Buckets are searched without all their pairs. Every member is compared with its
+   bucket's pivot (the row that shares most buckets) on the full sets, and links
+   are contracted to components. A bucket whose other members are in one component is
+   done. What is left open goes through a prefix filter with positions, which is exact:
+   all pairs of different components that may link are compared. Nothing is capped.
 5. Components by label propagation with pointer jumping over the contracted links.
 
 Rows are numbered once and joined by that number, so repeated or null ids are
@@ -194,54 +194,75 @@ def connected_components(links: DataFrame) -> DataFrame:
             return labels.select("node", "root")
 
 
-def link_buckets(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """rid, root of all rows that link with another; ``members`` is (bucket, rid)."""
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows of different components among which are all that may link in a bucket.
+
+    Prefix filter: a link needs an intersection of ``percent / (100 + percent)`` of both
+    sizes, and a partner is no smaller than its bucket's smallest row, nor than ``percent``
+    of the row itself. With the shingles of all rows in one order, rarest first, two
+    rows that link share one among the first ``n - needed + 1`` of each. Rows of the largest
+    component that holds a shingle are looked up, never looked from, so the
+    rows of a large group don't meet each other.
+    """
+    span = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least")).filter(F.col("lo") < F.col("hi"))
+    rows = members.join(span.select("bucket", "least"), "bucket").groupBy("rid", "root", "n").agg(F.min("least").alias("least"))
+    sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    rows = materialize(rows.join(sizes, "root"))
+    each = sets.join(rows.select("rid"), "rid", "left_semi").select("rid", F.explode("shingles").alias("x"))
+    counts = each.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    ordered = each.join(counts, "x").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
+    partner = F.greatest(F.col("least"), F.expr(f"({percent} * n + 99) div 100"))
+    needed = F.floor((percent * (F.col("n") + partner) + 99 + percent) / (100 + percent)).cast("int")
+    first = F.slice("xs", F.lit(1), F.greatest(F.col("n").cast("int") - needed + 1, F.lit(0)))
+    placed = F.transform(first, lambda e, i: F.struct(e["c"].alias("c"), e["x"].alias("x"), (F.col("n") - i).alias("rest")))
+    rare = F.filter(placed, lambda e: e["c"] > 1)
+    postings = materialize(
+        ordered.join(rows, "rid").select("rid", "n", F.struct("size", "root").alias("part"), F.explode(rare).alias("e")).select("rid", "n", "part", "e.x", "e.rest")
+    )
+    largest = postings.groupBy("x").agg(F.max("part").alias("top"), F.min("part").alias("low")).filter(F.col("low") < F.col("top")).select("x", "top")
+    open_at = postings.join(largest, "x")
+    seekers = open_at.filter(F.col("part") < F.col("top")).select("x", F.col("rid").alias("y"), F.col("n").alias("yn"), F.col("part").alias("yp"), F.col("rest").alias("yr"))
+    # The first shingle that two rows share leaves both enough places for the rest of the intersection.
+    fits = (100 + percent) * F.least("rest", "yr") >= percent * (F.col("n") + F.col("yn"))
+    met = open_at.join(seekers, "x").filter(
+        (F.col("yp") < F.col("part")) & fits & (100 * F.least("n", "yn") >= percent * F.greatest("n", "yn"))
+    )
+    return met.select(F.least("rid", "y").alias("a"), F.greatest("rid", "y").alias("b")).distinct()
+
+
+def merge_roots(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components (rid, root) with new links, and what became of the old roots (root, new)."""
+    if roots is None:
+        found = connected_components(links)
+        return found.select(F.col("node").alias("rid"), "root"), found.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    old = roots.select(F.col("rid").alias("x"), F.col("root").alias("xr"))
+    named = links.join(old, F.col("a") == F.col("x"), "left").select(F.coalesce("xr", "a").alias("a"), "b")
+    named = named.join(old, F.col("b") == F.col("x"), "left").select("a", F.coalesce("xr", "b").alias("b"))
+    found = connected_components(named)
+    rename = found.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    moved = roots.join(rename, "root", "left").select("rid", F.coalesce("new", "root").alias("root"))
+    fresh = found.join(roots.select("rid"), F.col("node") == F.col("rid"), "left_anti").select(F.col("node").alias("rid"), "root")
+    return materialize(moved.unionAll(fresh)), rename
+
+
+def link_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """rid, root of all rows that link with another; ``members`` is (bucket, rid, n, near),
+    with the size of the row's set and how many rows its buckets hold."""
+    members = materialize(members)
+    # The row with the fullest buckets lies nearest to the middle of its group.
+    best = F.max(F.struct("near", F.xxhash64("rid").alias("h"), "rid", "n")).alias("p")
+    candidates = materialize(members.join(members.groupBy("bucket").agg(best), "bucket"))
+    # The smaller set can't hold more than the intersection needs.
+    sized = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+    pairs = candidates.filter((F.col("rid") != F.col("p.rid")) & sized).select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
+    links = materialize(verify(pairs.distinct(), sets, percent))
+    members = candidates.filter(F.col("rid") != F.col("p.rid")).select("bucket", "rid", F.col("rid").alias("root"), "n")
     roots: DataFrame | None = None
-    pivots, seed = 1, 0
-    members = members.select("bucket", "rid", F.col("rid").alias("root"))
-    while True:
-        members = materialize(members)
-        best = [F.min(F.struct(F.xxhash64("rid", F.lit(seed + i)).alias("h"), "rid", "root")) for i in range(pivots)]
-        active = (
-            members.groupBy("bucket")
-            .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.array(*best).alias("best"))
-            .filter(F.col("lo") < F.col("hi"))
-            .select("bucket", F.transform("best", lambda b: F.struct(b["rid"].alias("rid"), b["root"].alias("root"))).alias("pivots"))
-        )
-        active = materialize(active)
-        if active.isEmpty():
-            return roots
-        candidates = members.join(active, "bucket")
-        pairs = (
-            candidates.select("rid", "root", F.explode(F.array_distinct("pivots")).alias("p"))
-            .filter(F.col("root") != F.col("p.root"))
-            .select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b"))
-            .distinct()
-        )
-        # The smaller set can't hold more than the intersection needs.
-        pairs = pairs.join(sizes.select(F.col("rid").alias("a"), F.col("n_shingles").alias("na")), "a").join(
-            sizes.select(F.col("rid").alias("b"), F.col("n_shingles").alias("nb")), "b"
-        ).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-        links = materialize(verify(pairs, sets, percent))
-        rest = candidates.filter(~F.exists("pivots", lambda p: p["rid"] == F.col("rid"))).select("bucket", "rid", "root")
-        if not links.isEmpty():
-            named = links
-            if roots is not None:
-                old = roots.select(F.col("rid").alias("x"), F.col("root").alias("xr"))
-                named = links.join(old, F.col("a") == F.col("x"), "left").select(F.coalesce("xr", "a").alias("a"), "b")
-                named = named.join(old, F.col("b") == F.col("x"), "left").select("a", F.coalesce("xr", "b").alias("b"))
-            found = connected_components(named)
-            rename = found.select(F.col("node").alias("root"), F.col("root").alias("new"))
-            if roots is None:
-                roots = found.select(F.col("node").alias("rid"), "root")
-            else:
-                moved = roots.join(rename, "root", "left").select("rid", F.coalesce("new", "root").alias("root"))
-                fresh = found.join(roots.select("rid"), F.col("node") == F.col("rid"), "left_anti").select(F.col("node").alias("rid"), "root")
-                roots = materialize(moved.unionAll(fresh))
-            rest = rest.join(rename, "root", "left").select("bucket", "rid", F.coalesce("new", "root").alias("root"))
-        members = rest
-        seed += pivots
-        pivots = min(pivots * 4, 64)
+    if not links.isEmpty():
+        roots, rename = merge_roots(roots, links)
+        members = members.join(rename, "root", "left").select("bucket", "rid", F.coalesce("new", "root").alias("root"), "n")
+    links = materialize(verify(prefix_pairs(materialize(members), sets, percent), sets, percent))
+    return roots if links.isEmpty() else merge_roots(roots, links)[0]
 
 
 def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -249,14 +270,17 @@ def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, shingle_words
     rows = materialize(sign(docs, id_col, text_col, shingle_words))
     classes = rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("min_id"))
     reps = rows.join(classes.select("rid"), "rid")
-    buckets = reps.select("rid", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("bucket")
-    members = materialize(buckets.join(shared, "bucket"))
-    wanted = materialize(reps.join(members.select("rid").distinct(), "rid", "left_semi").select("rid", "doc_id", "text_hash", "n_shingles"))
+    reps = materialize(reps)
+    buckets = reps.select("rid", F.explode("bands").alias("bucket"), F.col("n_shingles").alias("n"))
+    shared = materialize(buckets.groupBy("bucket").agg((F.count(F.lit(1)) - 1).alias("others")).filter(F.col("others") > 0))
+    held = materialize(buckets.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "bucket"))
+    near = held.groupBy("rid").agg(F.sum("others").alias("near"))
+    members = held.select("bucket", "rid", "n").join(near, "rid")
+    wanted = materialize(reps.join(near, "rid", "left_semi").select("rid", "doc_id", "text_hash"))
     roots = None
     if not wanted.isEmpty():
         sets = materialize(full_sets(docs, wanted, id_col, text_col, shingle_words))
-        roots = link_buckets(members, wanted.select("rid", "n_shingles"), sets, percent)
+        roots = link_buckets(members, sets, percent)
     if roots is None:
         return rows, classes.select("class", F.col("rid").alias("root"), "min_id")
     return rows, classes.join(roots, "rid", "left").select("class", F.coalesce("root", "rid").alias("root"), "min_id")
