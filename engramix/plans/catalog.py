@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "retrieval_final_score"
+from . import authority_queries, ranking_queries, state_queries, text_queries
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "retrieval_pipeline"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "authority_queries", "ranking_queries", "state_queries", "text_queries"]
