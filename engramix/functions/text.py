@@ -45,12 +45,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.size(F.array_union(a, b)))
 
 
-def match_score(query: Column, text: Column) -> Column:
-    """1 where the text holds the whole query, else the share of its terms that the text holds."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    terms = F.concat(fields(query), cjk_bigrams(query))
+def query_terms(query: Column) -> Column:
+    return F.array_distinct(F.concat(fields(query), cjk_bigrams(query)))
+
+
+def match_lowered(query: Column, terms: Column, low: Column) -> Column:
+    """1 where the lower-cased text holds the whole (normalised) query, else the share of its terms that it holds."""
     hits = F.size(F.filter(terms, lambda t: F.contains(low, t)))
-    return F.when(F.contains(low, normalize(query)) & (normalize(query) != ""), 1.0).when(F.size(terms) == 0, 0.0).otherwise(hits / F.size(terms))
+    return F.when(F.contains(low, query) & (query != ""), 1.0).when(F.size(terms) == 0, 0.0).otherwise(hits / F.size(terms))
+
+
+def match_score(query: Column, text: Column) -> Column:
+    return match_lowered(normalize(query), query_terms(query), F.lower(F.coalesce(text, F.lit(""))))
 
 
 def join_unique(pieces: Column) -> Column:

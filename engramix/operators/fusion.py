@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import clamp01, lookup
-from .search import top_k
+from .search import against_blocks, top_k
 
 #: Fixed values of the engine's contract.
 SOURCE_WEIGHTS = {
@@ -44,13 +44,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``queries``: query_id, variant, weight, q (vector). A stated query set, grouped into one
-    row, against all vectors: query_id, variant, weight, vec_id, score, rank_position."""
-    block = queries.agg(F.collect_list(F.struct("query_id", "variant", "weight", "q")).alias("qs"))
-    scored = vectors.join(F.broadcast(block)).select(
-        "vec_id", F.inline(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), q["variant"].alias("variant"), q["weight"].alias("weight"), F.round(cosine(q["q"], F.col("embedding")), 6).alias("score"))))
+    """``queries``: query_id, variant, weight, q (vector). A stated query set, in blocks, against all
+    vectors: query_id, variant, weight, vec_id, score, rank_position."""
+    hits = F.transform(
+        "qs",
+        lambda q: F.struct(q["query_id"].alias("query_id"), q["variant"].alias("variant"), q["weight"].alias("weight"), F.round(cosine(q["q"], F.col("embedding")), 6).alias("score")),
     )
-    return top_k(scored.filter("score > 0"), k, [F.desc("score"), F.asc("vec_id")], ["query_id", "variant"])
+    scored = against_blocks(vectors, queries.select("query_id", "variant", "weight", "q"), lambda met: met.select("vec_id", F.inline(F.filter(hits, lambda h: h["score"] > 0))))
+    return top_k(scored, k, [F.desc("score"), F.asc("vec_id")], ["query_id", "variant"])
 
 
 def fuse_dense(hits: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,6 +28,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
 
 
+#: Queries in one block; a block is the most that is broadcast to meet every document.
+PER_BLOCK = 2000
+
+
+def query_blocks(queries: DataFrame, key: str = "query_id") -> list[DataFrame]:
+    """The queries (distinct keys) in blocks of about ``PER_BLOCK``, each one row with the array ``qs``."""
+    n = queries.count()
+    blocks = max(1, -(-n // PER_BLOCK))
+    part = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return [queries.filter(part == b).agg(F.collect_list(F.struct(*queries.columns)).alias("qs")) for b in range(blocks)]
+
+
+def against_blocks(docs: DataFrame, queries: DataFrame, body) -> DataFrame:
+    """``body(docs with qs)`` for every block of queries: each document is read once per block and
+    meets the block's queries inside its row."""
+    parts = [body(docs.join(F.broadcast(block))) for block in query_blocks(queries)]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
     """query_id, node_id, score, rank_position of the k best documents of each query.
 
@@ -56,12 +77,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", t
 def containment(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
     """Score (terms + 1) for the whole query plus 1 for each term that a document holds as a substring.
 
-    A stated query set against all documents: the queries are grouped into one row, so
-    each document is read once and meets every query inside it.
+    A stated query set against all documents, in blocks of queries.
     """
     asked = queries.select("query_id", F.lower("query_text").alias("q"), T.fields(F.col("query_text")).alias("terms")).filter(F.size("terms") > 0)
-    block = asked.agg(F.collect_list(F.struct("query_id", "q", "terms")).alias("qs"))
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    low = F.col("low")
     scores = F.transform(
         "qs",
         lambda q: F.struct(
@@ -69,10 +88,8 @@ def containment(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node
             (F.when(F.contains(low, q["q"]), F.size(q["terms"]) + 1).otherwise(0) + F.size(F.filter(q["terms"], lambda t: F.contains(low, t)))).cast("bigint").alias("score"),
         ),
     )
-    hits = (
-        docs.select(F.col(id_col).alias("node_id"), "updated_s", F.col(text_col)).join(F.broadcast(block))
-        .select("node_id", "updated_s", F.inline(F.filter(scores, lambda s: s["score"] > 0)))
-    )
+    rows = docs.select(F.col(id_col).alias("node_id"), "updated_s", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
+    hits = against_blocks(rows, asked, lambda met: met.select("node_id", "updated_s", F.inline(F.filter(scores, lambda s: s["score"] > 0))))
     return top_k(hits, k, [F.desc("score"), F.desc_nulls_last("updated_s"), F.asc("node_id")], "query_id").select("query_id", "node_id", "score", "rank_position")
 
 

@@ -11,7 +11,7 @@ from .authority_queries import AUTHORIZED, FACT_TABLES, NOW, authorized
 from .registry import query
 from .text_queries import BM25
 
-SEEDS = "seeds AS (SELECT fact_id FROM facts WHERE fact_id % 97 = 5)"
+SEEDS = "seeds AS (SELECT fact_id FROM facts WHERE pinned AND fact_type = 'core_identity')"
 OPEN = "visibility_status = 'visible' AND searchable"
 MULT = "CASE link_type WHEN 'CAUSED_BY' THEN 1.0 WHEN 'SUPERSEDES' THEN 0.9 WHEN 'SUPPORTS' THEN 0.85 WHEN 'EXPLAINS' THEN 0.85 WHEN 'ABOUT_ENTITY' THEN 0.8 WHEN 'EVIDENCED_BY' THEN 0.0 ELSE 0.5 END"
 ADJACENCY = f"""ends AS (SELECT 'fact:' || from_id AS a, to_type || ':' || to_id AS b, direction, link_type, weight FROM links),
@@ -21,7 +21,7 @@ deg AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM ends UNION A
 
 
 def seeds(m):
-    return m.facts.filter("fact_id % 97 = 5").select("fact_id")
+    return m.facts.filter("pinned AND fact_type = 'core_identity'").select("fact_id")
 
 
 @query(
@@ -54,7 +54,7 @@ def entity_facts_topk(m):
 ANCHORS = f"""{BM25}, hits AS (SELECT query_id, 'fts' AS source, 'insight' AS node_type, node_id, rank_position FROM bm WHERE rank_position <= 60
   UNION ALL SELECT query_id, 'recent_important', 'fact', node_id, row_number() OVER (PARTITION BY query_id ORDER BY updated_s DESC, node_id)
     FROM (SELECT query_id, d.node_id, d.updated_s FROM bm JOIN search_documents d USING (node_id) WHERE rank_position <= 60)
-  UNION ALL SELECT query_id, 'pinned_core', 'insight', node_id, row_number() OVER (PARTITION BY query_id ORDER BY node_id) FROM bm WHERE rank_position <= 60 AND node_id % 4 = 0)"""
+  UNION ALL SELECT query_id, 'pinned_core', 'insight', node_id, row_number() OVER (PARTITION BY query_id ORDER BY node_id) FROM bm JOIN search_documents d USING (node_id) WHERE rank_position <= 60 AND lifecycle_status = 'active')"""
 RRF = f"""{ANCHORS}, fused AS (SELECT query_id, node_type, node_id,
   sum(CASE source WHEN 'pinned_core' THEN 1.8 WHEN 'recent_important' THEN 1.2 ELSE 1.0 END / (60 + rank_position)) AS score, count(*) AS n_sources
   FROM hits WHERE rank_position <= 40 GROUP BY 1, 2, 3),
@@ -65,9 +65,9 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 def anchors(m):
     ranked = search.bm25(m.search_documents, m.queries, 60)
     fts = ranked.select("query_id", F.lit("fts").alias("source"), F.lit("insight").alias("node_type"), "node_id", "rank_position")
-    dated = ranked.select("query_id", "node_id").join(m.search_documents.select("node_id", "updated_s"), "node_id")
+    dated = ranked.select("query_id", "node_id").join(m.search_documents.select("node_id", "updated_s", "lifecycle_status"), "node_id")
     recent = search.top_k(dated, 60, [F.desc("updated_s"), F.asc("node_id")], "query_id").select("query_id", F.lit("recent_important").alias("source"), F.lit("fact").alias("node_type"), "node_id", "rank_position")
-    pinned = search.top_k(ranked.filter("node_id % 4 = 0").drop("rank_position"), 60, [F.asc("node_id")], "query_id").select(
+    pinned = search.top_k(dated.filter("lifecycle_status = 'active'"), 60, [F.asc("node_id")], "query_id").select(
         "query_id", F.lit("pinned_core").alias("source"), F.lit("insight").alias("node_type"), "node_id", "rank_position")
     return fts.unionByName(recent).unionByName(pinned)
 
@@ -80,17 +80,19 @@ def rrf_fusion(m):
 
 
 COS = "round(list_dot_product(e.embedding::DOUBLE[], q.q::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.q::DOUBLE[], q.q::DOUBLE[]))), 6)"
-DENSE = f"""q AS (SELECT vec_id // 10 AS query_id, CASE vec_id % 10 WHEN 0 THEN 'raw' WHEN 1 THEN 'rewrite' ELSE 'anchor' END AS variant,
-  CASE vec_id % 10 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.5 END AS weight, embedding AS q FROM embeddings WHERE vec_id < 200 AND vec_id % 10 < 3),
+DENSE = f"""q AS (SELECT vec_id // 50 AS query_id, CASE vec_id % 50 WHEN 0 THEN 'raw' WHEN 1 THEN 'rewrite' ELSE 'anchor' END AS variant,
+  CASE vec_id % 50 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.5 END AS weight, embedding AS q FROM embeddings WHERE vec_id % 50 < 3),
 sc AS (SELECT query_id, variant, weight, e.vec_id, {COS} AS score FROM q, embeddings e),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, vec_id) AS rank_position FROM sc WHERE score > 0),
 hits AS (SELECT * FROM rk WHERE rank_position <= 32)"""
 
 
 def dense_hits(m):
-    weight = F.when(F.col("vec_id") % 10 == 0, 1.0).when(F.col("vec_id") % 10 == 1, 0.7).otherwise(0.5)
-    variant = F.when(F.col("vec_id") % 10 == 0, "raw").when(F.col("vec_id") % 10 == 1, "rewrite").otherwise("anchor")
-    asked = m.embeddings.filter("vec_id < 200 AND vec_id % 10 < 3").select(F.floor(F.col("vec_id") / 10).alias("query_id"), variant.alias("variant"), weight.alias("weight"), F.col("embedding").alias("q"))
+    """Queries: every vector whose id is divisible by 50, with the next two as its rewrite and anchor."""
+    k = F.col("vec_id") % 50
+    weight = F.when(k == 0, 1.0).when(k == 1, 0.7).otherwise(0.5)
+    variant = F.when(k == 0, "raw").when(k == 1, "rewrite").otherwise("anchor")
+    asked = m.embeddings.filter(k < 3).select(F.floor(F.col("vec_id") / 50).alias("query_id"), variant.alias("variant"), weight.alias("weight"), F.col("embedding").alias("q"))
     return fusion.dense_top_k(asked, m.embeddings, 32)
 
 

@@ -13,7 +13,7 @@ from .registry import query
 KEY = "CASE WHEN object_entity_id IS NOT NULL THEN 'entity:' || object_entity_id ELSE 'literal:' || coalesce(trim(regexp_replace(lower(object_literal), '\\s+', ' ', 'g')), '') END"
 SLOT = "PARTITION BY persona_id, subject_entity_id, predicate"
 NOW_COLUMN = "1998-06-01 00:00:00"
-TARGETS = "fact_id % 41 = 7"
+TARGETS = "(fact_type = 'transient_context' AND sensitivity_level = 'highly_sensitive')"
 
 
 def now():
@@ -94,11 +94,11 @@ def hard_forget(m):
 
 
 @query(
-    """WITH c AS (SELECT from_id AS fact_id, to_id AS episode_id FROM links WHERE link_type = 'EVIDENCED_BY'), t AS (SELECT episode_id FROM episodes WHERE episode_id % 3 = 0)
+    """WITH c AS (SELECT from_id AS fact_id, to_id AS episode_id FROM links WHERE link_type = 'EVIDENCED_BY'), t AS (SELECT episode_id FROM episodes WHERE role = 'assistant')
 SELECT fact_id FROM facts WHERE fact_id IN (SELECT fact_id FROM c WHERE episode_id IN (SELECT episode_id FROM t))
-AND fact_id NOT IN (SELECT fact_id FROM c WHERE episode_id IN (SELECT episode_id FROM episodes WHERE visibility_status = 'visible' AND searchable AND episode_id % 3 <> 0))""", ("facts", "links", "episodes"))
+AND fact_id NOT IN (SELECT fact_id FROM c WHERE episode_id IN (SELECT episode_id FROM episodes WHERE visibility_status = 'visible' AND searchable AND role <> 'assistant'))""", ("facts", "links", "episodes"))
 def redact_cascade(m):
-    return M.redact_sources(m.episodes, m.links, m.facts, m.episodes.filter("episode_id % 3 = 0").select("episode_id"))[1]
+    return M.redact_sources(m.episodes, m.links, m.facts, m.episodes.filter("role = 'assistant'").select("episode_id"))[1]
 
 
 @query(

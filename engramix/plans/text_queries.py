@@ -61,17 +61,18 @@ def text_normalization(m):
 
 
 @query(
-    f"""WITH q AS (SELECT query_id, trim(regexp_replace(lower(query_text), '\\s+', ' ', 'g')) AS q, list_distinct({FIELDS.format('query_text')}) AS ts FROM queries WHERE query_id < 20),
-d AS (SELECT node_id, lower(search_text) AS t FROM search_documents WHERE lifecycle_status = 'active')
+    f"""WITH q AS (SELECT query_id, trim(regexp_replace(lower(query_text), '\\s+', ' ', 'g')) AS q, list_distinct({FIELDS.format('query_text')}) AS ts FROM queries),
+d AS (SELECT node_id, lower(search_text) AS t FROM search_documents)
 SELECT query_id, node_id, round(CASE WHEN contains(t, q) THEN 1.0 ELSE len(list_filter(ts, lambda x: contains(t, x))) / CAST(len(ts) AS DOUBLE) END, 6) AS score FROM q, d
 WHERE contains(t, q) OR len(list_filter(ts, lambda x: contains(t, x))) * 2 > len(ts)""",
     ("search_documents", "queries"))
 def text_match_score(m):
-    """A stated set of twenty queries against all active documents, in one block."""
-    block = m.queries.filter("query_id < 20").agg(F.collect_list(F.struct("query_id", "query_text")).alias("qs"))
-    docs = m.search_documents.filter("lifecycle_status = 'active'").join(F.broadcast(block))
-    scores = F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(T.match_score(q["query_text"], F.col("search_text")), 6).alias("score")))
-    return docs.select("node_id", F.inline(F.filter(scores, lambda s: s["score"] > 0.5))).select("query_id", "node_id", "score")
+    """All queries, in blocks, against all documents."""
+    asked = m.queries.select("query_id", T.normalize(F.col("query_text")).alias("q"), T.query_terms(F.col("query_text")).alias("terms"))
+    docs = m.search_documents.select("node_id", F.lower("search_text").alias("low"))
+    scores = F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(T.match_lowered(q["q"], q["terms"], F.col("low")), 6).alias("score")))
+    found = search.against_blocks(docs, asked, lambda met: met.select("node_id", F.inline(F.filter(scores, lambda s: s["score"] > 0.5))))
+    return found.select("query_id", "node_id", "score")
 
 
 @query(
