@@ -1,10 +1,12 @@
-"""Query analysis: rule classifiers over a table of questions, readiness and routing.
+"""Query analysis: rule classifiers over a table of questions, anchors' gates, readiness and routing.
 
-The marker words are fixed values of the engine's contract.
+A rule is a small tree of word tests. It renders to a column over a lower-cased text
+and to the same test in SQL, so the classifiers below are plain data.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,60 +15,215 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clamp01
 from ..functions.text import contains_any
 
-# Marker words by class, in order of precedence.
-HISTORICAL = ["以前", "过去", "上次", "历史", "之前", "曾经", "从前", "prior", "previous", "last time", "historical", "history", "before"]
+
+@dataclass(frozen=True)
+class Words:
+    """One of the words occurs."""
+
+    words: tuple[str, ...]
+
+    def column(self, text: Column) -> Column:
+        return contains_any(text, list(self.words))
+
+    def sql(self, name: str) -> str:
+        return "(" + " OR ".join(f"contains({name}, '{w}')" for w in self.words) + ")"
+
+
+@dataclass(frozen=True)
+class Both:
+    parts: tuple
+
+    def column(self, text: Column) -> Column:
+        return reduce(lambda a, b: a & b, (p.column(text) for p in self.parts))
+
+    def sql(self, name: str) -> str:
+        return "(" + " AND ".join(p.sql(name) for p in self.parts) + ")"
+
+
+@dataclass(frozen=True)
+class Either:
+    parts: tuple
+
+    def column(self, text: Column) -> Column:
+        return reduce(lambda a, b: a | b, (p.column(text) for p in self.parts))
+
+    def sql(self, name: str) -> str:
+        return "(" + " OR ".join(p.sql(name) for p in self.parts) + ")"
+
+
+@dataclass(frozen=True)
+class Without:
+    part: object
+
+    def column(self, text: Column) -> Column:
+        return ~self.part.column(text)
+
+    def sql(self, name: str) -> str:
+        return f"(NOT {self.part.sql(name)})"
+
+
+@dataclass(frozen=True)
+class AtLeast:
+    """At least ``n`` of the parts hold."""
+
+    n: int
+    parts: tuple
+
+    def column(self, text: Column) -> Column:
+        return reduce(lambda a, b: a + b, (p.column(text).cast("int") for p in self.parts)) >= self.n
+
+    def sql(self, name: str) -> str:
+        return "(" + " + ".join(f"CAST({p.sql(name)} AS INT)" for p in self.parts) + f" >= {self.n})"
+
+
+def words(*w: str) -> Words:
+    return Words(w)
+
+
+# The words of each intent.
+PAST_EVENT = words("上次", "那天", "五一", "有一次", "周末", "最近一次", "前几天")
+OLD_STATE = words("一开始", "之前", "以前", "曾经", "从前", "原来", "过去", "从来不", "以前从来", "起初")
+NEW_STATE = words("后来", "最近", "现在", "已经", "开始", "不再", "效果怎么样", "发生变化", "变成", "变为", "变得", "和好", "和解", "翻篇")
+PROVENANCE = words(
+    "什么时候告诉我的", "哪次告诉我的", "什么时候说过", "哪次说过", "从哪里知道", "哪里知道的", "来源", "证据", "谁告诉我的",
+    "什么时候说的", "最早什么时候", "source", "evidence", "provenance",
+)
+REFLECTION = Either((words("反思", "成长", "最近进步"), Both((words("这两个月", "最近"), words("变化", "进步")))))
+UNIVERSAL = words(
+    "是不是完全", "是否完全", "完全没有", "没有任何", "从来没", "从来没有", "从来不", "一直都", "一直没有", "一直没", "一直不", "是否一直",
+    "是不是一直", "所有", "每个", "任何", "什么都", "必须", "从头到尾", "总是", "每次", "永远", "always", "never", "every time",
+)
+CONDITIONAL = Both(
+    (words("如果", "假如", "一旦", "if "), words("是否", "是不是", "会不会", "能不能", "可不可以", "还能", "还会不会", "can ", "will "))
+)
+CHALLENGE = words("有没有反例", "有反例", "反例", "有没有例外", "有例外", "例外", "推翻", "打脸", "还成立吗", "仍然成立吗", "counterexample", "disprove", "exception")
+EVENT_SLOTS = AtLeast(2, (words("跟谁", "和谁", "谁"), words("多久", "多长时间", "排了多久"), words("哪里", "哪儿"), words("什么时候")))
+EVENT_REASON = Both(
+    (
+        words("因为什么", "什么原因", "什么事情", "什么事", "什么由头", "什么名义", "what occasion", "what reason"),
+        words("庆祝", "祝贺", "纪念", "请客", "请大家", "聚餐", "活动", "仪式", "安排", "celebrate", "celebration", "occasion", "treat"),
+    )
+)
+DYNAMIC = words("最近状态", "当前状态", "最新状态", "进度", "进展", "变化", "有没有变", "latest status", "current status", "progress", "update", "changed")
+RELATIONSHIP = words("关系变化", "关系轨迹", "关系时间线", "关系发展", "relationship arc", "relationship timeline")
+HISTORY_WORDS = words("以前", "过去", "上次", "历史", "之前", "曾经", "从前", "prior", "previous", "last time", "historical", "history", "before")
+SENSITIVE = words("隐私", "敏感", "不要提", "别提", "不要再提", "忘掉", "边界", "boundary", "private", "sensitive")
+DELETING = words("忘掉", "删除", "删掉", "清除", "不要再提", "forget", "delete", "remove")
+DEBUGGING = words("debug", "调试", "diagnostic", "diagnostics", "诊断")
+BOUNDARY = words("忘掉", "删除", "删掉", "清除", "不要提", "别提", "不要再提", "边界", "不要提醒", "forget", "delete", "remove", "boundary")
+SUPPORTIVE = words("支持", "安慰", "鼓励", "陪伴", "support", "supportive")
+GOTCHA = words("坑", "踩坑", "失败", "报错", "错误", "故障", "gotcha", "pitfall", "failed", "failure", "error")
+PROCEDURE = words("流程", "步骤", "怎么做", "操作步骤", "workflow", "procedure")
+PLANNING = words("计划", "规划", "planning")
+
+TRANSITION = Either((Both((words("不再"), words("开始"))), Both((words("从"), words("变成", "变为", "变得"))), Both((OLD_STATE, NEW_STATE))))
+PREMISE = Either((UNIVERSAL, CONDITIONAL, CHALLENGE))
+CAUSAL = Both((words("为什么", "原因", "导致", "怎么会", "为何", "why", "cause", "caused", "because"), Without(EVENT_REASON)))
+HISTORICAL = Either((TRANSITION, PAST_EVENT, HISTORY_WORDS))
+
+# Classes in order of precedence.
+TIME_MODES = [("historical", HISTORICAL), ("bitemporal_check", UNIVERSAL)]
 DOMAINS = [
-    ("environment_experience", ["环境", "路径", "依赖", "python", "uv", "windows", "powershell", "权限", "toolchain", "runtime", "缓存", "cache"]),
-    ("work_experience", ["部署", "上线", "ci", "测试", "命令", "repo", "仓库", "构建", "编译", "工作流", "workflow", "任务", "pr", "commit", "branch"]),
-    ("user_profile", ["我是谁", "身份", "名字", "昵称", "偏好", "喜欢", "讨厌", "住在", "profile", "preference", "identity"]),
+    ("environment_experience", words("环境", "路径", "依赖", "python", "uv", "windows", "powershell", "权限", "toolchain", "runtime", "缓存", "cache")),
+    ("work_experience", words("部署", "上线", "ci", "测试", "命令", "repo", "仓库", "构建", "编译", "工作流", "workflow", "任务", "pr", "commit", "branch")),
+    ("user_profile", words("我是谁", "身份", "名字", "昵称", "偏好", "喜欢", "讨厌", "住在", "profile", "preference", "identity")),
+]
+ABILITIES = [
+    ("provenance", PROVENANCE), ("relationship_arc", RELATIONSHIP), ("historical", TRANSITION), ("premise_check", PREMISE), ("direct_fact", PAST_EVENT),
+    ("causal_explain", CAUSAL), ("boundary", BOUNDARY), ("supportive", SUPPORTIVE), ("historical", REFLECTION), ("gotcha", GOTCHA), ("workflow", PROCEDURE),
+    ("dynamic_state", DYNAMIC), ("planning", PLANNING),
 ]
 NEEDS = [
-    ("gotcha_note", ["坑", "踩坑", "失败", "报错", "错误", "故障", "gotcha", "pitfall", "failed", "failure", "error"]),
-    ("procedure_note", ["流程", "步骤", "怎么做", "操作步骤", "workflow", "procedure"]),
+    ("provenance_source", PROVENANCE), ("relationship_timeline", RELATIONSHIP), ("state_transition", TRANSITION), ("premise_counterexample", PREMISE),
+    ("exact_observation", PAST_EVENT), ("gotcha_note", GOTCHA), ("procedure_note", PROCEDURE), ("state_transition", DYNAMIC),
+]
+EVENT_FACT = Both((PAST_EVENT, Without(TRANSITION), Without(PREMISE)))
+SIGNALS = [
+    ("past_event_direct_fact", EVENT_FACT), ("event_bundle", Both((EVENT_FACT, EVENT_SLOTS))), ("state_transition", TRANSITION), ("provenance_source", PROVENANCE),
+    ("reflection_summary", REFLECTION), ("premise_counterexample", PREMISE), ("causal", CAUSAL), ("causal_chain", Both((CAUSAL, TRANSITION))), ("historical", HISTORICAL),
+    ("provenance", PROVENANCE), ("premise_check", PREMISE), ("relationship_arc", RELATIONSHIP), ("sensitivity", SENSITIVE), ("forget_delete", DELETING), ("debug", DEBUGGING),
 ]
-SUPPRESSING = ["忘掉", "删除", "删掉", "清除", "不要再提", "forget", "delete", "remove"]
+#: Abilities for which an anchor source is asked.
+PINNED_ABILITIES = ["boundary", "supportive", "premise_check"]
+RECENT_ABILITIES = ["causal_explain", "historical", "provenance", "planning", "premise_check", "gotcha", "workflow"]
+NARRATIVE_ABILITIES = ["causal_explain", "supportive", "provenance", "planning", "premise_check"]
 
 #: Openings that make sample questions of every class.
-SAMPLE_PREFIXES = ["what happened before", "my python cache", "the workflow failed", "profile of", "previous procedure for", "hello"]
+SAMPLE_PREFIXES = [
+    "what happened before", "my python cache", "the workflow failed", "profile of", "why did it change, cause of", "hello", "是不是完全 never", "以前 不再 开始",
+    "forget this boundary", "source of evidence", "上次 跟谁 什么时候",
+]
+
+
+def _first(text: Column, classes: list, default: str) -> Column:
+    return reduce(lambda acc, kv: acc.when(kv[1].column(text), F.lit(kv[0])), classes, F).otherwise(F.lit(default))
 
 
-def _first(text: Column, classes: list[tuple[str, list[str]]], default: str) -> Column:
-    chain = reduce(lambda acc, kv: acc.when(contains_any(text, kv[1]), F.lit(kv[0])), classes, F)
-    return chain.otherwise(F.lit(default))
+def _case_sql(name: str, classes: list, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {rule.sql(name)} THEN '{label}'" for label, rule in classes) + f" ELSE '{default}' END"
 
 
 def time_mode(text: Column) -> Column:
-    return _first(text, [("historical", HISTORICAL)], "current")
+    return _first(text, TIME_MODES, "current")
 
 
 def domain(text: Column) -> Column:
     return _first(text, DOMAINS, "relationship")
 
 
+def ability(text: Column) -> Column:
+    return _first(text, ABILITIES, "direct_fact")
+
+
 def evidence_need(text: Column) -> Column:
     return _first(text, NEEDS, "exact_observation")
 
 
-def suppresses_anchors(text: Column) -> Column:
-    """Questions about forgetting or deleting get no anchors."""
-    return contains_any(text, SUPPRESSING)
+def signals(text: Column) -> Column:
+    """All signals of a question in order; exact_fact where it has none."""
+    found = F.array_compact(F.array(*[F.when(rule.column(text), F.lit(name)) for name, rule in SIGNALS]))
+    return F.when(F.trim(text) == "", F.array().cast("array<string>")).when(F.size(found) == 0, F.array(F.lit("exact_fact"))).otherwise(found)
+
+
+def time_mode_sql(name: str) -> str:
+    return _case_sql(name, TIME_MODES, "current")
 
 
-def _case_sql(column: str, classes: list[tuple[str, list[str]]], default: str) -> str:
-    arms = " ".join("WHEN {} THEN '{}'".format(" OR ".join(f"contains({column}, '{w}')" for w in words), name) for name, words in classes)
-    return f"CASE {arms} ELSE '{default}' END"
+def domain_sql(name: str) -> str:
+    return _case_sql(name, DOMAINS, "relationship")
 
 
-def time_mode_sql(column: str) -> str:
-    return _case_sql(column, [("historical", HISTORICAL)], "current")
+def ability_sql(name: str) -> str:
+    return _case_sql(name, ABILITIES, "direct_fact")
 
 
-def domain_sql(column: str) -> str:
-    return _case_sql(column, DOMAINS, "relationship")
+def need_sql(name: str) -> str:
+    return _case_sql(name, NEEDS, "exact_observation")
 
 
-def need_sql(column: str) -> str:
-    return _case_sql(column, NEEDS, "exact_observation")
+def signals_sql(name: str) -> str:
+    parts = ", ".join(f"CASE WHEN {rule.sql(name)} THEN '{label}' END" for label, rule in SIGNALS)
+    return f"CASE WHEN trim({name}) = '' THEN '' ELSE coalesce(nullif(concat_ws(',', {parts}), ''), 'exact_fact') END"
+
+
+def suppresses_anchors(text: Column) -> Column:
+    """Questions about forgetting or deleting get no anchors."""
+    return DELETING.column(text)
+
+
+def anchor_gates(text: Column, ability_: Column, need: Column) -> dict[str, Column]:
+    """Which anchor sources a question may use."""
+    open_ = ~suppresses_anchors(text)
+    arcs = ability_.isin("relationship_arc", "dynamic_state") & need.isin("state_transition", "relationship_timeline")
+    return {
+        "pinned_core": open_ & ability_.isin(PINNED_ABILITIES),
+        "recent_important": open_ & ability_.isin(RECENT_ABILITIES),
+        "narrative_insight": open_ & (arcs | ability_.isin(NARRATIVE_ABILITIES)),
+    }
+
+
+def protects_raw_floor(ability_: Column, signals_: Column) -> Column:
+    return (ability_ == "direct_fact") | F.array_contains(signals_, "past_event_direct_fact")
 
 
 def noisy_or(values: Column) -> Column:
@@ -95,3 +252,15 @@ def route(need: Column, fit: Column, readiness: Column, complexity: Column, safe
         .when(complexity >= 0.72, "semantic_full")
         .otherwise("semantic_light")
     )
+
+
+def spend_weights(weights: Column, budget: float = 3.0, low: float = 0.1, high: float = 0.9) -> Column:
+    """Generated weights, clamped, spent in order from a budget: each takes what is left at most."""
+    start = F.struct(F.lit(float(budget)).alias("left"), F.array().cast("array<double>").alias("out"))
+
+    def spend(acc: Column, w: Column) -> Column:
+        take = F.least(F.greatest(w, F.lit(low)), F.lit(high))
+        take = F.when(acc["left"] < low, 0.0).otherwise(F.least(take, acc["left"]))
+        return F.struct((acc["left"] - take).alias("left"), F.concat(acc["out"], F.array(take)).alias("out"))
+
+    return F.aggregate(weights, start, spend, lambda acc: acc["out"])

@@ -96,7 +96,7 @@ def entity_mentions(m):
     return search.entity_mentions(asked, m.entities.filter("entity_type = 'place'"), 2)
 
 
-QUESTIONS = "SELECT 10 * q.query_id + k AS query_id, concat(p, ' ', q.query_text) AS query_text FROM queries q, (VALUES {0}) AS v(k, p)".format(
+QUESTIONS = "SELECT 100 * q.query_id + k AS query_id, concat(p, ' ', q.query_text) AS query_text FROM queries q, (VALUES {0}) AS v(k, p)".format(
     ", ".join(f"({i}, '{p}')" for i, p in enumerate(analysis.SAMPLE_PREFIXES)))
 
 
@@ -105,6 +105,6 @@ QUESTIONS = "SELECT 10 * q.query_id + k AS query_id, concat(p, ' ', q.query_text
 SELECT query_id, {analysis.time_mode_sql('t')} AS time_mode, {analysis.domain_sql('t')} AS domain, {analysis.need_sql('t')} AS evidence_need FROM n""", ("queries",))
 def query_classifier(m):
     prefixes = m.spark.createDataFrame(list(enumerate(analysis.SAMPLE_PREFIXES)), "k int, p string")
-    asked = m.queries.join(F.broadcast(prefixes)).select((10 * F.col("query_id") + F.col("k")).alias("query_id"), F.concat("p", F.lit(" "), "query_text").alias("query_text"))
+    asked = m.queries.join(F.broadcast(prefixes)).select((100 * F.col("query_id") + F.col("k")).alias("query_id"), F.concat("p", F.lit(" "), "query_text").alias("query_text"))
     t = T.normalize(F.col("query_text"))
     return asked.select("query_id", analysis.time_mode(t).alias("time_mode"), analysis.domain(t).alias("domain"), analysis.evidence_need(t).alias("evidence_need"))
