@@ -98,3 +98,44 @@ def test_time_mode(spark, text, want):
 def test_readiness(spark):
     ready = analysis.anchor_readiness(F.array(F.lit(0.5), F.lit(0.5)), F.lit(0.7), F.lit(0.05), F.lit(6))
     assert math.isclose(one(spark, ready)[0], 0.75 * 0.75 * 0.85)
+
+
+def test_dense_plan_counts_only_accepted_texts(spark):
+    from engramix.operators import context as C
+
+    rows = [(1, "rewrite", i, t, 2.0, "semantic_recall", "raw text here", False) for i, t in enumerate(["raw text here", "memory", "one", "ONE", "two", "three", "four", ""])]
+    rows += [(1, "anchor", i, t, 2.0, "semantic_anchor", "raw text here", False) for i, t in enumerate(["one", "x", "y", "z"])]
+    df = spark.createDataFrame(rows, "query_id int, kind string, place int, text string, weight double, purpose string, raw_text string, forgets boolean")
+    got = {(r.kind, r.place): (r.reason, r.weight) for r in C.dense_plan(df).collect()}
+    assert [got["rewrite", i][0] for i in range(8)] == ["similar", "generic", "accepted", "duplicate", "accepted", "accepted", "fanout_limit", "empty"]
+    assert [got["anchor", i] for i in range(4)] == [("duplicate", 0.65), ("accepted", 0.65), ("accepted", 0.65), ("fanout_limit", 0.65)]
+
+
+def test_raw_floor_fills_up(spark):
+    from engramix.operators import context as C
+
+    rows = [(1, i, "raw_dense", 1.0 - i / 10, True) for i in range(2)] + [(1, 10 + i, "raw_query", 0.5 - i / 10, True) for i in range(4)] + [(1, 20 + i, "raw_exact", 0.5 - i / 10, True) for i in range(3)]
+    rows += [(2, 30 + i, "raw_exact", 0.5, False) for i in range(2)]
+    df = spark.createDataFrame(rows, "query_id int, fact_id long, source string, score double, exact_need boolean")
+    assert sorted((r.query_id, r.fact_id) for r in C.raw_floor(df).collect()) == [(1, 0), (1, 1), (1, 10), (1, 11), (1, 20), (1, 21)]
+
+
+@pytest.mark.parametrize("text, ability, first", [
+    ("从没有变成有", "historical", "state_transition"), ("what is the source", "provenance", "provenance_source"), ("forget it", "boundary", "forget_delete"),
+    ("if it rains will it never", "premise_check", "premise_counterexample"), ("why so", "causal_explain", "causal"), ("上次 跟谁 什么时候", "direct_fact", "past_event_direct_fact"), ("tea", "direct_fact", "exact_fact")])
+def test_abilities_and_signals(spark, text, ability, first):
+    got = one(spark, analysis.ability(F.lit(text)), analysis.signals(F.lit(text)))
+    assert got[0] == ability and got[1][0] == first
+
+
+def test_spend_weights(spark):
+    got = one(spark, analysis.spend_weights(F.array(*[F.lit(x) for x in (5.0, 0.9, 0.9, 0.9, 0.0)])))[0]
+    assert [round(x, 6) for x in got] == [0.9, 0.9, 0.9, 0.3, 0.0]
+
+
+def test_supersedes_insertion_keeps_the_length(spark):
+    from engramix.operators import completion as K
+
+    links = spark.createDataFrame([(1, "SUPERSEDES", "fact", 9, "visible", True)], "from_id long, link_type string, to_type string, to_id long, visibility_status string, searchable boolean")
+    chosen = spark.createDataFrame([(1, i, i) for i in (1, 2, 3)], "query_id long, fact_id long, rank_position int")
+    assert [r.fact_id for r in K.insert_superseded(chosen, links, 3).orderBy("rank_position").collect()] == [1, 9, 2]
