@@ -264,3 +264,39 @@ def spend_weights(weights: Column, budget: float = 3.0, low: float = 0.1, high:
         return F.struct((acc["left"] - take).alias("left"), F.concat(acc["out"], F.array(take)).alias("out"))
 
     return F.aggregate(weights, start, spend, lambda acc: acc["out"])
+
+
+#: The weights of a rule analysis' parts.
+FIT_GAINS = {"intent": 0.18, "consistency": 0.14, "entity": 0.13, "time": 0.10, "domain": 0.09, "need": 0.08, "specificity": 0.08}
+FIT_LOSSES = {"default": 0.15, "ambiguity": 0.12, "conflict": 0.08, "sensitivity": 0.06}
+
+
+def rule_fit(parts: dict[str, Column]) -> Column:
+    """How well the rules understood a question, from parts in [0, 1]; missing parts count 0."""
+    total = F.lit(0.20)
+    for name, weight in FIT_GAINS.items():
+        total = total + weight * parts.get(name, F.lit(0.0))
+    for name, weight in FIT_LOSSES.items():
+        total = total - weight * parts.get(name, F.lit(0.0))
+    return clamp01(total)
+
+
+def expected_confidence(fit: Column, readiness: Column, safety: Column) -> Column:
+    return clamp01(0.60 * fit + 0.40 * readiness - 0.10 * safety)
+
+
+def merge_field(rule: Column, semantic: Column, rule_confidence: Column, semantic_confidence: Column, has_evidence: Column) -> Column:
+    """The semantic value of a field where it is sure enough and clearly surer than the rule's."""
+    wins = semantic.isNotNull() & has_evidence & (semantic_confidence >= 0.70) & (semantic_confidence - rule_confidence >= 0.08)
+    return F.when(wins, semantic).otherwise(rule)
+
+
+def probe_confidence(kind: str, top: Column, n: Column) -> Column:
+    """Confidence of an anchor probe from the best importance and the count of what it found."""
+    found = {
+        "predicate": F.when(top > 0, 0.70 + 0.20 * top).otherwise(0.20 + F.least(F.lit(0.15), 0.05 * n)),
+        "recent": 0.25 + 0.25 * top,
+        "pinned": 0.35 + 0.25 * top,
+        "narrative": 0.20 + 0.25 * top,
+    }[kind]
+    return F.when(n > 0, clamp01(found)).otherwise(0.0)

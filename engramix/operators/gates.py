@@ -50,3 +50,15 @@ def validate_facts(facts: DataFrame, schemas: DataFrame, entities: DataFrame) ->
 
 def summarize(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Words of the deterministic extractor, first match first.
+MOCK_PREDICATES = [("like", "likes"), ("live", "lives_in"), ("promise", "promised_to")]
+
+
+def mock_extract(episodes: DataFrame, characters: int = 160) -> DataFrame:
+    """A deterministic stand-in for a language model: one candidate per visible user episode."""
+    low = F.lower("content")
+    predicate = F.coalesce(*[F.when(F.contains(low, F.lit(word)), name) for word, name in MOCK_PREDICATES], F.lit("is_busy_with"))
+    rows = episodes.filter("role = 'user' AND visibility_status = 'visible' AND searchable")
+    return rows.select("episode_id", predicate.alias("predicate"), F.substring(low, 1, characters).alias("summary"))

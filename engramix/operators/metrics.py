@@ -54,3 +54,11 @@ def deltas(metrics: DataFrame, profile: str, value: str, base: str) -> DataFrame
 
 def ratio(a: Column, b: Column, default: float) -> Column:
     return F.when(b == 0, default).otherwise(a / b)
+
+
+def confusion(rows: DataFrame, by: str) -> DataFrame:
+    """``rows``: gold, chosen (booleans). Counts and ratios per group; the forbidden rate is 0 or 1."""
+    tp, fp, fn = F.col("gold") & F.col("chosen"), ~F.col("gold") & F.col("chosen"), F.col("gold") & ~F.col("chosen")
+    per = rows.groupBy(by).agg(F.count_if(tp).alias("tp"), F.count_if(fp).alias("fp"), F.count_if(fn).alias("fn"))
+    part = lambda other: F.round(ratio(F.col("tp"), F.col("tp") + F.col(other), 1.0), 6)
+    return per.select("*", part("fp").alias("precision"), part("fn").alias("recall"), F.when(F.col("fp") > 0, 1).otherwise(0).alias("forbidden_rate"))

@@ -155,3 +155,32 @@ def chain(episodes: DataFrame) -> DataFrame:
     """Each episode with its neighbours in the session."""
     order = W.partitionBy("session_id").orderBy("at_s", "episode_id")
     return episodes.select("episode_id", "session_id", F.lag("episode_id").over(order).alias("prev_episode_id"), F.lead("episode_id").over(order).alias("next_episode_id"))
+
+
+def append_episodes(log: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The log with new episodes (ids that it lacks), chained anew within their sessions."""
+    from .upserts import ensure
+
+    return chain(ensure(log.select("episode_id", "session_id", "at_s"), fresh.select("episode_id", "session_id", "at_s"), ["episode_id"]))
+
+
+def rebuild_search(facts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every fact with what a rebuild of the search documents does to it, and its tier."""
+    from ..functions.scalars import search_tier
+    from .authority import search_evidence_allows, with_evidence
+
+    rows = with_evidence(facts, counts)
+    eligible = (F.col("visibility_status") == "visible") & F.col("searchable") & search_evidence_allows()
+    return rows.select("fact_id", F.when(eligible, "upsert").otherwise("delete").alias("action"), F.when(eligible, search_tier(F.col("lifecycle_status"))).alias("tier"))
+
+
+def index_status(queue: DataFrame) -> DataFrame:
+    """node_id, status after the queue's finished rows, the last of each node deciding."""
+    last = queue.filter(F.col("status").isin("done", "failed")).groupBy("node_id").agg(F.max(F.struct("created_at", "queue_id", "operation", "status")).alias("q"))
+    state = (
+        F.when(F.col("q.status") == "failed", F.when(F.col("q.operation").like("delete%"), "stale_delete_failed").otherwise("failed"))
+        .when(F.col("q.operation").like("delete%"), "deleted")
+        .when(F.col("q.operation") == "rebuild_persona", "stale")
+        .otherwise("indexed")
+    )
+    return last.select("node_id", state.alias("index_status"))
