@@ -56,7 +56,6 @@ def activate(seeds: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
     shares = (
         adjacency(links).withColumn("w", edge_weight()).filter("w > 0").join(degrees(links).withColumnRenamed("node", "target"), "target")
         .select("source", "target", (DECAY * F.col("w") / F.pow(F.greatest(F.col("degree"), F.lit(1)).cast("double"), F.lit(HUB_POWER))).alias("share"))
-        .filter(F.col("share") >= LEAST_ENERGY)
     )
     gained, frontier = seeds.select("query_id", "node", "energy"), seeds.select("query_id", F.col("node").alias("source"), F.col("energy").alias("e"))
     for _ in range(hops):
