@@ -50,9 +50,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    encoded = sentencepiece_scan.encode(docs, ids_col="__ids").withColumn("piece_ids", F.col("__ids"))
-    decoded = sentencepiece_scan.decode(encoded, ids_col="__ids", text_col="__decoded")
-    return decoded.select(*docs.columns, "piece_ids", F.col("__decoded").eqNullSafe(F.col("text")).alias("decodes"))
+    encoded = sentencepiece_scan.encode(docs, ids_col="__ids", decoded_col="__decoded")
+    return encoded.select(*docs.columns, F.col("__ids").alias("piece_ids"), F.col("__decoded").eqNullSafe(F.col("text")).alias("decodes"))
 
 
 STAGES = [

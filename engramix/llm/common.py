@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +21,18 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 _SHIPPED: set[str] = set()
+_SCRATCH: list[str] = []
+
+
+#: Bytes of a batch that goes to a Python worker, at most (a longer text makes a batch of its own).
+ARROW_BYTES = 1 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send the package to the executors, once per application: their Python workers need
-    it wherever the driver was started."""
+    it wherever the driver was started. Batches are kept small, as a worker and
+    its executor hold several at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -31,6 +42,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the machine: workers are reused by later stages
+    and count towards their executor's memory meanwhile."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,9 +83,25 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="engramix-")
+        folder = tempfile.mkdtemp(prefix="engramix-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/engramix-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/engramix-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that operators of this process have written, and give their number. To be called
+    once the results that read them are stored: results are lazy, so no operator can tell."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def materialize(df: DataFrame) -> DataFrame:

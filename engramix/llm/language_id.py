@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .folds import balanced_ids, sample_texts
 
 FEATURES = 1 << 14
@@ -177,5 +178,6 @@ def identify(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 [*batch.schema.names, pred_col, score_col],
             )
+        give_back()
 
     return docs.mapInArrow(run, ", ".join([*columns, f"`{pred_col}` string", f"`{score_col}` double"]))

@@ -34,9 +34,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, blank_words, keyed_rows, let, lower_ascii, materialize
+from .common import BROADCAST_ROWS, blank_words, give_back, keyed_rows, let, lower_ascii, materialize
 
-UNIVERSE_BITS = 22
+UNIVERSE_BITS = 20
 UNIVERSE = 1 << UNIVERSE_BITS
 BANDS = 32
 ROWS = 5
@@ -127,6 +127,9 @@ def sign(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 [batch.column("rid"), batch.column("doc_id"), batch.column("text_hash"), pa.array(classes, pa.string()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                 ["rid", "doc_id", "text_hash", "class", "n_shingles", "bands"],
             )
+        _SIGNERS.clear()
+        signer = None
+        give_back()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(

@@ -122,10 +122,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    encoded = sentencepiece_scan.encode(docs).drop("text")
-    counted = encoded.select("doc_id", "text_hash", F.size("piece_ids").cast("bigint").alias("n_pieces"), sentencepiece_scan.ids_digest(F.col("piece_ids")).alias("ids_hash"), "piece_ids")
-    return sentencepiece_scan.decode(counted).select(
-        "doc_id", "n_pieces", "ids_hash", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip")
+    encoded = sentencepiece_scan.encode(docs, decoded_col="decoded")
+    return encoded.select(
+        "doc_id",
+        F.size("piece_ids").cast("bigint").alias("n_pieces"),
+        sentencepiece_scan.ids_digest(F.col("piece_ids")).alias("ids_hash"),
+        (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"),
     )
 
 

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import give_back, materialize
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in a chunk.
 CHUNK = 32_768
 #: Segments whose ids a worker remembers, and pairs whose verdicts it does.
-SEGMENT_CACHE = 150_000
-PAIR_CACHE = 200_000
+SEGMENT_CACHE = 60_000
+PAIR_CACHE = 50_000
 BLANK = "▁"
 #: A run of blanks with the characters up to the next one.
 SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -326,8 +326,11 @@ def _matrix_bytes(v: Vocabulary, chunk: tuple[str, str, str]) -> list[bytes]:
     return [row.to_bytes(width, "little") for row in c.matrix()]
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", path: str = MODEL_PATH, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with the array column ``ids_col`` (which they must not have yet).
+def encode(
+    docs: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", path: str = MODEL_PATH, chunk: int = CHUNK, decoded_col: str | None = None
+) -> DataFrame:
+    """``docs`` with the array column ``ids_col`` and, where ``decoded_col`` is named, the text
+    that these ids decode to (columns that they must not have yet).
 
     Texts of one chunk are encoded where they are read. Longer ones go through
     chunk matrices, their combination per text, and a backtrace per chunk; what
@@ -346,9 +349,16 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "piece_ids",
             ids = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.frombuffer(b"".join(x or b"" for x in found), np.int32)))
             if None in found:
                 ids = pa.ListArray.from_arrays(pa.array(lengths), ids.values, mask=pa.array([x is None for x in found]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
+            arrays, names = [*batch.columns, ids], [*batch.schema.names, ids_col]
+            if decoded_col:
+                arrays.append(pa.array([None if x is None else v.decode(np.frombuffer(x, np.int32).tolist()) for x in found], pa.string()))
+                names.append(decoded_col)
+            yield pa.RecordBatch.from_arrays(arrays, names)
+        v.segments.clear()
+        give_back()
 
-    short = docs.filter(~long).mapInArrow(whole, ", ".join([*columns, f"`{ids_col}` array<int>"]))
+    added = [f"`{ids_col}` array<int>", *([f"`{decoded_col}` string"] if decoded_col else [])]
+    short = docs.filter(~long).mapInArrow(whole, ", ".join([*columns, *added]))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -388,8 +398,11 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "piece_ids",
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"]))
     whole_ids = traced.groupBy("rid").agg(joined.alias("__ids"))
     named = [F.col(f"`{c}`") for c in docs.columns]
-    giants = numbered.join(whole_ids.withColumnRenamed("rid", "__rid"), "__rid").select(*named, F.col("__ids").alias(ids_col))
-    return short.unionAll(giants)
+    giants = numbered.join(whole_ids.withColumnRenamed("rid", "__rid"), "__rid")
+    if decoded_col:
+        giants = decode(giants.select(*named, F.col("__ids").alias(ids_col), F.col("__ids").alias("__again")), "__again", decoded_col, path)
+        return short.unionAll(giants)
+    return short.unionAll(giants.select(*named, F.col("__ids").alias(ids_col)))
 
 
 def decode(rows: DataFrame, ids_col: str = "piece_ids", text_col: str = "decoded", path: str = MODEL_PATH) -> DataFrame:

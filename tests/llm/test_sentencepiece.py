@@ -63,6 +63,8 @@ def test_frames(spark, library, chunk):
     decoded = {r.rid: r.decoded for r in sp.decode(rows).collect()}
     assert decoded == {i: None if t is None else library.decode(library.encode(t)) for i, t in enumerate(texts)}
     assert sp.encode(docs.limit(0)).collect() == []
+    both = sp.encode(docs, chunk=chunk, decoded_col="again")
+    assert {r.rid: (r.piece_ids, r.again) for r in both.collect()} == {i: (got[i], decoded[i]) for i in got}
 
 
 def test_decode_broken_bytes(library):
