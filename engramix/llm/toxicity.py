@@ -224,13 +224,14 @@ def score_texts(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.score(x.as_py()) for x in batch.column(1)]
-            evidence = [[{"example": int(i), "cosine": c, "label": y} for i, c, y in e] for _, e in found]
+            evidence = [[{"example": i, "cosine": c, "label": y} for i, c, y in e] for _, e in found]
+            kind = pa.struct([("example", batch.schema.field(0).type), ("cosine", pa.float64()), ("label", pa.int32())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))],
+                [batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, pa.list_(kind))],
                 [id_col, "score", "evidence"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    key = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(
-        run, f"`{id_col}` {kind}, score double, evidence array<struct<example:bigint,cosine:double,label:int>>"
+        run, f"`{id_col}` {key}, score double, evidence array<struct<example:{key},cosine:double,label:int>>"
     )
