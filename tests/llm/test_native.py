@@ -130,10 +130,10 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op3_quality_rules"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     cols = [c[0] for c in want.description]
