@@ -139,3 +139,46 @@ def test_supersedes_insertion_keeps_the_length(spark):
     links = spark.createDataFrame([(1, "SUPERSEDES", "fact", 9, "visible", True)], "from_id long, link_type string, to_type string, to_id long, visibility_status string, searchable boolean")
     chosen = spark.createDataFrame([(1, i, i) for i in (1, 2, 3)], "query_id long, fact_id long, rank_position int")
     assert [r.fact_id for r in K.insert_superseded(chosen, links, 3).orderBy("rank_position").collect()] == [1, 9, 2]
+
+
+def plain_mmr(rows, k, budget):
+    """Greedy selection, one step after another."""
+
+    def jac(a, b):
+        a, b = set(a), set(b)
+        return len(a & b) / len(a | b) if a and b else 0.0
+
+    def sim(a, b):
+        words = jac(a["terms"], b["terms"])
+        s = (0.45 * words + 0.2 * jac(a["entity_ids"], b["entity_ids"]) + 0.15 * (a["predicate"] == b["predicate"]) + 0.1 * jac(a["episode_ids"], b["episode_ids"])) / 0.9
+        same = a["validity"] == b["validity"] and a["lifecycle"] == b["lifecycle"]
+        return s if words >= 0.8 and same else min(s, 0.8)
+
+    rest, taken, used = list(rows), [], 0
+    while rest and len(taken) < k:
+        near = lambda c: max([sim(c, t) for t in taken], default=0.0)
+        fit = [c for c in rest if near(c) <= 0.88 and used + c["tokens"] <= budget]
+        if not fit:
+            break
+        best = max(fit, key=lambda c: (0.72 * c["score"] - 0.28 * near(c), c["score"], -c["fact_id"]))
+        rest.remove(best)
+        taken.append(best)
+        used += best["tokens"]
+    return [c["fact_id"] for c in taken]
+
+
+def test_mmr_equals_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    data = []
+    for q in range(6):
+        for i in range(25):
+            data.append((q, {
+                "score": round(rng.random(), 4), "fact_id": 100 * q + i, "tokens": rng.randrange(8, 60), "terms": sorted(rng.sample("abcdefgh", rng.randrange(1, 5))),
+                "entity_ids": [rng.randrange(3)], "predicate": rng.choice("pq"), "episode_ids": rng.sample(range(5), rng.randrange(3)), "validity": "valid", "lifecycle": rng.choice(["active", "dormant"])}))
+    kind = "struct<score:double,fact_id:bigint,tokens:bigint,terms:array<string>,entity_ids:array<bigint>,predicate:string,episode_ids:array<bigint>,validity:string,lifecycle:string>"
+    got = {}
+    for r in scoring.select_mmr(spark.createDataFrame(data, f"query_id int, c {kind}"), 6, 150).orderBy("rank_position").collect():
+        got.setdefault(r.query_id, []).append(r.fact_id)
+    assert got == {q: plain_mmr([c for p, c in data if p == q], 6, 150) for q in range(6)}
