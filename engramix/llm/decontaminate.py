@@ -27,11 +27,22 @@ from pyspark.sql import Window as W
 from .common import keyed_rows, let, lower_ascii, materialize
 
 WINDOW = 10
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Between words: ASCII but letters (of either case) and digits.
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def split_words(text: Column) -> Column:
+    """The words of a text in their own case."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORD), "")
+
+
+def lower_word(word: Column) -> Column:
+    """A-Z lower-cased; only words with other letters need the slower way."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(lower_ascii(word))
 
 
 def phrase_words(text: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), "")
+    return F.transform(split_words(text), lower_word)
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -44,15 +55,14 @@ def item_windows(items: DataFrame, item_id: str = "item_id", item_text: str = "t
 
 
 def corpus_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key and the words of every row."""
-    return docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), phrase_words(F.col(text_col)).alias("words")
-    )
+    """id, key and the words of every row, not yet lower-cased."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), split_words(F.col(text_col)).alias("words"))
 
 
 def term_counts(words: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each of ``terms`` (term) occurs in the corpus; 0 where it doesn't."""
-    counted = words.select(F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    each = words.select(F.explode("words").alias("word")).select(lower_word(F.col("word")).alias("term"))
+    counted = each.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -76,7 +86,8 @@ def choose_anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def postings(words: DataFrame, terms: DataFrame) -> DataFrame:
     """term, id, key, pos of every occurrence of ``terms`` in the corpus."""
-    return words.select("id", "key", F.posexplode("words").alias("pos", "term")).join(terms, "term", "left_semi")
+    each = words.select("id", "key", F.posexplode("words").alias("pos", "word"))
+    return each.select("id", "key", "pos", lower_word(F.col("word")).alias("term")).join(terms, "term", "left_semi")
 
 
 def rows_with_hits(
@@ -110,8 +121,11 @@ def rows_with_hits(
         .groupBy("id", "key")
         .agg(F.collect_list(F.struct("item_id", "shift", "item_words", "windows")).alias("alignments"))
     )
+    candidates = materialize(candidates)
+    # The texts of all other rows stay where they are.
+    aligned_docs = keyed_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), candidates, "left_semi", "id", "text")
     return (
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+        aligned_docs.select("id", F.xxhash64("text").alias("key"), "text")
         .join(candidates.withColumnsRenamed({"id": "c_id", "key": "c_key"}), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")))
         .select("id", "key", let(phrase_words(F.col("text")), lambda w: _confirmed(w, F.col("alignments"))).alias("hits"))
         .select("id", "key", "hits.*")
@@ -125,7 +139,7 @@ def phrase_hits(
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, and the sorted ids (as strings) of the items with hits."""
     found = rows_with_hits(docs, items, id_col, text_col, item_id, item_text, window)
-    out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.size(phrase_words(F.col(text_col))).cast("bigint").alias("n_words"))
+    out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.size(split_words(F.col(text_col))).cast("bigint").alias("n_words"))
     return out.join(
         found.withColumnsRenamed({"id": "f_id", "key": "f_key"}), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), "left"
     ).select(
