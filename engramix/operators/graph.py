@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.scalars import lookup
+from .search import top_k
 
 #: Fixed values of the engine's contract.
 LINK_MULTIPLIERS = {
@@ -63,8 +63,7 @@ def activate(seeds: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
         gained = gained.unionByName(moved)
         frontier = moved.groupBy("query_id", F.col("node").alias("source")).agg(F.max("energy").alias("e"))
     total = gained.groupBy("query_id", "node").agg(F.round(F.least(F.lit(1.0), F.sum("energy")), 6).alias("energy"))
-    order = W.partitionBy("query_id").orderBy(F.desc("energy"), F.asc("node"))
-    return total.withColumn("rank_position", F.row_number().over(order)).filter(F.col("rank_position") <= MOST_NODES)
+    return top_k(total, MOST_NODES, [F.desc("energy"), F.asc("node")], "query_id")
 
 
 def shared_evidence(links: DataFrame, episodes: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ K1, B = 1.2, 0.75
 def top_k(df: DataFrame, k: int, order: list[Column], by: str | list[str], rank: str = "rank_position") -> DataFrame:
     """The first k rows of each group, with their rank. Spark cuts each task's rows before the shuffle."""
     keys = [by] if isinstance(by, str) else by
-    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
+    cut = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
+    return cut.withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def tokens(text: Column) -> Column:

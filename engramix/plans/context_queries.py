@@ -61,7 +61,7 @@ TERM = r"list_filter(list_distinct(list_filter(regexp_split_to_array(lower(query
 @query(
     f"""WITH {BM25}, t AS (SELECT query_id, {TERM} AS ts FROM queries), j AS (SELECT query_id, node_id, ts, lower(search_text) AS low, node_id % 2 = 0 AS protects FROM bm JOIN t USING (query_id) JOIN search_documents USING (node_id) WHERE rank_position <= 20),
 c AS (SELECT query_id, node_id, protects, CASE WHEN len(ts) = 0 THEN 0.0 ELSE len(list_filter(ts, lambda x: contains(low, x))) / CAST(len(ts) AS DOUBLE) END AS cov FROM j)
-SELECT query_id, node_id, round(cov, 6) AS coverage, round(CASE WHEN protects THEN 0.16 * cov ELSE 0.0 END, 8) AS boost, CASE WHEN protects AND cov < 0.5 AND node_id % 3 = 0 THEN 0.45 ELSE 0.0 END AS hub FROM c""",
+SELECT query_id, node_id, round(cov, 6) AS coverage, round(CASE WHEN protects THEN 0.16 * cov ELSE 0.0 END, 8) AS boost, CAST(CASE WHEN protects AND cov < 0.5 AND node_id % 3 = 0 THEN 0.45 ELSE 0.0 END AS DOUBLE) AS hub FROM c""",
     ("search_documents", "queries"))
 def slot_coverage(m):
     ranked = search.bm25(m.search_documents, m.queries, 20)
