@@ -27,6 +27,8 @@ from pyspark.sql import Window as W
 from .common import keyed_rows, let, lower_ascii, materialize
 
 WINDOW = 10
+#: Up to so many words of all items together, the items are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
 #: Between words: ASCII but letters (of either case) and digits.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -114,8 +116,12 @@ def rows_with_hits(
     by_item = anchors.groupBy("item_id").agg(F.collect_list(F.struct("start", "len", "a1", "a2")).alias("windows"))
     texts = windows.filter(F.col("start") == 0).select("item_id", "words").distinct()
     intersected = F.filter("windows", lambda w: F.array_contains("at", w["a1"]) & F.array_contains("at", w["a2"]) & (w["start"] + F.col("shift") >= 0))
+    items_side = by_item.join(texts, "item_id")
+    n_words = windows.filter(F.col("start") == 0).agg(F.sum(F.size("words"))).first()[0]
+    if (n_words or 0) <= BROADCAST_WORDS:  # an item with most of the alignments is then no hot spot
+        items_side = F.broadcast(items_side)
     candidates = (
-        aligned.join(by_item.join(texts, "item_id"), "item_id")
+        aligned.join(items_side, "item_id")
         .select("id", "key", "item_id", "shift", F.col("words").alias("item_words"), intersected.alias("windows"))
         .filter(F.size("windows") > 0)
         .groupBy("id", "key")
