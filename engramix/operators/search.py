@@ -78,20 +78,32 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", t
 def containment(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
     """Score (terms + 1) for the whole query plus 1 for each term that a document holds as a substring.
 
-    A stated query set against all documents, in blocks of queries.
+    A term has no blanks, so it lies inside one field of the text. The corpus' distinct
+    fields are cut into substrings of the lengths that terms have and equi-joined
+    with the terms; fields lead back to documents. Only documents with all terms of a
+    query are searched for the whole of it.
     """
     asked = queries.select("query_id", F.lower("query_text").alias("q"), T.fields(F.col("query_text")).alias("terms")).filter(F.size("terms") > 0)
-    low = F.col("low")
-    scores = F.transform(
-        "qs",
-        lambda q: F.struct(
-            q["query_id"].alias("query_id"),
-            (F.when(F.contains(low, q["q"]), F.size(q["terms"]) + 1).otherwise(0) + F.size(F.filter(q["terms"], lambda t: F.contains(low, t)))).cast("bigint").alias("score"),
-        ),
-    )
     rows = docs.select(F.col(id_col).alias("node_id"), "updated_s", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    hits = against_blocks(rows, asked, lambda met: met.select("node_id", "updated_s", F.inline(F.filter(scores, lambda s: s["score"] > 0))))
-    return top_k(hits, k, [F.desc("score"), F.desc_nulls_last("updated_s"), F.asc("node_id")], "query_id").select("query_id", "node_id", "score", "rank_position")
+    each = asked.select("query_id", F.explode("terms").alias("term"))
+    terms = each.select("term").distinct()
+    lengths = terms.agg(F.array_sort(F.collect_set(F.length("term"))).alias("lengths"))  # one row; as many as a term has characters at most
+    fields = rows.select("node_id", F.explode(T.fields(F.col("low"))).alias("field"))
+    pieces = F.flatten(
+        F.transform(
+            F.filter("lengths", lambda n: n <= F.length("field")),
+            lambda n: F.transform(F.sequence(F.lit(1), F.length("field") - n + 1), lambda i: F.substring(F.col("field"), i, n)),
+        )
+    )
+    cut = fields.select("field").distinct().join(F.broadcast(lengths)).select("field", F.explode(F.array_distinct(pieces)).alias("term"))
+    held = fields.join(cut.join(terms, "term", "left_semi"), "field").select("node_id", "term").distinct()
+    counted = held.join(each, "term").groupBy("query_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = asked.select("query_id", "q", F.size("terms").cast("bigint").alias("size"))
+    scored = counted.join(sizes, "query_id").select("query_id", "node_id", "n", "size", F.when(F.col("n") == F.col("size"), F.col("q")).alias("q"))
+    whole = scored.filter(F.col("q").isNotNull()).join(rows.select("node_id", "low"), "node_id").filter(F.contains("low", "q")).select("query_id", "node_id", (F.col("size") + 1).alias("bonus"))
+    total = scored.select("query_id", "node_id", "n").join(whole, ["query_id", "node_id"], "left").select("query_id", "node_id", (F.col("n") + F.coalesce("bonus", F.lit(0))).alias("score"))
+    dated = total.join(rows.select("node_id", "updated_s"), "node_id")
+    return top_k(dated, k, [F.desc("score"), F.desc_nulls_last("updated_s"), F.asc("node_id")], "query_id").select("query_id", "node_id", "score", "rank_position")
 
 
 def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
