@@ -113,7 +113,7 @@ FROM d LEFT JOIN w USING (rid) LEFT JOIN t USING (rid)
 
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"), endpoint_links=True)
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select(
         "doc_id", *[count(k) for k in secrets.BASE_KINDS],

@@ -5,7 +5,7 @@ long hexadecimal runs. Weak parts (long mixed tokens, shorter access identifiers
 service endpoints) mean little alone. A scope is a text with its blocks of
 ``SCOPE`` characters: parts are joined by interval, and a weak secret is
 reported only where a complementary part lies within ``SCOPE`` characters: a
-weak token needs an access identifier and an endpoint, or an access identifier,
+weak token needs an access identifier, or with ``endpoint_links`` a service endpoint,
 near it; a weak identifier needs a token or an assignment.
 
 Positions are code points, ends exclusive. Null and empty texts have no
@@ -75,10 +75,10 @@ def sort_spans(spans: Column) -> Column:
     return F.transform(F.sort_array(F.transform(spans, lambda x: F.struct(x["s"], rank(x["kind"]), x.alias("x")))), lambda o: o["x"])
 
 
-def link_parts(rows: DataFrame) -> DataFrame:
+def link_parts(rows: DataFrame, endpoint_links: bool = False) -> DataFrame:
     """``rid, kind, s, e`` of the weak parts that complementary parts confirm.
 
-    ``rows`` has ``rid``, ``base`` and ``weak``. Both sides of the interval join
+    ``rows`` has ``rid``, ``base`` and ``weak``. With ``endpoint_links`` an endpoint confirms a token. Both sides of the interval join
     are cut into blocks of ``SCOPE`` characters; a part looks into its own block and the
     neighbouring ones, so that every pair within ``SCOPE`` meets exactly once
     by the partner's block. Only whether a partner exists is kept (semi-joins),
@@ -87,7 +87,7 @@ def link_parts(rows: DataFrame) -> DataFrame:
     strong = rows.select("rid", F.explode("base").alias("p")).select("rid", "p.*")
     weak = rows.select("rid", F.explode("weak").alias("p")).select("rid", "p.*")
     partners = (
-        strong.unionByName(weak)
+        strong.unionByName(weak if endpoint_links else weak.filter(F.col("kind") != "endpoint"))
         .select("rid", "kind", "s", "e", F.explode(F.sequence(F.floor(F.col("s") / SCOPE), F.floor(F.col("e") / SCOPE))).alias("block"))
         .withColumnsRenamed({"kind": "p_kind", "s": "p_s", "e": "p_e"})
     )
@@ -97,7 +97,7 @@ def link_parts(rows: DataFrame) -> DataFrame:
     )
     # Nothing may confirm itself, so parts that overlap don't count.
     near = (F.col("p_s") >= F.col("e")) & (F.col("p_s") - F.col("e") <= SCOPE) | (F.col("s") >= F.col("p_e")) & (F.col("s") - F.col("p_e") <= SCOPE)
-    complements = ((F.col("kind") == "token") & F.col("p_kind").isin("access", "weak_access")) | (
+    complements = ((F.col("kind") == "token") & F.col("p_kind").isin("access", "weak_access", "endpoint")) | (
         (F.col("kind") == "weak_access") & F.col("p_kind").isin("token", "assign")
     )
     joined = seekers.alias("w").join(
@@ -110,7 +110,7 @@ def link_parts(rows: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", endpoint_links: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, ``base`` and ``spans`` (base and linked findings)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(
@@ -118,7 +118,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.monotonically_increasing_id().alias("rid"), "*"
         )
     )
-    linked = link_parts(rows).groupBy("rid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("linked"))
+    linked = link_parts(rows, endpoint_links).groupBy("rid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("linked"))
     return rows.join(linked, "rid", "left").select(
         id_col,
         "base",

@@ -170,6 +170,16 @@ def test_weak_parts_need_complements(spark):
     assert got == {0: [], 1: ["access", "linked_token"], 2: ["access"], 3: ["linked_access", "linked_token"], 4: [], 5: []}
 
 
+def test_endpoints_confirm_tokens(spark, monkeypatch):
+    token = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
+    ends = ["https://db.example.com/x", "jdbc:mysql:db1", "postgres://db/x", "mongodb+srv://db/x", "s3://bucket/x"]
+    texts = [f"{e} {token}" for e in ends] + [f"{token} at {ends[0]}", f"{ends[0]} {'x ' * 150} {token}", f"{ends[0]}/{token}", f"{ends[0]} client_id=abcdefgh1", ends[0]]
+    docs = frame(spark, texts)
+    got = {r.doc_id: [x.split(":")[0] for x in r.spans.split(",") if x] for r in as_query(monkeypatch, "op10_secrets", docs)(spark, SMALL).collect()}
+    assert got == {i: ["linked_token"] if i < 6 else [] for i in range(len(texts))}
+    assert all(secrets_kinds(r) == [] for r in secrets.find_secrets(docs).collect())
+
+
 def secrets_kinds(r):
     return [x.kind for x in r.spans]
 
