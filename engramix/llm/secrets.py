@@ -29,7 +29,7 @@ ASSIGN = r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\
 ASSIGN_VALUE = r"(?i)^(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)$"
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{24,128}+={0,2}+(?![A-Za-z0-9+/_=.-])"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_-])"
 WEAK_ACCESS = r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{12,20}|(?:key|acct|client)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{8,64})(?![A-Za-z0-9])"
 ENDPOINT = r"(?:https?://|jdbc:|postgres(?:ql)?://|mongodb(?:\+srv)?://|s3://)[^\s\"'<>]{4,200}"
 PART_TYPE = "array<struct<kind:string,s:bigint,e:bigint>>"
