@@ -1,15 +1,20 @@
 """Toxicity (operator 4): nearest labelled examples by exact TF-IDF cosine, found with a
 block-max inverted index; distance-weighted votes give calibrated scores and evidence.
 
-Terms are words and word beginnings (``PREFIXES`` letters), each at up to three rate
-levels (its share of the text's words), so that a vector shows how dense a term is. The
-vocabulary holds the terms with the highest log-likelihood ratio towards label 1.
+Terms are words and word beginnings (``PREFIXES`` letters), each once for its presence,
+however long the text, and once for each of up to three rate levels (its share of the text's
+words), so that a vector shows how dense a term is. The vocabulary holds all terms that
+lean towards label 1; none is cut by its number or its likelihood ratio. The ratio G scales a
+weight instead, by (G / (G + E)) squared, so that chance finds count little; E is ``EVIDENCE``,
+or ``EVIDENCE_SHARE`` of the ratio of a perfect term if the sample is too small for that. A
+weight that all vectors share, ``GROUND`` of a label-1 example's length, keeps texts with
+nothing but chance finds apart from toxic ones.
 
 The labelled examples are a bounded sample (``PER_LABEL`` rows of each label), indexed
-whole on the driver and sent to the workers: at most ``2 * PER_LABEL`` sparse vectors
-over ``VOCABULARY`` terms. Postings lie in blocks of ``BLOCK`` examples with the largest
-weight of each; a query visits blocks by falling bound and stops once no
-block can hold a nearer example, so the neighbours are exact.
+whole on the driver and sent to the workers: at most ``2 * PER_LABEL`` sparse vectors.
+Postings lie in blocks of ``BLOCK`` examples with the largest weight of each; a query
+visits the ``FIRST`` blocks of the highest bounds, then all others that may hold a nearer
+example, so the neighbours are exact.
 
 A neighbour votes with 1 / (0.05 + distance), scaled so that both labels weigh as in
 the whole labelled table. A logistic curve fitted on leave-one-out votes calibrates
@@ -24,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,12 +40,16 @@ from pyspark.sql import functions as F
 from .folds import balanced_ids, sample_texts
 
 PER_LABEL = 1500
-VOCABULARY = 500
-LEAST_RATIO = 30.0
+EVIDENCE = 100.0
+EVIDENCE_SHARE = 1 / 16
+GROUND = 0.2
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (0.002, 0.006, 0.02)
+#: Of a term's words in a text: the first level is presence alone.
+FLOORS = np.array((0.0, *LEVELS))
 NEIGHBOURS = 21
 BLOCK = 64
+FIRST = 8
 WORD = re.compile(r"[^\W\d_]+")
 WORD_CACHE = 200_000
 
@@ -49,42 +58,95 @@ def word_terms(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in PREFIXES if len(word) > n)]
 
 
-def text_terms(text: str, known: dict[str, tuple[str, ...]] | None = None) -> set[tuple[str, int]]:
-    """(term, level) of a text. ``known`` limits the words to their terms in the vocabulary."""
+NO_TERMS = np.empty(0, np.int32)
+
+
+def text_terms(text: str, terms_of: Callable[[str], np.ndarray]) -> np.ndarray:
+    """Codes (term * levels + level) of a text, ascending. ``terms_of`` gives the numbers of a word's terms."""
     words = Counter(WORD.findall(text.lower()))
-    total = sum(words.values()) + 20
-    counts: Counter = Counter()
-    for w, m in words.items():
-        for t in word_terms(w) if known is None else known.get(w, ()):
-            counts[t] += m
-    return {(t, i) for t, m in counts.items() for i, level in enumerate(LEVELS) if m >= level * total}
+    found = [(t, m) for w, m in words.items() if len(t := terms_of(w))]
+    if not found:
+        return np.empty(0, np.int64)
+    each = np.concatenate([t for t, _ in found])
+    times = np.repeat(np.array([m for _, m in found]), [len(t) for t, _ in found])
+    terms, place = np.unique(each, return_inverse=True)
+    counts = np.bincount(place, times)
+    reached = counts[:, None] >= FLOORS * (sum(words.values()) + 20)
+    return (terms[:, None].astype(np.int64) * len(FLOORS) + np.arange(len(FLOORS)))[reached]
 
 
 class BlockMaxIndex:
     """Unit vectors of examples, searched exactly by inner product."""
 
     def __init__(self, vectors: np.ndarray):
-        self.n = len(vectors)
-        blocks = -(-self.n // BLOCK)
-        padded = np.zeros((blocks * BLOCK, vectors.shape[1]), np.float32)
-        padded[: self.n] = vectors
-        # terms x blocks x examples: the postings of a term in a block lie together.
-        self.postings = np.ascontiguousarray(padded.reshape(blocks, BLOCK, -1).transpose(2, 0, 1))
-        self.block_max = self.postings.max(axis=2)
+        at, terms = np.nonzero(vectors)
+        self._build(at, terms, vectors[at, terms], *vectors.shape)
+
+    @classmethod
+    def of(cls, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, size: int) -> BlockMaxIndex:
+        """``weights`` of ``terms`` (below ``size``) in the examples ``at`` (below ``n``)."""
+        index = cls.__new__(cls)
+        index._build(at, terms, weights, n, size)
+        return index
+
+    def _build(self, at, terms, weights, n, size):
+        order = np.lexsort((at, terms))
+        self._fill(n, np.bincount(terms, minlength=size), at[order].astype(np.int32), weights[order].astype(np.float32))
+
+    def _fill(self, n, lengths, at, weights):
+        self.n, self.blocks, self.lengths, self.at, self.weights = n, -(-n // BLOCK), lengths.astype(np.int32), at, weights
+        # A cell is a term's postings in a block: they lie together, and cell c ends where c + 1 starts.
+        cell = np.repeat(np.arange(len(lengths)), lengths) * self.blocks + at // BLOCK
+        cells = len(lengths) * self.blocks
+        self.starts = np.zeros(cells + 1, np.int32)
+        np.cumsum(np.bincount(cell, minlength=cells), out=self.starts[1:])
+        self.block_max = np.zeros(cells, np.float32)
+        if len(cell):
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            self.block_max[cell[first]] = np.maximum.reduceat(weights, first)
+        self.block_max = self.block_max.reshape(len(lengths), self.blocks)
+
+    def __getstate__(self):
+        """The postings only; the cells, most of them empty, are counted again by the worker."""
+        return self.n, self.lengths, self.at.astype(np.uint16 if self.n < 1 << 16 else np.int32), self.weights
+
+    def __setstate__(self, state):
+        n, lengths, at, weights = state
+        self._fill(n, lengths, at.astype(np.int32), weights)
+
+    def scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Inner products with the examples of ``blocks``; 0 for all others."""
+        if len(blocks) == self.blocks:
+            starts = self.starts[terms * self.blocks][:, None]
+            lengths = self.starts[(terms + 1) * self.blocks][:, None] - starts
+        else:
+            cells = terms[:, None] * self.blocks + blocks
+            starts = self.starts[cells]
+            lengths = self.starts[cells + 1] - starts
+        held = lengths > 0
+        per_term = (lengths.sum(axis=1), weights)
+        starts, lengths = starts[held], lengths[held]
+        ends = np.cumsum(lengths)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+        return np.bincount(self.at[places], np.repeat(per_term[1], per_term[0]) * self.weights[places], self.n).astype(np.float32)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples (positions, cosines) with a cosine above 0; ties to the earlier."""
         bounds = weights @ self.block_max[terms]
         order = np.argsort(-bounds, kind="stable")
+        terms = terms.astype(np.int64)
         at, cos = np.empty(0, np.int64), np.empty(0, np.float32)
-        for b in order:
-            if bounds[b] <= 1e-6 or len(cos) == k and bounds[b] < cos[-1] - 1e-6:
+        for visit in (order[:FIRST], order[FIRST:]):
+            visit = visit[bounds[visit] > 1e-6]
+            if len(cos) == k:
+                visit = visit[bounds[visit] >= cos[-1] - 1e-6]
+            if not len(visit):
                 break
-            scores = weights @ self.postings[terms, b]
-            found = np.flatnonzero(scores > 1e-6)
-            at, cos = np.append(at, found + b * BLOCK), np.append(cos, scores[found])
+            scores = self.scores(terms, weights, visit)
             if skip >= 0:
-                cos, at = cos[at != skip], at[at != skip]
+                scores[skip] = 0
+            found = np.flatnonzero(scores > 1e-6)
+            at, cos = np.append(at, found), np.append(cos, scores[found])
             top = np.lexsort((at, -cos))[:k]
             at, cos = at[top], cos[top]
         return at, cos
@@ -92,7 +154,8 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
-    terms: dict[tuple[str, int], int]
+    names: dict[str, int]
+    places: np.ndarray
     idf: np.ndarray
     index: BlockMaxIndex | None
     labels: np.ndarray
@@ -100,17 +163,22 @@ class ToxicityModel:
     vote_scale: tuple[float, float]
     curve: tuple[float, float] = (1.0, 0.0)
     blank_score: float = 0.0
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    known: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def __post_init__(self):
-        self.names = {t for t, _ in self.terms}
+    def terms_of(self, word: str) -> np.ndarray:
+        if (found := self.known.get(word)) is None:
+            at = [self.names[t] for t in word_terms(word) if t in self.names]
+            found = self.known[word] = np.array(at, np.int32) if at else NO_TERMS
+        return found
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights; the last is the ground, which texts without other terms lack."""
         if len(self.known) > WORD_CACHE:
             self.known.clear()
-        for w in set(WORD.findall(text.lower())).difference(self.known):
-            self.known[w] = tuple(t for t in word_terms(w) if t in self.names)
-        at = np.array(sorted(self.terms[x] for x in text_terms(text, self.known) if x in self.terms), np.int64)
+        at = self.places[text_terms(text, self.terms_of)]
+        at = at[at >= 0]
+        if len(at):
+            at = np.append(at, len(self.idf) - 1)
         w = self.idf[at]
         return at, (w / (np.linalg.norm(w) or 1.0)).astype(np.float32)
 
@@ -137,14 +205,14 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
-def likelihood_ratio(a: int, b: int, p: int, n: int) -> float:
-    """2 log of the likelihood ratio of a term in a of p and b of n texts."""
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, p: int, n: int) -> np.ndarray:
+    """2 log of the likelihood ratio of terms in a of p and b of n texts."""
 
-    def h(x: int, of: int) -> float:
-        return x * math.log(x / of) if x else 0.0
+    def h(x, of):
+        return x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, of, 1))
 
     t, total = a + b, p + n
-    return 2 * (h(a, t) + h(b, t) + h(p - a, total - t) + h(n - b, total - t) - h(p, total) - h(n, total))
+    return 2 * (h(a, t) + h(b, t) + h(p - a, total - t) + h(n - b, total - t) - h(np.int64(p), total) - h(np.int64(n), total))
 
 
 def train(sample: list[tuple[str, int]], shares: tuple[float, float], ids: list | None = None) -> ToxicityModel:
@@ -152,29 +220,47 @@ def train(sample: list[tuple[str, int]], shares: tuple[float, float], ids: list
     labels = np.array([int(y) for _, y in sample], np.int64)
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0:
-        return ToxicityModel({}, np.zeros(0), None, labels, [], (1.0, 1.0))
-    found = [text_terms(text) for text, _ in sample]
-    seen = (Counter(), Counter())
-    for terms, y in zip(found, labels):
-        seen[y].update(terms)
-    ranked = sorted(
-        (-likelihood_ratio(c, seen[0][t], n1, n0), t) for t, c in seen[1].items() if c >= 4 and c * n0 > seen[0][t] * n1
-    )
-    chosen = {t: i for i, (g, t) in enumerate(ranked[:VOCABULARY]) if -g >= LEAST_RATIO}
+        return ToxicityModel({}, NO_TERMS, np.zeros(0), None, labels, [], (1.0, 1.0))
+    names: dict[str, int] = {}
+    found: list = [None] * len(sample)
+    for i in np.argsort(-labels, kind="stable"):  # label 1 first: terms that it lacks can't lean towards it
+        add = labels[i] == 1
+
+        def terms_of(word: str) -> np.ndarray:
+            return np.array([names.setdefault(t, len(names)) if add else names[t] for t in word_terms(word) if add or t in names], np.int32)
+
+        found[i] = text_terms(sample[i][0], terms_of).astype(np.int32)
+    size = len(names) * len(FLOORS)
+    seen = [np.bincount(np.concatenate([NO_TERMS, *(c for c, y in zip(found, labels) if y == label)]), minlength=size) for label in (0, 1)]
+    chosen = np.flatnonzero(seen[1] * n0 > seen[0] * n1)
+    places = np.full(size, -1, np.int32)
+    places[chosen] = np.arange(len(chosen))
     scale = (shares[0] / n0, shares[1] / n1)
-    share = np.array([seen[1][t] * scale[1] + seen[0][t] * scale[0] for t in chosen])
-    idf = np.log(1 / np.maximum(share, 1e-4)) if len(share) else np.zeros(0)
-    vectors = np.zeros((len(sample), len(chosen)), np.float32)
-    for i, terms in enumerate(found):
-        at = [chosen[t] for t in terms if t in chosen]
-        vectors[i, at] = idf[at]
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    model = ToxicityModel(chosen, idf, BlockMaxIndex(vectors), labels, ids or list(range(len(sample))), scale)
+    share = seen[1][chosen] * scale[1] + seen[0][chosen] * scale[0]
+    ratio = likelihood_ratio(seen[1][chosen], seen[0][chosen], n1, n0)
+    perfect = float(likelihood_ratio(np.array([n1]), np.array([0]), n1, n0)[0])
+    idf = np.append(np.log(1 / np.clip(share, 1e-4, 1)) * (ratio / (ratio + min(EVIDENCE, EVIDENCE_SHARE * perfect))) ** 2, 0.0)
+    kept = [at[at >= 0] for at in (places[codes] for codes in found)]
+    if len(norms := [n for at, y in zip(kept, labels) if y == 1 and (n := np.linalg.norm(idf[at]))]):
+        idf[-1] = GROUND * np.median(norms)
+    vectors = []
+    for at in kept:
+        at = np.append(at, len(chosen)) if len(at) else at
+        w = idf[at]
+        vectors.append((at, (w / (np.linalg.norm(w) or 1.0)).astype(np.float32)))
+    lengths = [len(at) for at, _ in vectors]
+    index = BlockMaxIndex.of(
+        np.repeat(np.arange(len(sample)), lengths), np.concatenate([at for at, _ in vectors]), np.concatenate([w for _, w in vectors]), len(sample), len(idf)
+    )
+    leaning = (places.reshape(-1, len(FLOORS)) >= 0).any(axis=1)
+    places = places.reshape(-1, len(FLOORS))[leaning].ravel()
+    names = {t: i for i, t in enumerate(t for t, keep in zip(names, leaning) if keep)}
+    model = ToxicityModel(names, places, idf, index, labels, ids or list(range(len(sample))), scale)
     weights = np.where(labels == 1, scale[1], scale[0])
     votes = np.full(len(sample), np.nan)
     for i in range(len(sample)):
-        if len(at := np.flatnonzero(vectors[i])):
-            near, cos = model.index.search(at, vectors[i, at], NEIGHBOURS, skip=i)
+        if len(vectors[i][0]):
+            near, cos = model.index.search(*vectors[i], NEIGHBOURS, skip=i)
             if len(near):
                 votes[i] = model.vote(near, cos)
     blank = np.isnan(votes)

@@ -1,3 +1,4 @@
+import pickle
 import zlib
 
 import numpy as np
@@ -47,6 +48,23 @@ def test_index_is_exact():
         assert np.allclose(np.sort(cos), np.sort(scores[want]), atol=1e-5)
 
 
+def test_toxic_passages_count_in_texts_of_any_length():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abdeklmnorstu"), 6)) for _ in range(300)]
+    filler = lambda n: " ".join(rng.choice(words, n))
+    toxic = [f"{filler(60)} {w} fool and vile scoundrel {filler(60)}" for w in ["zlorpish"] * 3 + ["wretched"] * 57]
+    model = toxicity.train([(t, 1) for t in toxic] + [(filler(120), 0) for _ in range(60)], (0.5, 0.5))
+    for n in (0, 100, 1_000, 10_000):
+        text = f"{filler(n)} wretched fool and vile scoundrel {filler(n)}"
+        assert model.score(text)[0] >= 0.7 and model.score(filler(2 * n))[0] < 0.3
+    at, w = model.vector("zlorpish")  # in three examples only
+    assert set(model.index.search(at[:-1], w[:-1], 9)[0]) == {0, 1, 2}
+    shipped = pickle.loads(pickle.dumps(model))
+    assert shipped.score(toxic[9]) == model.score(toxic[9])
+    few = toxicity.train([("you vile zlorp", 1), ("you kind friend", 0)] * 2, (0.5, 0.5))
+    assert few.score("a zlorp")[0] > few.score("a friend")[0]
+
+
 @pytest.mark.parametrize("module, column", [(toxicity, "toxic"), (quality_model, "quality")])
 def test_edge_cases(spark, module, column):
     texts = [("nasty awful words in here", 1), ("pleasant calm words in here", 0)] * 30
