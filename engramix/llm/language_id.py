@@ -5,8 +5,8 @@ penalties, then temperature calibration.
 Texts are lower-cased; every character but letters counts as one blank (runs of
 blanks as one). N-grams of 1 to 3 characters are hashed into ``FEATURES``
 places; the whole text is counted, in blocks. The model is fitted on the driver on a
-bounded sample: ``PER_LABEL`` texts of each language (``MAX_LANGUAGES`` most
-frequent languages at most); every fifth of them is held back for the temperature.
+sample: ``PER_LABEL`` texts of each language at most, of all languages (it
+grows with their number); every fifth text is held back for the temperature.
 
 Null texts and texts without a letter are ``und`` with score 0. Repeated rows
 give repeated results; without labelled rows every text is ``und``; empty tables
@@ -28,7 +28,6 @@ from .folds import balanced_ids, sample_texts
 
 FEATURES = 1 << 14
 PER_LABEL = 500
-MAX_LANGUAGES = 200
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 #: Characters counted at once.
@@ -75,6 +74,11 @@ def ngram_counts(text: str) -> np.ndarray | None:
     return total
 
 
+def nonzero(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -83,20 +87,19 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
 
-    def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(counts)
-        x = np.log1p(counts[at]) * self.idf[at]
+    def vector(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.log1p(counts) * self.idf[at]
         return at, x / (np.linalg.norm(x) or 1.0)
 
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        at, x = self.vector(counts)
+    def logits(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        at, x = self.vector(at, counts)
         return x @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = ngram_counts(text) if text and self.languages else None
         if counts is None:
             return UNDETERMINED, 0.0
-        p = _softmax(self.logits(counts) / self.temperature)
+        p = _softmax(self.logits(*nonzero(counts)) / self.temperature)
         best = int(np.argmax(p))
         return self.languages[best], float(p[best])
 
@@ -125,9 +128,10 @@ def fit_temperature(logits: np.ndarray, classes: np.ndarray) -> float:
 def train(sample: list[tuple[str, str]]) -> LanguageModel:
     """FTRL-proximal over the sample's texts, in a fixed shuffled order."""
     languages = sorted({label for _, label in sample})
-    rows = [(c, languages.index(label)) for text, label in sample if (c := ngram_counts(text)) is not None]
+    place = {label: i for i, label in enumerate(languages)}
+    rows = [(nonzero(c), place[label]) for text, label in sample if (c := ngram_counts(text)) is not None]
     n = len(languages)
-    df = sum(((c > 0).astype(np.int64) for c, _ in rows), np.zeros(FEATURES, np.int64))
+    df = np.bincount(np.concatenate([np.empty(0, np.int64), *(at for (at, _), _ in rows)]), minlength=FEATURES)
     model = LanguageModel(languages, np.log((1 + len(rows)) / (1 + df)) + 1, np.zeros((FEATURES, n)), np.zeros(n), 1.0)
     order = np.random.default_rng(11).permutation(len(rows))
     held, fitted = order[::5], np.setdiff1d(order, order[::5])
@@ -137,7 +141,7 @@ def train(sample: list[tuple[str, str]]) -> LanguageModel:
         small = np.abs(z[at]) <= L1
         return np.where(small, 0.0, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(squares[at])) / ALPHA + L2))
 
-    vectors = {i: model.vector(rows[i][0]) for i in fitted}
+    vectors = {i: model.vector(*rows[i][0]) for i in fitted}
     for epoch in range(EPOCHS):
         for i in np.random.default_rng(epoch).permutation(fitted):
             at, x = vectors[i]
@@ -152,15 +156,14 @@ def train(sample: list[tuple[str, str]]) -> LanguageModel:
     full = weights(np.arange(FEATURES + 1))
     model.weights, model.bias = full[:-1], 0.1 * full[-1]
     if len(held):
-        model.temperature = fit_temperature(np.array([model.logits(rows[i][0]) for i in held]), np.array([rows[i][1] for i in held]))
+        model.temperature = fit_temperature(np.array([model.logits(*rows[i][0]) for i in held]), np.array([rows[i][1] for i in held]))
     return model
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> LanguageModel:
     """The model of the rows' languages, from at most ``per_label`` rows of each."""
     named = labelled.filter(F.col(lang_col).isNotNull())
-    frequent = named.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).select(lang_col)
-    ids = balanced_ids(named.select(id_col, lang_col).join(F.broadcast(frequent), lang_col), lang_col, per_label, id_col)
+    ids = balanced_ids(named, lang_col, per_label, id_col)
     return train([row[1:] for row in sample_texts(labelled, ids, id_col, text_col)])
 
 

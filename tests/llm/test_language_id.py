@@ -30,6 +30,14 @@ def test_edge_cases(spark):
     assert {r.lang_pred for r in language_id.identify(odd, empty).collect()} == {"und"}
 
 
+def test_all_languages_are_learned(spark):
+    names = [f"l{i:03d}" for i in range(205)]
+    texts = [(f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 3, n) for i, n in enumerate(names) for _ in range(2 if i < 204 else 1)]
+    docs = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == names and model.weights.shape[1] == 205
+
+
 def test_counts_are_of_the_whole_text(monkeypatch):
     text = "ab c " * 1000
     whole = language_id.ngram_counts(text)
