@@ -15,7 +15,7 @@ two rarest words stand within a distance, in any order.
 
 Rows are keyed by id and a 64-bit hash of the text, so repeated ids are safe.
 Null and empty texts have no words; items without words have no windows; empty
-tables give no hits. Other columns of the input are not read.
+tables give no hits. Items with a null id count as hits but are not listed. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -100,7 +100,9 @@ def rows_with_hits(
     Only rows with an alignment are split into words again for the exact comparison.
     """
     corpus = corpus_words(docs, id_col, text_col)
-    windows = materialize(item_windows(items, item_id, item_text, window))
+    # Items are keyed by a row number: ids may be null or repeated.
+    numbered = materialize(items.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("name"), F.col(item_text).alias("text")))
+    windows = materialize(item_windows(numbered, "item", "text", window))
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
     anchors = materialize(choose_anchors(windows, term_counts(corpus, vocabulary)))
     places = anchors.select("item_id", F.explode(F.array(F.struct(F.col("t1").alias("term"), F.col("a1").alias("at")), F.struct(F.col("t2").alias("term"), F.col("a2").alias("at")))).alias("a"))
@@ -114,7 +116,7 @@ def rows_with_hits(
         .agg(F.collect_set("at").alias("at"))
     )
     by_item = anchors.groupBy("item_id").agg(F.collect_list(F.struct("start", "len", "a1", "a2")).alias("windows"))
-    texts = windows.filter(F.col("start") == 0).select("item_id", "words").distinct()
+    texts = windows.filter(F.col("start") == 0).select("item_id", "words").join(numbered.select(F.col("item").alias("item_id"), "name"), "item_id")
     intersected = F.filter("windows", lambda w: F.array_contains("at", w["a1"]) & F.array_contains("at", w["a2"]) & (w["start"] + F.col("shift") >= 0))
     items_side = by_item.join(texts, "item_id")
     n_words = windows.filter(F.col("start") == 0).agg(F.sum(F.size("words"))).first()[0]
@@ -122,7 +124,7 @@ def rows_with_hits(
         items_side = F.broadcast(items_side)
     candidates = (
         aligned.join(items_side, "item_id")
-        .select("id", "key", "item_id", "shift", F.col("words").alias("item_words"), intersected.alias("windows"))
+        .select("id", "key", F.col("name").alias("item_id"), "shift", F.col("words").alias("item_words"), intersected.alias("windows"))
         .filter(F.size("windows") > 0)
         .groupBy("id", "key")
         .agg(F.collect_list(F.struct("item_id", "shift", "item_words", "windows")).alias("alignments"))
@@ -135,7 +137,7 @@ def rows_with_hits(
         .join(candidates.withColumnsRenamed({"id": "c_id", "key": "c_key"}), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")))
         .select("id", "key", let(phrase_words(F.col("text")), lambda w: _confirmed(w, F.col("alignments"))).alias("hits"))
         .select("id", "key", "hits.*")
-        .filter(F.size("items") > 0)
+        .filter(F.col("n_hit") > 0)
         .dropDuplicates(["id", "key"])
     )
 
@@ -186,7 +188,7 @@ def _confirmed(words: Column, alignments: Column) -> Column:
         F.filter(checked, lambda c: F.size(c["at"]) > 0),
         lambda hits: F.struct(
             F.size(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["at"])))).cast("bigint").alias("n_hit"),
-            F.sort_array(F.array_distinct(F.transform(hits, lambda h: h["item"]))).alias("items"),
+            F.sort_array(F.array_distinct(F.array_compact(F.transform(hits, lambda h: h["item"])))).alias("items"),
         ),
     )
 

@@ -98,6 +98,14 @@ def test_decontamination(spark):
     assert [(d, n, h, len(i), brute.sha(i)) for d, n, h, i in rows] == sorted(w[:5] for w in want)
 
 
+def test_items_without_an_id_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "here one two three"), (2, "four five six here"), (3, "seven eight there"), (4, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (7, "four five six"), (7, "seven eight")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.phrase_hits(docs, items).collect()}
+    assert got == {1: (3, []), 2: (3, ["7"]), 3: (2, ["7"]), 4: (0, [])}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [4]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "rare filler filler word"), (2, "word a b c d e f g h i j k l rare"), (3, "rare")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "the rare word")], "item_id long, text string")
