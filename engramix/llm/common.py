@@ -30,15 +30,17 @@ ARROW_BYTES = 1 << 20
 
 def ship_package(spark: SparkSession) -> None:
     """Send the package to the executors, once per application: their Python workers need
-    it wherever the driver was started. Batches are kept small, as a worker and
-    its executor hold several at a time."""
+    it wherever the driver was started. Every operator with a Python worker calls this
+    itself. Batches are kept small, as a worker and its executor hold several at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[2]
-    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='engramix-')}/engramix", "zip", root, "engramix")
-    context.addPyFile(archive)
+    folder = tempfile.mkdtemp(prefix="engramix-")
+    # The driver serves the archive from here until it ends.
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/engramix", "zip", root, "engramix"))
     _SHIPPED.add(context.applicationId)
 
 
@@ -52,7 +54,6 @@ def give_back() -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -92,13 +93,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete the tables that operators of this process have written, and give their number. To be called
-    once the results that read them are stored: results are lazy, so no operator can tell."""
+def scratch_mark() -> int:
+    """The number of tables written so far, for ``clear_scratch``."""
+    return len(_SCRATCH)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that operators of this process have written (those after the first ``since``), and
+    give their number. To be called once the results that read them are stored: results are lazy, so no operator can tell."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _SCRATCH:
+    while len(_SCRATCH) > since:
         path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
@@ -113,7 +119,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 #: Up to so many rows (an id and a hash each) a list of row keys is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
+
+
+def appended(names: list[str], wanted: list[str]) -> list[str]:
+    """``wanted`` names for further columns; one that is taken (whatever its case) gets underscores in front."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def keyed_rows(docs: DataFrame, keys: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:

@@ -4,13 +4,15 @@ penalties, then temperature calibration.
 
 Texts are lower-cased; every character but letters counts as one blank (runs of
 blanks as one). N-grams of 1 to 3 characters are hashed into ``FEATURES``
-places; the whole text is counted, in blocks. The model is fitted on the driver on a
-sample: ``PER_LABEL`` texts of each language at most, of all languages (it
-grows with their number); every fifth text is held back for the temperature.
+places; the whole text is counted, in blocks that hand on their last two characters. The
+model is fitted on the driver on a sample: the counts (never the texts) of ``PER_LABEL`` texts
+of each language at most, of all languages (it grows with their number); every fifth
+text is held back for the temperature.
 
 Null texts and texts without a letter are ``und`` with score 0. Repeated rows
 give repeated results; without labelled rows every text is ``und``; empty tables
-give empty results; other columns are not read.
+give empty results; other columns are not read. Of equally likely languages the
+first by name is given. Added columns whose names are taken get underscores in front.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
-from .folds import balanced_ids, sample_texts
+from .common import appended, give_back, ship_package
+from .folds import balanced_ids, sample_features
 
 FEATURES = 1 << 14
 PER_LABEL = 500
@@ -54,31 +56,66 @@ def letters(text: str) -> np.ndarray:
     blank = codes == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1]
+    keep[:1] = True
     return codes[keep]
 
 
 def ngram_counts(text: str) -> np.ndarray | None:
-    """Counts by feature; None for texts without a letter."""
-    total: np.ndarray | None = None
+    """Counts by feature; None for texts without a letter.
+
+    Blocks are lower-cased one by one; a block begins with the last two characters of the one before, whose own n-grams
+    are not counted again, so the counts are those of the whole text."""
+    total = np.zeros(FEATURES, np.int64)
+    held = np.array([32], np.uint32)
+    seen = False
     for i in range(0, len(text), BLOCK):
         codes = letters(text[i : i + BLOCK])
-        if not len(codes) or (codes == 32).all():
+        if len(codes) and codes[0] == 32 and held[-1] == 32:
+            codes = codes[1:]
+        if not len(codes):
             continue
-        codes = np.concatenate([[np.uint32(32)], codes, [np.uint32(32)]]).astype(np.uint32)
-        one = codes * _MIX[0]
-        two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * _MIX[1] + codes[1:]
-        three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * _MIX[2] + codes[2:]
-        hashed = np.concatenate([one, two * _MIX[0], three * _MIX[0]])
-        counts = np.bincount(hashed >> np.uint32(18), minlength=FEATURES)
-        total = counts if total is None else total + counts
+        seen = seen or bool((codes != 32).any())
+        _add_ngrams(total, held, codes)
+        held = np.concatenate([held, codes])[-2:]
+    if not seen:
+        return None
+    if held[-1] != 32:
+        _add_ngrams(total, held, np.array([32], np.uint32))
+    total[_place_of_blank()] += 1  # the one in front
     return total
 
 
+def _place_of_blank() -> int:
+    return int((np.array([32], np.uint32) * _MIX[0])[0] >> np.uint32(18))
+
+
+def _add_ngrams(total: np.ndarray, before: np.ndarray, codes: np.ndarray) -> None:
+    """Adds the n-grams that end in ``codes``; up to two characters of ``before`` stand in front."""
+    k = len(before)
+    codes = np.concatenate([before, codes]).astype(np.uint32)
+    one = codes * _MIX[0]
+    two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * _MIX[1] + codes[1:]
+    three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * _MIX[2] + codes[2:]
+    hashed = np.concatenate([one[k:], two[k - 1 :] * _MIX[0], three[max(k - 2, 0) :] * _MIX[0]])
+    total += np.bincount(hashed >> np.uint32(18), minlength=FEATURES)
+
+
 def nonzero(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(counts)
     return at, counts[at]
 
 
+def packed_counts(text: str) -> bytes:
+    """The places and counts of a text; nothing for texts without a letter."""
+    counts = ngram_counts(text)
+    return b"" if counts is None else np.concatenate(nonzero(counts)).astype(np.int64).tobytes()
+
+
+def unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(packed, np.int64)
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -125,11 +162,11 @@ def fit_temperature(logits: np.ndarray, classes: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(sample: list[tuple[str, str]]) -> LanguageModel:
-    """FTRL-proximal over the sample's texts, in a fixed shuffled order."""
+def train(sample: list[tuple[bytes, str]]) -> LanguageModel:
+    """FTRL-proximal over the sample's packed counts, in a fixed shuffled order."""
     languages = sorted({label for _, label in sample})
     place = {label: i for i, label in enumerate(languages)}
-    rows = [(nonzero(c), place[label]) for text, label in sample if (c := ngram_counts(text)) is not None]
+    rows = [(unpacked(packed), place[label]) for packed, label in sample if packed]
     n = len(languages)
     df = np.bincount(np.concatenate([np.empty(0, np.int64), *(at for (at, _), _ in rows)]), minlength=FEATURES)
     model = LanguageModel(languages, np.log((1 + len(rows)) / (1 + df)) + 1, np.zeros((FEATURES, n)), np.zeros(n), 1.0)
@@ -164,13 +201,17 @@ def fit(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
     """The model of the rows' languages, from at most ``per_label`` rows of each."""
     named = labelled.filter(F.col(lang_col).isNotNull())
     ids = balanced_ids(named, lang_col, per_label, id_col)
-    return train([row[1:] for row in sample_texts(labelled, ids, id_col, text_col)])
+    model = train([row[1:] for row in sample_features(labelled, ids, packed_counts, id_col, text_col)])
+    give_back()
+    return model
 
 
 def identify(
     docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score"
 ) -> DataFrame:
-    """``docs`` with ``pred_col`` and ``score_col`` appended; they must not have columns of these names."""
+    """``docs`` with ``pred_col`` and ``score_col`` appended (with underscores in front where these names are taken)."""
+    ship_package(docs.sparkSession)
+    pred_col, score_col = appended(docs.columns, [pred_col, score_col])
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     place = docs.columns.index(text_col)
 

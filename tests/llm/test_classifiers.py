@@ -31,7 +31,10 @@ def test_held_out_quality(spark, name, column, modulus, rest, cut, least):
     assert area([r.score for r in held], [truth[r.doc_id] for r in held]) > least
 
 
-def test_index_is_exact():
+@pytest.mark.parametrize("block, first, dense", [(16, 2, 8), (64, 8, 20), (256, 1, 1), (7, 3, 10**9)])
+def test_index_is_exact(monkeypatch, block, first, dense):
+    for name, value in (("BLOCK", block), ("FIRST", first), ("DENSE", dense)):
+        monkeypatch.setattr(toxicity, name, value)
     rng = np.random.default_rng(0)
     x = np.where(rng.random((500, 40)) < 0.1, rng.random((500, 40)), 0).astype(np.float32)
     x[100:120] = x[99]  # ties
@@ -48,23 +51,82 @@ def test_index_is_exact():
         assert np.allclose(np.sort(cos), np.sort(scores[want]), atol=1e-5)
 
 
+def packed(sample):
+    return [(toxicity.packed_words(t), y) for t, y in sample]
+
+
 def test_toxic_passages_count_in_texts_of_any_length():
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abdeklmnorstu"), 6)) for _ in range(300)]
     filler = lambda n: " ".join(rng.choice(words, n))
     toxic = [f"{filler(60)} {w} fool and vile scoundrel {filler(60)}" for w in ["zlorpish"] * 3 + ["wretched"] * 57]
-    model = toxicity.train([(t, 1) for t in toxic] + [(filler(120), 0) for _ in range(60)], (0.5, 0.5))
+    model = toxicity.train(packed([(t, 1) for t in toxic] + [(filler(120), 0) for _ in range(60)]), (0.5, 0.5))
     for n in (0, 100, 1_000, 10_000):
         text = f"{filler(n)} wretched fool and vile scoundrel {filler(n)}"
         assert model.score(text)[0] >= 0.7 and model.score(filler(2 * n))[0] < 0.3
-    at, w = model.vector("zlorpish")  # in three examples only
+    at, w = model.vector({"zlorpish"})  # in three examples only
     assert set(model.index.search(at[:-1], w[:-1], 9)[0]) == {0, 1, 2}
     shipped = pickle.loads(pickle.dumps(model))
     assert shipped.score(toxic[9]) == model.score(toxic[9])
-    few = toxicity.train([("you vile zlorp", 1), ("you kind friend", 0)] * 2, (0.5, 0.5))
+    few = toxicity.train(packed([("you vile zlorp", 1), ("you kind friend", 0)] * 2), (0.5, 0.5))
     assert few.score("a zlorp")[0] > few.score("a friend")[0]
 
 
+def test_neighbours_match_dense_cosines(spark):
+    """Vectors and neighbours against a dense TF-IDF matrix over all words of the examples."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(400).collect()]
+    sample = [(t, i % 5 == 0) for i, (_, t) in enumerate(docs[:200])]
+    model = toxicity.train(packed(sample), (0.8, 0.2))
+    terms_of = lambda t: set(toxicity.text_terms(toxicity.distinct_words(t or "")))
+    held = [terms_of(t) for t, _ in sample]
+    terms = sorted(set().union(*held))
+    assert sorted(model.names) == terms
+    n, n1 = len(sample), sum(y for _, y in sample)
+    column = {w: i for i, w in enumerate(terms)}
+    h = lambda x, of: x * np.log(x / of) if x else 0.0
+    full = -2 * (h(n1, n) + h(n - n1, n))
+    e = min(toxicity.EVIDENCE, toxicity.EVIDENCE_SHARE * full)
+    a, b = np.zeros(len(terms)), np.zeros(len(terms))
+    for s, (_, y) in zip(held, sample):
+        for x in s:
+            (a if y else b)[column[x]] += 1
+    weights = np.zeros(len(terms) + 1)
+    for i, (p, q) in enumerate(zip(a, b)):
+        g = 2 * (h(p, p + q) + h(q, p + q) + h(n1 - p, n - p - q) + h(n - n1 - q, n - p - q) - h(n1, n) - h(n - n1, n))
+        weights[i] = np.log(1 / min(max(p * 0.2 / n1 + q * 0.8 / (n - n1), 1e-4), 1)) * (g / (g + e)) ** 2
+    weights[-1] = model.idf[-1]
+
+    def plain(text):
+        out = np.zeros(len(terms) + 1)
+        at = [column[x] for x in terms_of(text) if x in column]
+        if at:
+            out[[*at, -1]] = weights[[*at, -1]]
+        return out / (np.linalg.norm(out) or 1)
+
+    dense = np.array([plain(t) for t, _ in sample])
+    for _, text in docs[200:260]:
+        cos = dense @ plain(text)
+        got_at, got = model.index.search(*model.vector(toxicity.distinct_words(text or "")), toxicity.NEIGHBOURS)
+        assert np.allclose(got, np.sort(cos)[::-1][: len(got)], atol=1e-4) and np.allclose(got, cos[got_at], atol=1e-4)
+
+
+def test_ties_go_to_the_earlier_example():
+    model = toxicity.train(packed([("vile fool", 1)] * 40 + [("kind friend", 0)] * 40), (0.5, 0.5))
+    at, cos = model.index.search(*model.vector({"fool", "vile"}), 5)
+    assert list(at) == [0, 1, 2, 3, 4] and len(set(cos)) == 1
+
+
+def test_words_have_vectors_of_their_own(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 4} gamma{i} CAPITAL !!") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality_model.fit(docs, labels)
+    assert {"alpha", "beta", "capital", "!!", quality_model.UPPER} <= set(model.vocabulary)
+    places = quality_model.Tokenizer(model.vocabulary).places("alpha beta")
+    assert list(places) == [model.vocabulary.index("alpha"), model.vocabulary.index("beta")]
+    unknown = quality_model.Tokenizer(model.vocabulary).places("never seen words")
+    assert all(quality_model.OWN <= p < quality_model.TOKENS for p in unknown)
+
+
 @pytest.mark.parametrize("module, column", [(toxicity, "toxic"), (quality_model, "quality")])
 def test_edge_cases(spark, module, column):
     texts = [("nasty awful words in here", 1), ("pleasant calm words in here", 0)] * 30

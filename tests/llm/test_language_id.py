@@ -39,10 +39,21 @@ def test_all_languages_are_learned(spark):
 
 
 def test_counts_are_of_the_whole_text(monkeypatch):
-    text = "ab c " * 1000
-    whole = language_id.ngram_counts(text)
-    monkeypatch.setattr(language_id, "BLOCK", 997)
-    blocks = language_id.ngram_counts(text)
-    # A block's edge splits the n-grams that cross it, and adds blanks.
-    assert abs(int(whole.sum()) - int(blocks.sum())) <= 6 * 6
+    texts = ["ab c " * 1000, "a", " a", "a ", "ab", "no. 1 x!? Été  日本語\n" * 90, "x" * 996 + " " * 3 + "y", ". " * 600 + "z", "a." * 700]
+    whole = [language_id.ngram_counts(t) for t in texts]
+    for block in (1, 2, 3, 7, 997):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        for t, want in zip(texts, whole):
+            assert (language_id.ngram_counts(t) == want).all()
     assert language_id.ngram_counts("...") is None
+    plain = language_id.letters("  ab. ")
+    padded = [32, *[int(x) for x in plain if x != 32], 32]
+    assert int(whole[4].sum()) == 4 + 3 + 2 and padded == [32, 97, 98, 32]
+    at, counts = language_id.unpacked(language_id.packed_counts("ab c " * 1000))
+    assert (whole[0][at] == counts).all() and counts.sum() == whole[0].sum()
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "the dog", "en", 0.5, "x")], "doc_id long, text string, lang string, lang_score double, _lang_score string")
+    got = language_id.identify(docs, language_id.fit(docs))
+    assert got.columns == [*docs.columns, "lang_pred", "__lang_score"] and got.first().lang_pred == "en"
