@@ -54,7 +54,10 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 DIGIT_RUN = r"[0-9][\x20\-0-9]++"
 LONE_SEPARATOR = r"[\x20-](?![0-9])|(?<![0-9])[\x20-]"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-EMAIL_SPELLED = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[\[(](?:at|@)[\])]\x20?[a-z0-9-]{1,63}(?:\x20?[\[(](?:dot|\.)[\])]\x20?[a-z0-9-]{1,63}){1,6}"
+# With every spelled-out dot (and the blank on either side of it) turned into "\x02", and into "\x03"
+# where no label follows, the domain is a plain run again.
+SPELLED_DOTS = [(r"[\x02\x03]", "\x01"), (r"(?i)[\[(]dot[\])]", "\x02" * 5), (r"[\[(]\.[\])]", "\x02" * 3), (r"\x20(?=\x02)|(?<=\x02)\x20", "\x02"), (r"\x02(?!\x02*+[A-Za-z0-9-])", "\x03")]
+EMAIL_SPELLED = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(](?:at|@)[\])]\x20?[a-z0-9-]++\x02[a-z0-9\x02-]++"
 PHONE_PLAIN = r"(?<![0-9A-Za-z+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -102,6 +105,28 @@ def _phone_spans(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("+")), found)
 
 
+def _spelled_spans(text: Column) -> Column:
+    for pattern, mark in SPELLED_DOTS:
+        text = F.regexp_replace(text, pattern, mark)
+    return regex_spans(text, EMAIL_SPELLED)
+
+
+def _original(text: Column, spans: Column) -> Column:
+    """The spans with the text's own characters."""
+    return F.transform(
+        spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring(text, (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")).alias("m"))
+    )
+
+
+def mod_97(iban: Column) -> Column:
+    """An IBAN's remainder: its first four characters last, letters as 10 to 35."""
+    moved = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(
+        F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), lambda a, c: let(value(c), lambda v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97)
+    )
+
+
 def _votes(kind: str, text: Column, x: Column) -> Column:
     """One character per labeler: p (for), n (against), z (abstains)."""
 
@@ -112,13 +137,31 @@ def _votes(kind: str, text: Column, x: Column) -> Column:
     m = x["m"]
     before = F.lower(F.substring(text, F.greatest(x["s"] - CUE_WIDTH, F.lit(0)).cast("int") + 1, F.least(x["s"], F.lit(CUE_WIDTH)).cast("int")))
     after = F.substring(text, x["e"].cast("int") + 1, F.lit(1))
-    form = vote(yes, no) if kind in ("email", "ip", "card", "email_spelled", "iban", "ssn") else vote(m.rlike(r"[() .-]"), no)
+    digits = digits_of(m)
+    if kind == "email":
+        form = vote(m.rlike(r"^[A-Za-z0-9](?:.*[A-Za-z0-9])?@.*\.[A-Za-z]{2,}$"), m.rlike(r"\.\.|^[.%+-]|\.[0-9]+$"))
+    elif kind == "ip":
+        form = vote(~m.rlike(r"(?:^|\.)0[0-9]"), yes)
+    elif kind in ("card", "card_unchecked"):
+        form = vote(m.rlike(r"^[0-9]+$|^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$"), m.rlike(r"(?:^|[\x20-])[0-9](?:[\x20-][0-9]){5}"))
+    elif kind in ("phone", "phone_plain"):
+        form = vote(m.rlike(r"[() .-]") & ~m.rlike(r"[().-]{3}|^\+0"), m.rlike(r"[().-]{3}|^\+0"))
+    elif kind == "email_spelled":
+        form = vote(m.rlike("[A-Za-z]{2,}$"), m.rlike("[0-9]$"))
+    elif kind == "iban":
+        form = vote(F.regexp_replace(m, " ", "").rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), yes)
+    else:
+        form = vote(yes, no)
     if kind == "card":
         checksum = vote(yes, no)
     elif kind == "card_unchecked":
         checksum = vote(no, yes)
+    elif kind == "iban":
+        checksum = let(mod_97(F.regexp_replace(m, " ", "")), lambda r: vote(r == 1, r != 1))
     elif kind == "ssn":
         checksum = vote(~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), yes)
+    elif kind in ("phone", "phone_plain"):
+        checksum = vote(no, digits.rlike(r"^([0-9])\1*$"))
     else:
         checksum = vote(no, no)
     gazetteer = vote(before.rlike(rf"\b(?:{GAZETTEER})\b"), no)
@@ -151,7 +194,7 @@ def candidate_spans(text: Column) -> Column:
     return F.concat(
         tagged("email", _email_spans(text)),
         F.when(text.rlike("[0-9]"), with_digits).otherwise(empty),
-        tagged("email_spelled", guarded(r"(?i)[\[(](?:at|@)[\])]", EMAIL_SPELLED)),
+        tagged("email_spelled", F.when(text.rlike(r"(?i)[\[(](?:at|@)[\])]"), _original(text, _spelled_spans(text)))),
     )
 
 
@@ -165,15 +208,15 @@ def fit_reliabilities(counts: list[tuple[str, str, int]]) -> dict[tuple[str, str
     """Posterior of "true span" for each (kind, votes), by expectation-maximisation.
 
     Latent class per candidate; labelers vote independently given the class. The
-    start trusts majority votes; reliabilities carry one pseudo-count, so that a
-    labeler never becomes certain and few data stay near the start.
+    start trusts majority votes; reliabilities carry pseudo-counts that expect a labeler to be right,
+    so that none becomes certain and few data stay near the start. Every kind starts with the same prior.
     """
     signs = {"p": 1, "n": -1, "z": 0}
     post = {(k, v): 1 / (1 + math.exp(-sum(signs[c] for c in v) - (1.5 if k in BASE_KINDS else -0.5))) for k, v, _ in counts}
     for _ in range(EM_ROUNDS if counts else 0):
         total = {1: 1.0, 0: 1.0}
         seen = {(y, j, c): 1.0 + 2.0 * (c == "p") * (y == 1) + 2.0 * (c == "n") * (y == 0) for y in (0, 1) for j in range(len(LABELERS)) for c in "pnz"}
-        prior = {k: [1.0, 1.0] if k in BASE_KINDS else [1.5, 0.5] for k in KINDS}
+        prior = {k: [1.0, 1.0] for k in KINDS}
         for k, v, n in counts:
             for y, p in ((1, post[k, v]), (0, 1 - post[k, v])):
                 total[y] += n * p
@@ -193,9 +236,10 @@ def features(kind: str, votes: str) -> list[float]:
 
 
 def train_span_classifier(counts: list[tuple[str, str, int]], post: dict[tuple[str, str], float], rounds: int = 300) -> list[float]:
-    """Weights of a logistic model of the posteriors; patterns weigh as the log of their counts."""
+    """Weights of a logistic model of the posteriors; patterns weigh by their counts, kinds equally."""
     w = [0.0] * (1 + len(LABELERS) + len(KINDS))
-    rows = [(features(k, v), post[k, v], math.log1p(n)) for k, v, n in counts]
+    of_kind = {k: sum(n for j, _, n in counts if j == k) for k in KINDS}
+    rows = [(features(k, v), post[k, v], n / of_kind[k]) for k, v, n in counts]
     scale = sum(r[2] for r in rows) or 1.0
     for _ in range(rounds):
         grad = [1e-3 * x for x in w]

@@ -3,15 +3,18 @@
 Strong findings stand alone: assignments to a secret's name, access identifiers and
 long hexadecimal runs. Weak parts (long mixed tokens, shorter access identifiers,
 service endpoints) mean little alone. A scope is a text with its blocks of
-``SCOPE`` characters: parts are joined by interval, and a weak secret is
-reported only where a complementary part lies within ``SCOPE`` characters: a
-weak token needs an access identifier, or with ``endpoint_links`` a service endpoint,
-near it; a weak identifier needs a token or an assignment.
+``SCOPE`` characters: parts are joined by interval, and a weak part is
+reported only where a complementary part lies within ``SCOPE`` characters:
 
-Positions are code points, ends exclusive. Null and empty texts have no
+* a token needs an access identifier (strong or weak) or a service endpoint;
+* a weak identifier needs a token or an assignment (a client id beside an
+  address holds no secret);
+* endpoints are parts, never findings. Parts that overlap don't confirm each other.
+
+Parts have no greatest length. Positions are code points, ends exclusive. Null and empty texts have no
 findings; repeated rows give repeated results (rows are joined by a row number
 written with the candidates, not by id); empty tables give empty results; other
-columns of the input are not read.
+columns of the input are not read. Findings of one start are ordered by kind as listed.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ ASSIGN_VALUE = r"(?i)^(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_-])"
-WEAK_ACCESS = r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{12,20}|(?:key|acct|client)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{8,64})(?![A-Za-z0-9])"
-ENDPOINT = r"(?:https?://|jdbc:|postgres(?:ql)?://|mongodb(?:\+srv)?://|s3://)[^\s\"'<>]{4,200}"
+WEAK_ACCESS = r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{12,}+|(?:key|acct|client)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])"
+ENDPOINT = r"(?:https?://|jdbc:|postgres(?:ql)?://|mongodb(?:\+srv)?://|s3://)[^\s\"'<>]{4,}+"
 PART_TYPE = "array<struct<kind:string,s:bigint,e:bigint>>"
 
 
@@ -75,10 +78,10 @@ def sort_spans(spans: Column) -> Column:
     return F.transform(F.sort_array(F.transform(spans, lambda x: F.struct(x["s"], rank(x["kind"]), x.alias("x")))), lambda o: o["x"])
 
 
-def link_parts(rows: DataFrame, endpoint_links: bool = False) -> DataFrame:
+def link_parts(rows: DataFrame) -> DataFrame:
     """``rid, kind, s, e`` of the weak parts that complementary parts confirm.
 
-    ``rows`` has ``rid``, ``base`` and ``weak``. With ``endpoint_links`` an endpoint confirms a token. Both sides of the interval join
+    ``rows`` has ``rid``, ``base`` and ``weak``. Both sides of the interval join
     are cut into blocks of ``SCOPE`` characters; a part looks into its own block and the
     neighbouring ones, so that every pair within ``SCOPE`` meets exactly once
     by the partner's block. Only whether a partner exists is kept (semi-joins),
@@ -87,7 +90,7 @@ def link_parts(rows: DataFrame, endpoint_links: bool = False) -> DataFrame:
     strong = rows.select("rid", F.explode("base").alias("p")).select("rid", "p.*")
     weak = rows.select("rid", F.explode("weak").alias("p")).select("rid", "p.*")
     partners = (
-        strong.unionByName(weak if endpoint_links else weak.filter(F.col("kind") != "endpoint"))
+        strong.unionByName(weak)
         .select("rid", "kind", "s", "e", F.explode(F.sequence(F.floor(F.col("s") / SCOPE), F.floor(F.col("e") / SCOPE))).alias("block"))
         .withColumnsRenamed({"kind": "p_kind", "s": "p_s", "e": "p_e"})
     )
@@ -110,7 +113,7 @@ def link_parts(rows: DataFrame, endpoint_links: bool = False) -> DataFrame:
     ).distinct()
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", endpoint_links: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, ``base`` and ``spans`` (base and linked findings)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(
@@ -118,7 +121,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.monotonically_increasing_id().alias("rid"), "*"
         )
     )
-    linked = link_parts(rows, endpoint_links).groupBy("rid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("linked"))
+    linked = link_parts(rows).groupBy("rid").agg(F.collect_list(F.struct("kind", "s", "e")).alias("linked"))
     return rows.join(linked, "rid", "left").select(
         id_col,
         "base",

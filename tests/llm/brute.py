@@ -132,3 +132,51 @@ def near_dups(docs, n=2, percent=80):
             ra, rb = find(a), find(b)
             parent[max(ra, rb)] = min(ra, rb)
     return [(d, len(s), find(d), find(d) == d) for d, s in sets.items()]
+
+
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_-])")
+WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{8,13}|ASIA[A-Z0-9]{12,}+|(?:key|acct|client)[_-]?id[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])")
+ENDPOINT = re.compile(r"(?:https?://|jdbc:|postgres(?:ql)?://|mongodb(?:\+srv)?://|s3://)[^\x20\t\n\x0b\f\r\"'<>]{4,}+")
+CONFIRMED_BY = {"token": {"access", "weak_access", "endpoint"}, "weak_access": {"token", "assign"}}
+
+
+def secret_spans(text, scope=200):
+    """All findings, comparing every weak part with every other part."""
+    text = text or ""
+    base = (
+        [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        + [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+        + [("hex", *m.span()) for m in HEX.finditer(text) if len(m[0]) >= 16]
+    )
+    weak = [("token", *m.span()) for m in TOKEN.finditer(text) if all(re.search(x, m[0]) for x in ("[a-z]", "[A-Z]", "[0-9]"))]
+    weak += [("weak_access", *m.span()) for m in WEAK_ACCESS.finditer(text)] + [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
+    linked = [
+        ("linked_token" if k == "token" else "linked_access", s, e)
+        for k, s, e in weak
+        if any(p in CONFIRMED_BY.get(k, ()) and (0 <= ps - e <= scope or 0 <= s - pe <= scope) for p, ps, pe in base + weak)
+    ]
+    order = ["assign", "access", "hex", "linked_token", "linked_access"]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted((s, order.index(k), k, e) for k, s, e in base + linked))
+
+
+DOT = r"(?:\x20?[\[(](?:dot|\.)[\])]\x20?)"
+SPELLED = re.compile(rf"(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(](?:at|@)[\])]\x20?[a-z0-9-]++(?:{DOT}+[a-z0-9-]++)+", re.I | re.A)
+PHONE_PLAIN = re.compile(r"(?<![0-9A-Za-z+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+
+
+def pii_candidates(text):
+    """(kind, start, end) of the base and the wider kinds."""
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    found = [(k, s, e) for k, spans in pii(text).items() for s, e in spans]
+    found += [("card_unchecked", *m.span()) for m in CARD.finditer(text) if 13 <= len(digits(m)) <= 19 and not luhn(digits(m))]
+    for kind, pattern in (("email_spelled", SPELLED), ("phone_plain", PHONE_PLAIN), ("iban", IBAN), ("ssn", SSN)):
+        found += [(kind, *m.span()) for m in pattern.finditer(text)]
+    return sorted(found)
+
+
+def iban_remainder(iban):
+    iban = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
