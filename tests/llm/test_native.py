@@ -136,6 +136,10 @@ def test_url_filter(spark):
 
     assert got == sorted(((i, *judge(u)) for i, u in enumerate(urls * 2)), key=lambda x: x[0])
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+    giant = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "example.com" + "/en" * 100_000 + "/x")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in url_filter.judge_urls(giant, rules).collect()] == [("example.com/en/", "block")]
+    odd = spark.createDataFrame([("", "block"), ("/", "block"), (None, "block"), ("example.com/", None)], "rule string, verdict string")
+    assert url_filter.judge_urls(pages, odd).count() == pages.count()
     assert {r.verdict for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
