@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, blank_words, give_back, keyed_rows, let, lower_ascii, materialize
+from .common import BROADCAST_ROWS, blank_words, give_back, keyed_rows, let, lower_ascii, materialize, ship_package
 
 UNIVERSE_BITS = 20
 UNIVERSE = 1 << UNIVERSE_BITS
@@ -107,6 +107,7 @@ def _signer(n: int) -> Signer:
 
 def sign(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """rid, doc_id, text_hash, class, n_shingles and bands of every row; one pass over the texts."""
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = _signer(n)

@@ -9,9 +9,12 @@ infinity otherwise; the best path is the segmentation, and its weight is 0.
 
 A text is cut into chunks of ``CHUNK`` characters. A state at a border is the piece that
 covers the character before it, so a chunk yields a max-plus matrix from the states at
-its left border to those at its right one. The matrices are combined associatively, in
-both directions, which leaves one state per border, and every chunk is then backtraced
-alone from its two states. Texts of one chunk have a 1 x 1 matrix.
+its left border to those at its right one. The matrices are multiplied in a tree: ``FAN``
+neighbours give their parent's matrix, level by level, up to one matrix per text; on the way
+down each node hands its children the states that the start reaches on their left and that
+reach the end on their right. That leaves one state per border, and every chunk is then
+backtraced alone from its two states. No task holds more than ``FAN`` matrices of a text.
+Texts of one chunk have a 1 x 1 matrix.
 
 Inside a chunk, no piece spans the place before a blank that follows another character
 (checked on the vocabulary), so all paths meet there. Segments between such
@@ -20,7 +23,9 @@ run through the lattice.
 
 Encoding equals the library's ``encode``; decoding equals its ``decode``. Null texts have
 null ids, empty texts none; repeated rows give repeated results; empty tables
-give empty results. Chunks are written to the shared folder with row numbers, so
+give empty results. Added columns whose names are taken get underscores in front. Of equally
+scored merges the leftmost goes first, as in the library. A vocabulary whose pieces span the
+place before a blank is refused when it is loaded. Chunks are written to the shared folder with row numbers, so
 repeated ids are safe.
 """
 
@@ -34,11 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize
+from .common import appended, give_back, materialize, ship_package
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in a chunk.
 CHUNK = 32_768
+#: Matrices that are multiplied at once.
+FAN = 64
 #: Segments whose ids a worker remembers, and pairs whose verdicts it does.
 SEGMENT_CACHE = 60_000
 PAIR_CACHE = 50_000
@@ -284,28 +291,118 @@ class Chunk:
         return head + middle + pack(self._trace({tail: {"": 1}}, self.hi, goal))
 
 
-def combine(matrices: list[list[int]]) -> list[int]:
-    """The state at every border (one more than the matrices), from products in both directions.
+Matrix = list[int]  # per entry state the set (bits) of exit states reached with weight 0
 
-    A product of max-plus matrices over {0, -inf} is one of bit sets. The states
-    that the start reaches and that reach the end are one per border.
-    """
-    forward = [1]
-    for m in matrices:
-        bits = 0
-        for k, row in enumerate(m):
-            if forward[-1] >> k & 1:
-                bits |= row
-        forward.append(bits)
-    backward = [1]
-    for m in reversed(matrices):
-        backward.append(sum(1 << k for k, row in enumerate(m) if row & backward[-1]))
-    states = []
-    for f, b in zip(forward, reversed(backward)):
-        if (f & b).bit_count() != 1:
-            raise ValueError("the lattice has no single best path")
-        states.append((f & b).bit_length() - 1)
-    return states
+
+def forward(states: int, m: Matrix) -> int:
+    """The states on the right that ``states`` on the left reach."""
+    out = 0
+    for k, row in enumerate(m):
+        if states >> k & 1:
+            out |= row
+    return out
+
+
+def backward(states: int, m: Matrix) -> int:
+    """The states on the left that reach ``states`` on the right."""
+    return sum(1 << k for k, row in enumerate(m) if row & states)
+
+
+def product(matrices: list[Matrix]) -> Matrix:
+    """The matrix of neighbours; over {0, minus infinity} a max-plus product is one of bit sets."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = [forward(row, m) for row in out]
+    return out
+
+
+def hand_down(matrices: list[Matrix], left: int, right: int) -> list[tuple[int, int]]:
+    """Per matrix the states reached from ``left`` (a set) on its left, and those that reach ``right`` on its right."""
+    before, after = [left], [right]
+    for m in matrices[:-1]:
+        before.append(forward(before[-1], m))
+    for m in matrices[:0:-1]:
+        after.append(backward(after[-1], m))
+    return list(zip(before, reversed(after)))
+
+
+def the_only(states: int) -> int:
+    if states.bit_count() != 1:
+        raise ValueError("the lattice has no single best path")
+    return states.bit_length() - 1
+
+
+def combine(matrices: list[Matrix]) -> list[int]:
+    """The state at every border (one more than the matrices)."""
+    sides = hand_down(matrices, 1, 1)
+    return [the_only(f & backward(b, m)) for m, (f, b) in zip(matrices, sides)] + [the_only(forward(sides[-1][0], matrices[-1]) & 1)]
+
+
+def packed(states: int) -> bytes:
+    return states.to_bytes((states.bit_length() + 7) // 8 or 1, "little")
+
+
+def unpacked(states: bytes) -> int:
+    return int.from_bytes(states, "little")
+
+
+def _matrices(column: pa.Array) -> Iterator[list[Matrix]]:
+    for value in column:
+        yield [[unpacked(row) for row in m] for m in value.as_py()]
+
+
+def tree_levels(chunks: DataFrame) -> list[DataFrame]:
+    """Levels of (rid, part, matrix), from the chunks up to one matrix per text."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[packed(row) for row in product(ms)] for ms in _matrices(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["rid", "part", "matrix"])
+
+    levels = [chunks.select("rid", "part", "matrix")]
+    most = chunks.agg(F.max("part")).first()[0] or 0
+    while most:
+        levels.append(materialize(siblings(levels[-1]).mapInArrow(multiply, "rid long, part int, matrix array<binary>")))
+        most //= FAN
+    return levels
+
+
+def siblings(level: DataFrame) -> DataFrame:
+    """rid, part (the parent's) and the children's matrices in order, at most ``FAN``."""
+    parent = F.floor(F.col("part") / FAN).cast("int").alias("part")
+    return level.groupBy("rid", parent).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "matrix"))), lambda x: x["matrix"]).alias("matrices"))
+
+
+def border_sets(levels: list[DataFrame]) -> DataFrame:
+    """rid, part, entry, exit of every chunk: its two states."""
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[str, list] = {"rid": [], "part": [], "left": [], "right": []}
+            sides = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            for rid, part, ms, (left, right) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _matrices(batch.column(2)), sides):
+                for i, (f, b) in enumerate(hand_down(ms, unpacked(left), unpacked(right))):
+                    rows["rid"].append(rid)
+                    rows["part"].append(part * FAN + i)
+                    rows["left"].append(packed(f))
+                    rows["right"].append(packed(b))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("rid", pa.int64()), ("part", pa.int32()), ("left", pa.binary()), ("right", pa.binary())]))
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both: list[tuple[int, int]] = []
+            for m, left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                m, f, b = [unpacked(row) for row in m], unpacked(left), unpacked(right)
+                both.append((the_only(f & backward(b, m)), the_only(forward(f, m) & b)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x for x, _ in both], pa.int32()), pa.array([x for _, x in both], pa.int32())], ["rid", "part", "entry", "exit"]
+            )
+
+    one = F.lit(packed(1))
+    sides = levels[-1].select("rid", "part", one.alias("left"), one.alias("right"))
+    for level in reversed(levels[:-1]):
+        sides = siblings(level).join(sides, ["rid", "part"]).select("rid", "part", "matrices", "left", "right").mapInArrow(down, "rid long, part int, left binary, right binary")
+    return levels[0].join(sides, ["rid", "part"]).select("rid", "part", "matrix", "left", "right").mapInArrow(states, "rid long, part int, entry int, exit int")
 
 
 def encode_whole(v: Vocabulary, text: str) -> bytes:
@@ -321,21 +418,22 @@ def cut(v: Vocabulary, text: str, size: int) -> list[tuple[str, str, str]]:
 
 
 def _matrix_bytes(v: Vocabulary, chunk: tuple[str, str, str]) -> list[bytes]:
-    c = Chunk(v, *chunk)
-    width = (len(c.exits) + 7) // 8 or 1
-    return [row.to_bytes(width, "little") for row in c.matrix()]
+    return [packed(row) for row in Chunk(v, *chunk).matrix()]
 
 
 def encode(
     docs: DataFrame, text_col: str = "text", ids_col: str = "piece_ids", path: str = MODEL_PATH, chunk: int = CHUNK, decoded_col: str | None = None
 ) -> DataFrame:
     """``docs`` with the array column ``ids_col`` and, where ``decoded_col`` is named, the text
-    that these ids decode to (columns that they must not have yet).
+    that these ids decode to.
 
     Texts of one chunk are encoded where they are read. Longer ones go through
     chunk matrices, their combination per text, and a backtrace per chunk; what
     is brought together for a text is small matrices, then its ids.
     """
+    ship_package(docs.sparkSession)
+    ids_col, *rest = appended(docs.columns, [ids_col, *([decoded_col] if decoded_col else [])])
+    decoded_col = rest[0] if rest else None
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     place = docs.columns.index(text_col)
     # Normalising adds one character in front.
@@ -372,20 +470,13 @@ def encode(
                         schema=pa.schema([("rid", pa.int64()), ("part", pa.int32()), ("before", pa.string()), ("body", pa.string()), ("after", pa.string()), ("matrix", pa.list_(pa.binary()))]),
                     )
 
-    numbered = materialize(docs.filter(long).select(F.monotonically_increasing_id().alias("__rid"), *docs.columns))
+    key, again = appended([*docs.columns, ids_col], ["__rid", "__again"])
+    numbered = materialize(docs.filter(long).select(F.monotonically_increasing_id().alias(key), *[F.col(f"`{c}`") for c in docs.columns]))
     chunks = materialize(
-        numbered.select("__rid", text_col).mapInArrow(cut_up, "rid long, part int, before string, body string, after string, matrix array<binary>")
+        numbered.select(key, text_col).mapInArrow(cut_up, "rid long, part int, before string, body string, after string, matrix array<binary>")
     )
 
-    @F.pandas_udf("array<int>")
-    def states(column):
-        return column.map(lambda ms: combine([[int.from_bytes(row, "little") for row in m] for m in ms]))
-
-    matrices = F.transform(F.array_sort(F.collect_list(F.struct("part", "matrix"))), lambda x: x["matrix"])
-    borders = chunks.groupBy("rid").agg(matrices.alias("m")).select("rid", states("m").alias("states"))
-    placed = chunks.drop("matrix").join(borders, "rid").select(
-        "rid", "part", "before", "body", "after", F.get("states", F.col("part")).alias("entry"), F.get("states", F.col("part") + 1).alias("exit")
-    )
+    placed = chunks.drop("matrix").join(border_sets(tree_levels(chunks)), ["rid", "part"]).select("rid", "part", "before", "body", "after", "entry", "exit")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -396,17 +487,18 @@ def encode(
 
     traced = placed.mapInArrow(trace, "rid long, part int, ids array<int>")
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"]))
-    whole_ids = traced.groupBy("rid").agg(joined.alias("__ids"))
-    named = [F.col(f"`{c}`") for c in docs.columns]
-    giants = numbered.join(whole_ids.withColumnRenamed("rid", "__rid"), "__rid")
+    whole_ids = traced.groupBy(F.col("rid").alias(key)).agg(joined.alias(ids_col))
+    named = [F.col(f"`{c}`") for c in [*docs.columns, ids_col]]
+    giants = numbered.join(whole_ids, key)
     if decoded_col:
-        giants = decode(giants.select(*named, F.col("__ids").alias(ids_col), F.col("__ids").alias("__again")), "__again", decoded_col, path)
-        return short.unionAll(giants)
-    return short.unionAll(giants.select(*named, F.col("__ids").alias(ids_col)))
+        return short.unionAll(decode(giants.select(*named, F.col(f"`{ids_col}`").alias(again)), again, decoded_col, path))
+    return short.unionAll(giants.select(*named))
 
 
 def decode(rows: DataFrame, ids_col: str = "piece_ids", text_col: str = "decoded", path: str = MODEL_PATH) -> DataFrame:
     """``rows`` with the string column ``text_col`` in place of ``ids_col``."""
+    ship_package(rows.sparkSession)
+    (text_col,) = appended([c for c in rows.columns if c != ids_col], [text_col])
     rest = [f for f in rows.schema.fields if f.name != ids_col]
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest]
     ordered = rows.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{ids_col}`"))

@@ -50,8 +50,9 @@ def test_associative(library):
     assert sp.combine(paired) == states[::2] + ([states[-1]] if len(ms) % 2 else [])
 
 
-@pytest.mark.parametrize("chunk", [11, 300, sp.CHUNK])
-def test_frames(spark, library, chunk):
+@pytest.mark.parametrize("chunk, fan", [(11, 2), (11, 3), (300, 64), (sp.CHUNK, 64)])
+def test_frames(spark, library, monkeypatch, chunk, fan):
+    monkeypatch.setattr(sp, "FAN", fan)
     texts = [None, *TEXTS, *[r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect()]] * 2
     if chunk == 11:
         texts = texts[:40]
@@ -67,6 +68,25 @@ def test_frames(spark, library, chunk):
     assert {r.rid: (r.piece_ids, r.again) for r in both.collect()} == {i: (got[i], decoded[i]) for i in got}
 
 
+def test_tree_gives_the_same_states():
+    v = sp.vocabulary(sp.MODEL_PATH)
+    ms = [sp.Chunk(v, *p).matrix() for p in sp.cut(v, "internationalisation of thingstion " * 4, 5)]
+    for fan in (2, 3, 7):
+        groups = [ms[i : i + fan] for i in range(0, len(ms), fan)]
+        tops = [sp.product(g) for g in groups]
+        sides = [x for g, (f, b) in zip(groups, sp.hand_down(tops, 1, 1)) for x in sp.hand_down(g, f, b)]
+        assert sides == sp.hand_down(ms, 1, 1)
+        assert [sp.the_only(f & sp.backward(b, m)) for m, (f, b) in zip(ms, sides)] == sp.combine(ms)[:-1]
+
+
+def test_clashing_names(spark, library):
+    docs = spark.createDataFrame([(1, "some words " * 9, "x", "y", 2)], "doc_id long, text string, piece_ids string, __rid string, DECODED int")
+    for chunk in (20, sp.CHUNK):
+        got = sp.encode(docs, chunk=chunk, decoded_col="decoded")
+        assert got.columns == [*docs.columns, "_piece_ids", "_decoded"]
+        assert got.first()._piece_ids == library.encode("some words " * 9)
+
+
 def test_decode_broken_bytes(library):
     v = sp.vocabulary(sp.MODEL_PATH)
     for text in ["é", "😀 a", " lead", "  two"]:
