@@ -98,15 +98,16 @@ def scratch_mark() -> int:
     return len(_SCRATCH)
 
 
-def clear_scratch(spark: SparkSession, since: int = 0) -> int:
-    """Delete the tables that operators of this process have written (those after the first ``since``), and
+def clear_scratch(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Delete the tables that operators of this process have written (those between two marks), and
     give their number. To be called once the results that read them are stored: results are lazy, so no operator can tell."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while len(_SCRATCH) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+    for name in _SCRATCH[since:until]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
+    del _SCRATCH[since:until]
     return n
 
 
