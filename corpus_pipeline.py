@@ -20,22 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramix.llm import decontaminate, language_id, near_dup, pii, sentencepiece_scan
-from engramix.llm.common import materialize, read_table, ship_package
+from engramix.llm.common import appended, clear_scratch, materialize, read_table, scratch_mark
 
 #: Below this probability a language counts as undetermined.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     model = language_id.fit(docs)
-    found = language_id.identify(docs, model, pred_col="__lang", score_col="__score")
-    sure = (F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)
+    pred, score = appended(docs.columns, ["__lang", "__score"])
+    found = language_id.identify(docs, model, pred_col=pred, score_col=score)
+    sure = (F.col(pred) != language_id.UNDETERMINED) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
     return found.filter(sure).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return near_dup.drop_near_duplicates(docs, shingle_words=5, percent=80)
 
 
@@ -45,13 +44,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     redacted = pii.redact_pii(docs)
+    if "n_chars" not in docs.columns:
+        return redacted
     return redacted.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*docs.columns)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
-    encoded = sentencepiece_scan.encode(docs, ids_col="__ids", decoded_col="__decoded")
-    return encoded.select(*docs.columns, F.col("__ids").alias("piece_ids"), F.col("__decoded").eqNullSafe(F.col("text")).alias("decodes"))
+    ids, decoded = appended(docs.columns, ["piece_ids", "__decoded"])
+    (decodes,) = appended([*docs.columns, ids], ["decodes"])
+    encoded = sentencepiece_scan.encode(docs, ids_col=ids, decoded_col=decoded)
+    return encoded.select(*docs.columns, ids, F.col(decoded).eqNullSafe(F.col("text")).alias(decodes))
 
 
 STAGES = [
@@ -67,8 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows."""
+    """The last stage's rows. Once a stage's result is written, its inner tables are deleted."""
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before = scratch_mark()
+        result = stage(spark, docs, sf_dir)
+        inner = scratch_mark()
+        docs = materialize(result)
+        clear_scratch(spark, before, inner)
     return STAGES[-1][1](spark, docs, sf_dir)
