@@ -32,7 +32,8 @@ def balanced_ids(labelled: DataFrame, label: str, per_label: int, id_col: str =
     named = labelled.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("s_id"), F.col(label).alias("label"))
     counts = named.groupBy("label").agg(F.count(F.lit(1)).alias("c")).select(F.col("label").alias("c_label"), "c")
     share = F.least(F.lit(1.0), F.lit(float(MARGIN * per_label + 100)) / F.col("c"))
-    thinned = named.join(counts, F.col("label") == F.col("c_label")).filter(F.pmod(F.xxhash64("s_id"), F.lit(HASHES)) < share * HASHES)
+    # One row per label: classes of a model that is far larger.
+    thinned = named.join(F.broadcast(counts), F.col("label") == F.col("c_label")).filter(F.pmod(F.xxhash64("s_id"), F.lit(HASHES)) < share * HASHES)
     order = W.partitionBy("label").orderBy(F.xxhash64("s_id"), "s_id")
     return thinned.select("s_id", "label", F.row_number().over(order).alias("place")).filter(F.col("place") <= per_label).select("s_id", "label").distinct()
 
