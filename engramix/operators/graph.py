@@ -46,8 +46,9 @@ def degrees(links: DataFrame) -> DataFrame:
 
 
 def activate(seeds: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
-    """``seeds``: query_id, node, energy. Energy spreads along the links; sums stay on
-    the nodes, the largest single share travels on. The 80 strongest nodes of each query.
+    """``seeds``: query_id, node, energy; of a node's seeds the largest counts. Energy spreads along the
+    links; sums stay on the nodes, the largest single share travels on. The 80 strongest nodes of each
+    query, without those below 0.01.
 
     Every hop is one join with the adjacency, whose shares (weight and hub damping) are
     fixed beforehand; energy falls by 0.7 a hop and below 0.01 goes no further, so
@@ -57,12 +58,13 @@ def activate(seeds: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
         adjacency(links).withColumn("w", edge_weight()).filter("w > 0").join(degrees(links).withColumnRenamed("node", "target"), "target")
         .select("source", "target", (DECAY * F.col("w") / F.pow(F.greatest(F.col("degree"), F.lit(1)).cast("double"), F.lit(HUB_POWER))).alias("share"))
     )
-    gained, frontier = seeds.select("query_id", "node", "energy"), seeds.select("query_id", F.col("node").alias("source"), F.col("energy").alias("e"))
+    gained = seeds.filter("energy > 0").groupBy("query_id", "node").agg(F.max("energy").alias("energy"))
+    frontier = gained.select("query_id", F.col("node").alias("source"), F.col("energy").alias("e"))
     for _ in range(hops):
         moved = frontier.join(shares, "source").select("query_id", F.col("target").alias("node"), (F.col("e") * F.col("share")).alias("energy")).filter(F.col("energy") >= LEAST_ENERGY)
         gained = gained.unionByName(moved)
         frontier = moved.groupBy("query_id", F.col("node").alias("source")).agg(F.max("energy").alias("e"))
-    total = gained.groupBy("query_id", "node").agg(F.round(F.least(F.lit(1.0), F.sum("energy")), 6).alias("energy"))
+    total = gained.groupBy("query_id", "node").agg(F.sum("energy").alias("sum")).filter(F.col("sum") >= LEAST_ENERGY).select("query_id", "node", F.round(F.least(F.lit(1.0), F.col("sum")), 6).alias("energy"))
     return top_k(total, MOST_NODES, [F.desc("energy"), F.asc("node")], "query_id")
 
 

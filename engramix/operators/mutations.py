@@ -11,27 +11,88 @@ from ..functions.text import object_key
 ROOT_TYPES = ["core_identity", "commitment"]
 
 
-def consolidate(candidates: DataFrame, schemas: DataFrame) -> DataFrame:
-    """``candidates``: fact columns with an arrival order (valid_from, fact_id). The action of each.
-
-    Rows of one (persona, subject, predicate) are decided in order by windows: an
-    equal object seen before reinforces where values coexist; under "supersede" a run of equal
-    objects counts as one, and each new run invalidates the one before.
+def candidate_reason(columns: list[str]) -> Column:
+    """Why a candidate is refused or needs review as ``refused:...`` or ``review:...``; null where it is decided
+    by the facts that are held. Tests whose columns are missing are left out."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    no_entity, no_literal = blank("object_entity_id"), blank("object_literal")
+    tests = [("refused:unknown_predicate", F.col("conflict_policy").isNull()), ("refused:no_subject", blank("subject_entity_id"))]
+    if "content_summary" in columns:
+        tests.append(("refused:no_summary", blank("content_summary")))
+    if "object_kind" in columns:
+        kind = F.col("object_kind")
+        tests.append(("refused:object_kind", ((kind == "entity") & no_entity) | ((kind == "literal") & no_literal)))
+    tests.append(("refused:no_object", no_entity & no_literal))
+    if "subject_seen" in columns:
+        tests.append(("refused:unknown_subject", ~F.col("subject_seen")))
+        tests.append(("refused:unknown_object", ~no_entity & ~F.col("object_seen")))
+    if "n_sources" in columns:
+        tests.append(("refused:unseen_source", F.col("n_seen_sources") < F.col("n_sources")))
+        tests.append(("refused:no_source", (F.col("n_sources") == 0) & ~F.col("pinned")))
+    tests.append(("review:llm_check", F.col("conflict_policy") == "llm_check"))
+    if "default_tau_days" in columns and "valid_to" in columns:
+        tests.append(("review:no_tau", (F.col("conflict_policy") == "expire_by_time") & F.col("valid_to").isNull() & F.col("default_tau_days").isNull()))
+    return F.coalesce(*[F.when(test, reason) for reason, test in tests])
+
+
+def consolidate(
+    candidates: DataFrame,
+    schemas: DataFrame,
+    existing: DataFrame | None = None,
+    entities: DataFrame | None = None,
+    sources: DataFrame | None = None,
+    discard: bool = False,
+) -> DataFrame:
+    """``candidates``: fact columns with an arrival order (valid_from, fact_id). The action and reason of each.
+
+    Candidates are gated first: only those that pass can become facts. The rest of one (persona, subject,
+    predicate) is decided in order by windows, as if one by one against the facts held at that moment:
+    ``existing`` (valid, visible, searchable ones count), then what went before. An object that is held reinforces
+    (or is discarded as a duplicate with ``discard``); otherwise "supersede" replaces all that is held, "coexist"
+    adds to it, "merge" asks for review, and other policies insert.
+
+    ``entities``: subjects and objects must be visible in it; ``sources``: fact_id, n_sources, n_seen_sources.
     """
+    slot = ["persona_id", "subject_entity_id", "predicate"]
     keyed = candidates.withColumn("object_key", object_key(F.col("object_entity_id"), F.col("object_literal"))).join(F.broadcast(schemas), "predicate", "left")
-    slot = W.partitionBy("persona_id", "subject_entity_id", "predicate").orderBy("valid_from", "fact_id")
-    same = W.partitionBy("persona_id", "subject_entity_id", "predicate", "object_key").orderBy("valid_from", "fact_id")
-    before, seen = F.lag("object_key").over(slot), F.row_number().over(same) > 1
+    if entities is not None:
+        seen = entities.filter("visibility_status = 'visible'").select("entity_id").distinct()
+        for side in ("subject", "object"):
+            mark = seen.select(F.col("entity_id").alias(f"{side}_entity_id"), F.lit(True).alias(f"{side}_seen"))
+            keyed = keyed.join(mark, f"{side}_entity_id", "left").withColumn(f"{side}_seen", F.coalesce(f"{side}_seen", F.lit(False)))
+    if sources is not None:
+        keyed = keyed.join(sources, "fact_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_sources", "n_seen_sources")})
+    held_key, held_any = F.lit(False), F.lit(False)
+    if existing is not None:
+        held = existing.filter("validity_status = 'valid' AND visibility_status = 'visible' AND searchable")
+        held = held.withColumn("object_key", object_key(F.col("object_entity_id"), F.col("object_literal"))).select(*slot, "object_key").distinct()
+        keyed = keyed.join(held.withColumn("held_key", F.lit(True)), [*slot, "object_key"], "left").join(held.select(*slot).distinct().withColumn("held_any", F.lit(True)), slot, "left")
+        held_key, held_any = F.coalesce("held_key", F.lit(False)), F.coalesce("held_any", F.lit(False))
+    keyed = keyed.withColumn("reason", candidate_reason(keyed.columns)).withColumn("decided", F.col("reason").isNull()).withColumns({"held_key": held_key, "held_any": held_any})
+    order = W.partitionBy(*slot, "decided").orderBy("valid_from", "fact_id")
+    same = W.partitionBy(*slot, "decided", "object_key").orderBy("valid_from", "fact_id")
+    before, seen_before = F.lag("object_key").over(order), F.row_number().over(same) > 1
+    replaced = F.coalesce(F.max(~F.col("held_key")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    first, key = F.first("object_key").over(order.rowsBetween(W.unboundedPreceding, 0)), F.col("object_key")
+    policy, any_held = F.col("conflict_policy"), F.col("held_any") | before.isNotNull()
+    again = "discard_duplicate" if discard else "reinforce"
+    is_again = (
+        F.when((policy == "supersede") & replaced, before == key)
+        .when(policy == "supersede", F.col("held_key"))
+        .when(policy == "merge", F.col("held_key") | (~F.col("held_any") & before.isNotNull() & (first == key)))
+        .otherwise(F.col("held_key") | seen_before)
+    )
     action = (
-        F.when(F.col("conflict_policy").isNull() | (F.col("confidence") <= 0), "reject")
-        .when(F.col("conflict_policy") == "llm_check", "needs_review")
-        .when(F.col("conflict_policy") == "supersede", F.when(before.isNull(), "insert").when(before == F.col("object_key"), "reinforce").otherwise("supersede"))
-        .when(seen, "reinforce")
-        .when(F.col("conflict_policy") == "coexist", F.when(before.isNull(), "insert").otherwise("coexist"))
-        .when((F.col("conflict_policy") == "merge") & before.isNotNull(), "needs_review")
+        F.when(F.col("reason").startswith("refused"), "reject")
+        .when(F.col("reason").startswith("review"), "needs_review")
+        .when(is_again, again)
+        .when(~any_held, "insert")
+        .when(policy == "supersede", "supersede")
+        .when(policy == "coexist", "coexist")
+        .when(policy == "merge", "needs_review")
         .otherwise("insert")
     )
-    return keyed.withColumn("action", action)
+    return keyed.withColumn("action", action).drop("decided")
 
 
 def supersede(facts: DataFrame) -> DataFrame:

@@ -72,7 +72,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", t
         (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("w"),
     )
     scored = asked.join(weighted, "term").groupBy("query_id", "node_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k, [F.desc("score"), F.asc("node_id")], "query_id")
+    order = [F.desc("score"), F.asc("node_id")]
+    if "updated_s" in docs.columns:  # of equal scores the latest
+        scored = scored.join(docs.select(F.col(id_col).alias("node_id"), "updated_s"), "node_id")
+        order.insert(1, F.desc_nulls_last("updated_s"))
+    return top_k(scored, k, order, "query_id").select("query_id", "node_id", "score", "rank_position")
 
 
 def containment(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
@@ -111,21 +115,23 @@ def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.join(first.select("query_id").distinct(), "query_id", "left_anti"))
 
 
-def entity_mentions(queries: DataFrame, entities: DataFrame, words: int = 2) -> DataFrame:
-    """query_id, entity_id of names that a query holds as whole words.
+def entity_mentions(queries: DataFrame, entities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """query_id, entity_id, matched_text: names (and ``aliases``: entity_id, alias) that a query holds as whole words.
 
-    Names become keys of their words, queries become all runs of up to ``words`` words, so the
-    substring test is an equi-join.
+    Names become keys of their words, queries become their runs of as many words as names have,
+    so the substring test is an equi-join.
     """
-    grams = queries.select("query_id", tokens(F.col("query_text")).alias("ts"))
+    names = entities.select("entity_id", F.col("canonical_name").alias("name"))
+    if aliases is not None:
+        names = names.unionAll(aliases.join(entities.select("entity_id"), "entity_id", "left_semi").select("entity_id", F.col("alias").alias("name")))
+    names = names.select("entity_id", tokens(F.col("name")).alias("ts")).filter(F.size("ts") > 0).select("entity_id", F.size("ts").alias("n"), F.array_join("ts", " ").alias("key")).distinct()
+    lengths = names.agg(F.array_sort(F.collect_set("n")).alias("lengths"))  # one row, of the different lengths only
+    grams = queries.select("query_id", tokens(F.col("query_text")).alias("ts")).join(F.broadcast(lengths))
     runs = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.lit(words)),
-            lambda n: F.when(
-                F.size("ts") >= n, F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), lambda i: F.array_join(F.slice("ts", i, n), " "))
-            ).otherwise(F.array().cast("array<string>")),
+            F.filter("lengths", lambda n: n <= F.size("ts")),
+            lambda n: F.transform(F.sequence(F.lit(1), F.size("ts") - n + 1), lambda i: F.array_join(F.slice("ts", i, n), " ")),
         )
     )
     asked = grams.select("query_id", F.explode(F.array_distinct(runs)).alias("key"))
-    names = entities.select("entity_id", F.array_join(tokens(F.col("canonical_name")), " ").alias("key")).filter("key <> ''")
-    return asked.join(names, "key").select("query_id", "entity_id", F.col("key").alias("matched_text"))
+    return asked.join(names.select("entity_id", "key"), "key").select("query_id", "entity_id", F.col("key").alias("matched_text"))

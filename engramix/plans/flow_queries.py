@@ -13,6 +13,7 @@ from .authority_queries import EVIDENCE
 from .context_queries import ASKED, NOTE, noted
 from .ranking_queries import DENSE, OPEN, dense_hits
 from .registry import query
+from .state_queries import decisions_sql
 from .text_queries import BM25
 
 
@@ -127,9 +128,9 @@ def extraction_mock(m):
 @query(
     """WITH k AS (SELECT f.*, CASE WHEN object_entity_id IS NOT NULL THEN 'entity:' || object_entity_id ELSE 'literal:' || coalesce(trim(regexp_replace(lower(object_literal), '\\s+', ' ', 'g')), '') END AS ok, conflict_policy FROM facts f LEFT JOIN predicate_schemas USING (predicate)),
 a AS (SELECT * FROM k WHERE conflict_policy IS NOT NULL AND confidence >= 0.2 AND ok <> 'literal:' AND conflict_policy NOT IN ('llm_check', 'merge') AND sensitivity_level <> 'highly_sensitive' AND subject_entity_id IN (SELECT entity_id FROM entities)),
-w AS (SELECT *, lag(ok) OVER (PARTITION BY persona_id, subject_entity_id, predicate ORDER BY valid_from, fact_id) AS b, row_number() OVER (PARTITION BY persona_id, subject_entity_id, predicate, ok ORDER BY valid_from, fact_id) > 1 AS seen FROM a)
-SELECT CASE WHEN conflict_policy = 'supersede' THEN CASE WHEN b IS NULL THEN 'insert' WHEN b = ok THEN 'reinforce' ELSE 'supersede' END WHEN seen THEN 'reinforce' WHEN conflict_policy = 'coexist' THEN CASE WHEN b IS NULL THEN 'insert' ELSE 'coexist' END ELSE 'insert' END AS action, count(*) AS n
-FROM w GROUP BY 1""", ("facts", "predicate_schemas", "entities"))
+p AS (SELECT a.*, ok AS object_key FROM a JOIN predicate_schemas s USING (predicate) WHERE (object_kind <> 'entity' OR object_entity_id IS NOT NULL) AND (object_kind <> 'literal' OR object_literal IS NOT NULL)),
+held AS (SELECT * FROM p WHERE false), """ + decisions_sql("p", "held") + """
+SELECT action, count(*) AS n FROM acted GROUP BY 1 UNION ALL SELECT 'reject', count(*) FROM a WHERE fact_id NOT IN (SELECT fact_id FROM p) HAVING count(*) > 0""", ("facts", "predicate_schemas", "entities"))
 def extraction_dry_run(m):
     """What applying the accepted facts would do, by action."""
     accepted = gates.validate_facts(m.facts, m.predicate_schemas, m.entities).filter("decision = 'accepted'").select(*m.facts.columns)

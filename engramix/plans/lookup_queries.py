@@ -24,10 +24,13 @@ def batched_lookup(m):
 
 
 @query(
-    """SELECT episode_id, session_id, rank_position FROM (SELECT episode_id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY at_s, episode_id) AS rank_position FROM episodes
-WHERE visibility_status = 'visible' AND searchable AND at_s BETWEEN 3600 AND 200000) WHERE rank_position <= 5""", ("episodes",))
+    """WITH w AS (SELECT *, at_s - min(at_s) OVER (PARTITION BY session_id) AS since FROM episodes)
+SELECT episode_id, session_id, rank_position FROM (SELECT episode_id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY at_s, episode_id) AS rank_position FROM w
+WHERE visibility_status = 'visible' AND searchable AND since BETWEEN 60 AND 900) WHERE rank_position <= 5""", ("episodes",))
 def session_window_scan(m):
-    rows = m.episodes.filter(OPEN).filter(F.col("at_s").between(3600, 200000))
+    """Of every session the first five open episodes from its second minute to its fifteenth."""
+    started = m.episodes.groupBy("session_id").agg(F.min("at_s").alias("started_s"))
+    rows = m.episodes.filter(OPEN).join(started, "session_id").filter((F.col("at_s") - F.col("started_s")).between(60, 900))
     return search.top_k(rows, 5, [F.asc("at_s"), F.asc("episode_id")], "session_id").select("episode_id", "session_id", "rank_position")
 
 
@@ -73,7 +76,7 @@ ae AS (SELECT DISTINCT from_id AS fact_id, to_id AS entity_id FROM links WHERE l
 fo AS (SELECT a AS seed_id, b AS fact_id, 'historical' AS rule, 0.18 AS bonus FROM t WHERE link_type = 'SUPERSEDES'
   UNION ALL SELECT a, b, 'causal', 0.36 FROM t WHERE link_type IN ('CAUSED_BY', 'EXPLAINS') UNION ALL SELECT b, a, 'causal', 0.36 FROM t WHERE link_type IN ('CAUSED_BY', 'EXPLAINS')
   UNION ALL SELECT x.fact_id, y.fact_id, 'event_bundle', 0.18 FROM cited x JOIN cited y USING (episode_id) WHERE x.fact_id IN (SELECT fact_id FROM seeds)
-  UNION ALL SELECT x.fact_id, y.fact_id, 'event_bundle', 0.18 FROM pl x JOIN pl y ON x.session_id = y.session_id AND abs(x.at_s - y.at_s) <= 120 WHERE x.fact_id IN (SELECT fact_id FROM seeds)
+  UNION ALL SELECT x.fact_id, y.fact_id, 'event_bundle', 0.18 FROM pl x JOIN pl y ON x.session_id = y.session_id AND abs(x.at_s - y.at_s) <= 7200 WHERE x.fact_id IN (SELECT fact_id FROM seeds)
   UNION ALL SELECT x.fact_id, y.fact_id, 'event_bundle', 0.18 FROM ae x JOIN ae y USING (entity_id) WHERE x.fact_id IN (SELECT fact_id FROM seeds)),
 be AS (SELECT seed_id, fact_id, max((bonus, rule)) AS b FROM fo WHERE seed_id <> fact_id AND seed_id IN (SELECT fact_id FROM seeds) GROUP BY 1, 2),
 d AS (SELECT seed_id, fact_id, b[2] AS rule, CAST(b[1] AS DOUBLE) AS bonus, row_number() OVER (PARTITION BY seed_id ORDER BY b[1] DESC, fact_id) AS place FROM be),
@@ -82,7 +85,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY bonus DESC, fac
 
 @query(f"WITH {AUTHORIZED}, {COMPLETED} SELECT seed_id, fact_id, rule, bonus, rank_position FROM k WHERE rank_position <= 12", FACT_TABLES)
 def linked_completion(m):
-    return K.complete(m.links, m.episodes, m.entities, seeds(m), authorized(m), 120)
+    return K.complete(m.links, m.episodes, m.entities, seeds(m), authorized(m))
 
 
 @query(

@@ -117,15 +117,20 @@ def node_degree(m):
 
 @query(
     f"""WITH {ADJACENCY}, {SEEDS}, sh AS (SELECT source, target, 0.7 * greatest(weight, 0.0) * {MULT} / power(greatest(degree, 1), 0.5) AS share FROM adj JOIN deg ON node = target WHERE greatest(weight, 0.0) * {MULT} > 0),
-s AS (SELECT fact_id % 5 AS query_id, 'fact:' || fact_id AS node, 1.0 AS energy FROM seeds),
+s0 AS (SELECT fact_id % 5 AS query_id, 'fact:' || fact_id AS node, CASE fact_id % 4 WHEN 0 THEN 0.004 WHEN 1 THEN 0.4 ELSE 1.0 END AS energy FROM seeds UNION ALL SELECT fact_id % 5, 'fact:' || fact_id, 0.3 FROM seeds WHERE fact_id % 4 <> 0),
+s AS (SELECT query_id, node, max(energy) AS energy FROM s0 GROUP BY 1, 2),
 h1 AS (SELECT query_id, target AS node, energy * share AS energy FROM s JOIN sh ON source = node WHERE energy * share >= 0.01),
 f1 AS (SELECT query_id, node, max(energy) AS e FROM h1 GROUP BY 1, 2),
 h2 AS (SELECT query_id, target AS node, e * share AS energy FROM f1 JOIN sh ON source = node WHERE e * share >= 0.01),
-t AS (SELECT query_id, node, round(least(1.0, sum(energy)), 6) AS energy FROM (SELECT * FROM s UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2)
+t AS (SELECT query_id, node, round(least(1.0, sum(energy)), 6) AS energy FROM (SELECT * FROM s UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2 HAVING sum(energy) >= 0.01)
 SELECT * FROM (SELECT query_id, node, energy, row_number() OVER (PARTITION BY query_id ORDER BY energy DESC, node) AS rank_position FROM t) WHERE rank_position <= 80""",
     ("facts", "links"))
 def graph_activation_2hop(m):
-    start = seeds(m).select((F.col("fact_id") % 5).alias("query_id"), graph.node_key("fact", "fact_id").alias("node"), F.lit(1.0).alias("energy"))
+    """Repeated and tiny seeds among them."""
+    k = F.col("fact_id") % 4
+    start = seeds(m).select(
+        (F.col("fact_id") % 5).alias("query_id"), graph.node_key("fact", "fact_id").alias("node"), F.when(k == 0, 0.004).when(k == 1, 0.4).otherwise(1.0).alias("energy"), k.alias("k"))
+    start = start.drop("k").unionAll(start.filter("k <> 0").select("query_id", "node", F.lit(0.3).alias("energy")))
     return graph.activate(start, m.links)
 
 
@@ -141,10 +146,10 @@ def shared_episode_facts(m):
 
 @query(
     f"""WITH {SEEDS}, {CITED}, p AS (SELECT DISTINCT fact_id, session_id, at_s FROM cited JOIN episodes USING (episode_id))
-SELECT DISTINCT a.fact_id AS seed_id, b.fact_id FROM p a JOIN p b ON a.session_id = b.session_id AND abs(a.at_s - b.at_s) <= 120 WHERE a.fact_id IN (SELECT fact_id FROM seeds) AND a.fact_id <> b.fact_id""",
+SELECT DISTINCT a.fact_id AS seed_id, b.fact_id FROM p a JOIN p b ON a.session_id = b.session_id AND abs(a.at_s - b.at_s) <= 7200 WHERE a.fact_id IN (SELECT fact_id FROM seeds) AND a.fact_id <> b.fact_id""",
     ("facts", "links", "episodes"))
 def session_window_facts(m):
-    return graph.session_window(m.links, m.episodes, seeds(m), 120)
+    return graph.session_window(m.links, m.episodes, seeds(m))
 
 
 @query(

@@ -35,15 +35,45 @@ def eligible_sessions(m):
     return per.filter("n_episodes >= 2").orderBy("started_s", "session_id").limit(25)
 
 
+def decisions_sql(passing: str, held: str) -> str:
+    """CTEs up to ``acted`` (fact_id, action): each row of ``passing`` against those of ``held`` and the earlier rows of its slot, pair by pair."""
+    same = "a.persona_id = b.persona_id AND a.subject_entity_id = b.subject_entity_id AND a.predicate = b.predicate"
+    return f"""hk AS (SELECT a.fact_id, count(*) > 0 AS held_any, coalesce(bool_or(a.object_key = b.object_key), false) AS held_key FROM {passing} a JOIN {held} b ON {same} GROUP BY 1),
+ps AS (SELECT p.*, coalesce(held_any, false) AS held_any, coalesce(held_key, false) AS held_key, CAST(epoch(valid_from) AS HUGEINT) * 10000000000 + p.fact_id AS nth FROM {passing} p LEFT JOIN hk ON hk.fact_id = p.fact_id),
+pv AS (SELECT a.fact_id, arg_max(b.object_key, b.nth) AS last_key, arg_min(b.object_key, b.nth) AS first_key, bool_or(a.object_key = b.object_key) AS met, bool_or(NOT b.held_key) AS replaced FROM ps a JOIN ps b ON {same} AND b.nth < a.nth GROUP BY 1),
+ag AS (SELECT ps.*, last_key IS NOT NULL OR held_any AS any_held, CASE WHEN conflict_policy = 'supersede' AND coalesce(replaced, false) THEN last_key = object_key WHEN conflict_policy = 'supersede' THEN held_key
+  WHEN conflict_policy = 'merge' THEN held_key OR (NOT held_any AND coalesce(first_key = object_key, false)) ELSE held_key OR coalesce(met, false) END AS again FROM ps LEFT JOIN pv ON pv.fact_id = ps.fact_id),
+acted AS (SELECT fact_id, CASE WHEN again THEN 'reinforce' WHEN NOT any_held THEN 'insert' WHEN conflict_policy = 'supersede' THEN 'supersede' WHEN conflict_policy = 'coexist' THEN 'coexist' WHEN conflict_policy = 'merge' THEN 'needs_review' ELSE 'insert' END AS action FROM ag)"""
+
+
+HELD = "fact_id % 4 = 0"
+SEEN = "SELECT entity_id FROM entities WHERE visibility_status = 'visible'"
+
+
 @query(
-    f"""WITH k AS (SELECT f.*, {KEY} AS object_key, conflict_policy FROM facts f LEFT JOIN predicate_schemas USING (predicate)),
-w AS (SELECT *, lag(object_key) OVER ({SLOT} ORDER BY valid_from, fact_id) AS before, row_number() OVER ({SLOT}, object_key ORDER BY valid_from, fact_id) > 1 AS seen FROM k)
-SELECT fact_id, CASE WHEN conflict_policy IS NULL OR confidence <= 0 THEN 'reject' WHEN conflict_policy = 'llm_check' THEN 'needs_review'
-  WHEN conflict_policy = 'supersede' THEN CASE WHEN before IS NULL THEN 'insert' WHEN before = object_key THEN 'reinforce' ELSE 'supersede' END
-  WHEN seen THEN 'reinforce' WHEN conflict_policy = 'coexist' THEN CASE WHEN before IS NULL THEN 'insert' ELSE 'coexist' END
-  WHEN conflict_policy = 'merge' AND before IS NOT NULL THEN 'needs_review' ELSE 'insert' END AS action FROM w""", ("facts", "predicate_schemas"))
+    f"""WITH src AS (SELECT from_id AS fact_id, count(*) AS n, count(*) FILTER (WHERE to_id IN (SELECT episode_id FROM episodes WHERE visibility_status = 'visible')) AS ok FROM links WHERE link_type = 'EVIDENCED_BY' GROUP BY 1),
+k AS (SELECT f.*, {KEY} AS object_key, conflict_policy, object_kind, coalesce(n, 0) AS n, coalesce(ok, 0) AS ok FROM facts f LEFT JOIN predicate_schemas s ON s.predicate = f.predicate LEFT JOIN src ON src.fact_id = f.fact_id),
+held AS (SELECT * FROM k WHERE {HELD} AND validity_status = 'valid' AND visibility_status = 'visible' AND searchable),
+c AS (SELECT *, CASE WHEN conflict_policy IS NULL OR (object_kind = 'entity' AND object_entity_id IS NULL) OR (object_kind = 'literal' AND object_literal IS NULL) THEN 'reject'
+  WHEN subject_entity_id NOT IN ({SEEN}) OR (object_entity_id IS NOT NULL AND object_entity_id NOT IN ({SEEN})) THEN 'reject' WHEN ok < n OR (n = 0 AND NOT pinned) THEN 'reject' WHEN conflict_policy = 'llm_check' THEN 'needs_review' END AS gate
+  FROM k WHERE NOT ({HELD})),
+p AS (SELECT * FROM c WHERE gate IS NULL), {decisions_sql('p', 'held')}
+SELECT fact_id, gate AS action FROM c WHERE gate IS NOT NULL UNION ALL SELECT fact_id, action FROM acted""", ("facts", "predicate_schemas", "entities", "links", "episodes"))
 def consolidation_actions(m):
-    return M.consolidate(m.facts, m.predicate_schemas).select("fact_id", "action")
+    """Three quarters of the facts as candidates against the rest as held."""
+    visible = m.episodes.filter("visibility_status = 'visible'").select(F.col("episode_id").alias("to_id"), F.lit(1).alias("seen")).distinct()
+    cited = m.links.filter("link_type = 'EVIDENCED_BY'").join(visible, "to_id", "left")
+    sources = cited.groupBy(F.col("from_id").alias("fact_id")).agg(F.count(F.lit(1)).alias("n_sources"), F.count("seen").alias("n_seen_sources"))
+    return M.consolidate(m.facts.filter(f"NOT ({HELD})"), m.predicate_schemas, m.facts.filter(HELD), m.entities, sources).select("fact_id", "action")
+
+
+@query(
+    f"""WITH p AS (SELECT f.*, {KEY} AS object_key, conflict_policy FROM facts f JOIN predicate_schemas s ON s.predicate = f.predicate WHERE f.predicate IN ('lives_in', 'likes', 'has_pet') AND (f.predicate <> 'has_pet' OR object_entity_id IS NOT NULL)),
+held AS (SELECT * FROM p WHERE false), {decisions_sql('p', 'held')}
+SELECT fact_id, CASE WHEN action = 'reinforce' THEN 'discard_duplicate' ELSE action END AS action FROM acted""", ("facts", "predicate_schemas"))
+def consolidation_discard(m):
+    """All facts of three predicates as candidates for an empty store; duplicates are discarded."""
+    return M.consolidate(m.facts.filter(F.col("predicate").isin("lives_in", "likes", "has_pet")), m.predicate_schemas, discard=True).select("fact_id", "action")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import analysis, search
+from ..operators.authority import visible_at
 from .registry import query
 
 TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
@@ -18,7 +19,7 @@ p AS (SELECT term, node_id, dl, count(*) AS tf FROM (SELECT node_id, len(ts) AS
 df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT query_id, node_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))), 6) AS score
   FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY 1, 2),
-bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank_position FROM s)"""
+bm AS (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated_s DESC NULLS LAST, node_id) AS rank_position FROM s JOIN (SELECT node_id, updated_s FROM search_documents) USING (node_id))"""
 
 
 @query(f"WITH {BM25} SELECT query_id, node_id, score, rank_position FROM bm WHERE rank_position <= 20", ("search_documents", "queries"))
@@ -37,13 +38,25 @@ def containment_topk(m):
     return search.containment(m.search_documents, m.queries, 10)
 
 
+FRAGMENTS = "SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN substr(regexp_extract(lower(text), '[a-z]{7,}'), 2, 5) ELSE text END AS query_text FROM benchmark"
+
+
 @query(
-    f"""WITH {BM25}, top AS (SELECT query_id, node_id, score, rank_position FROM bm WHERE rank_position <= 5 AND score > 14)
-SELECT * FROM top UNION ALL SELECT query_id, node_id, score, rank_position FROM bm WHERE rank_position <= 2 AND query_id NOT IN (SELECT query_id FROM top)""",
-    ("search_documents", "queries"))
+    f"""WITH fq AS ({FRAGMENTS}), {BM25.replace('FROM queries', 'FROM fq')},
+top AS (SELECT query_id, node_id, score, rank_position FROM bm WHERE rank_position <= 5),
+cq AS (SELECT query_id, lower(query_text) AS q, list_distinct({FIELDS.format('query_text')}) AS ts FROM fq WHERE query_id NOT IN (SELECT query_id FROM top)),
+cs AS (SELECT query_id, node_id, updated_s, (CASE WHEN contains(lower(search_text), q) THEN len(ts) + 1 ELSE 0 END) + len(list_filter(ts, lambda t: contains(lower(search_text), t))) AS score FROM search_documents, cq WHERE len(ts) > 0),
+cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated_s DESC NULLS LAST, node_id) AS rank_position FROM cs WHERE score > 0)
+SELECT * FROM top UNION ALL SELECT query_id, node_id, CAST(score AS DOUBLE), rank_position FROM cr WHERE rank_position <= 5""",
+    ("search_documents",))
 def search_with_fallback(m):
-    ranked = search.bm25(m.search_documents, m.queries, 5)
-    return search.with_fallback(ranked.filter("score > 14"), ranked.filter("rank_position <= 2"))
+    """Ranked search; queries whose words no document holds (a third are pieces of words) are searched by containment."""
+    piece = F.substring(F.regexp_extract(F.lower("text"), "[a-z]{7,}", 0), 2, 5)
+    asked = m.benchmark.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, piece).otherwise(F.col("text")).alias("query_text"))
+    ranked = search.bm25(m.search_documents, asked, 5)
+    rest = asked.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
+    held = search.containment(m.search_documents, rest, 5).withColumn("score", F.col("score").cast("double"))
+    return ranked.unionByName(held)
 
 
 @query(
@@ -86,14 +99,23 @@ def search_document_build(m):
     return rows.select("fact_id", T.join_unique(F.array("content_summary", "canonical_name", "predicate")).alias("search_text"), F.when(F.col("canonical_name").isNull(), 0).otherwise(1).alias("has_object"))
 
 
+MENTIONING = "SELECT query_id, concat(query_text, ' in ', n_name, ', says Customer#', lpad(CAST(query_id + 1 AS VARCHAR), 9, '0'), ' and client number ', query_id + 2, ', or the far land of ', n_name) AS t FROM queries JOIN nation ON n_nationkey = query_id % 25"
+
+
 @query(
-    r"""WITH q AS (SELECT query_id, regexp_replace(lower(concat(query_text, ' in ', (SELECT n_name FROM nation WHERE n_nationkey = query_id % 25))), '[^\p{L}\p{N}_]+', ' ', 'g') AS t FROM queries),
-n AS (SELECT entity_id, trim(regexp_replace(lower(canonical_name), '[^\p{L}\p{N}_]+', ' ', 'g')) AS k FROM entities WHERE entity_type = 'place')
-SELECT query_id, entity_id, k AS matched_text FROM q, n WHERE contains(' ' || t || ' ', ' ' || k || ' ')""", ("queries", "entities"))
+    rf"""WITH q AS (SELECT query_id, regexp_replace(lower(t), '[^\p{{L}}\p{{N}}_]+', ' ', 'g') AS t FROM ({MENTIONING})),
+e AS (SELECT entity_id, canonical_name FROM entities WHERE visibility_status = 'visible' AND searchable AND sensitivity_level = 'normal'),
+nm AS (SELECT entity_id, canonical_name AS name FROM e UNION ALL SELECT entity_id, alias FROM entity_aliases JOIN e USING (entity_id)),
+n AS (SELECT DISTINCT entity_id, trim(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS k FROM nm)
+SELECT query_id, entity_id, k AS matched_text FROM q, n WHERE k <> '' AND contains(' ' || t || ' ', ' ' || k || ' ')""", ("queries", "entities", "entity_aliases"))
 def entity_mentions(m):
-    asked = m.queries.join(m.nation.select((F.col("n_nationkey").cast("bigint")).alias("nk"), "n_name"), F.col("query_id") % 25 == F.col("nk"), "left")
-    asked = asked.select("query_id", F.concat("query_text", F.lit(" in "), "n_name").alias("query_text"))
-    return search.entity_mentions(asked, m.entities.filter("entity_type = 'place'"), 2)
+    """Names and aliases of all eligible entities."""
+    place = m.nation.select(F.col("n_nationkey").cast("bigint").alias("nk"), "n_name")
+    k = F.col("query_id")
+    text = F.concat(
+        "query_text", F.lit(" in "), "n_name", F.lit(", says Customer#"), F.lpad((k + 1).cast("string"), 9, "0"), F.lit(" and client number "), (k + 2).cast("string"), F.lit(", or the far land of "), "n_name")
+    asked = m.queries.join(place, k % 25 == F.col("nk")).select("query_id", text.alias("query_text"))
+    return search.entity_mentions(asked, m.entities.filter(visible_at(0)), m.entity_aliases)
 
 
 QUESTIONS = "SELECT 100 * q.query_id + k AS query_id, concat(p, ' ', q.query_text) AS query_text FROM queries q, (VALUES {0}) AS v(k, p)".format(

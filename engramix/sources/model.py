@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PLACE_BASE = 1_000_000_000
 
+#: The seeds of ``predicate_schemas`` are fixed values.
 TABLES: dict[str, str] = {
     "episodes": """
 SELECT conv_id * 100 + turn AS episode_id, conv_id % 7 AS persona_id, conv_id AS session_id, turn, role, text AS content,
@@ -55,7 +56,11 @@ SELECT l_orderkey * 10 + l_linenumber AS link_id, l_orderkey AS from_id,
   CASE WHEN l_linenumber IN (1, 4) THEN (l_partkey % 60) * 100 + l_suppkey % 6 WHEN l_linenumber = 3 THEN l_suppkey ELSE l_partkey END AS to_id,
   CASE WHEN l_linestatus = 'F' THEN 'forward' WHEN l_orderkey % 2 = 0 THEN 'bidirectional' ELSE 'backward' END AS direction,
   CAST(l_quantity AS DOUBLE) / 50 AS weight, CASE WHEN l_orderkey % 23 = 0 THEN 'hidden' ELSE 'visible' END AS visibility_status, l_orderkey % 29 <> 3 AS searchable
-FROM {lineitem} WHERE l_linenumber <= 5""",
+FROM {lineitem}""",
+    "entity_aliases": f"""
+SELECT c_custkey AS entity_id, concat('client number ', CAST(c_custkey AS VARCHAR(20))) AS alias FROM {{customer}} WHERE c_custkey % 3 <> 2
+UNION ALL
+SELECT CAST({PLACE_BASE} + n_nationkey AS BIGINT), concat('the far land of ', lower(n_name)) FROM {{nation}}""",
     "search_documents": """
 SELECT doc_id AS node_id, text AS search_text,
   CASE doc_id % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'dormant' WHEN 2 THEN 'consolidated' WHEN 3 THEN 'archived' ELSE 'deep_archived' END AS lifecycle_status,
@@ -74,13 +79,13 @@ SELECT event_id AS queue_id, event_id % 7 AS persona_id, event_id % 11 AS priori
   CASE event_id % 5 WHEN 0 THEN 'upsert_node' WHEN 1 THEN 'delete_node' WHEN 2 THEN 'upsert_edge' WHEN 3 THEN 'delete_edge' ELSE 'rebuild_persona' END AS operation
 FROM {events}""",
     "predicate_schemas": """
-SELECT * FROM (VALUES ('lives_in', 'core_identity', 'single', 'supersede', 3650), ('works_at', 'core_identity', 'single', 'supersede', 1825),
-  ('prefers_name', 'core_identity', 'single', 'supersede', 3650), ('likes', 'stable_preference', 'multi', 'coexist', 365),
-  ('dislikes', 'stable_preference', 'multi', 'coexist', 365), ('has_pet', 'core_identity', 'multi', 'coexist', 1825),
-  ('is_busy_with', 'transient_context', 'temporal_multi', 'expire_by_time', 21), ('feels_about_agent', 'relational_state', 'single', 'llm_check', 180),
-  ('promised_to', 'commitment', 'temporal_multi', 'expire_by_time', 30), ('is_considering', 'significant_event', 'temporal_multi', 'expire_by_time', 90),
-  ('has_boundary', 'relational_state', 'multi', 'merge', 365), ('prefers_communication_style', 'stable_preference', 'multi', 'merge', 365),
-  ('uses_coping_strategy', 'stable_preference', 'multi', 'coexist', 365)) AS p(predicate, default_fact_type, cardinality, conflict_policy, default_tau_days)""",
+SELECT * FROM (VALUES ('lives_in', 'core_identity', 'single', 'supersede', 3650, 'entity', 0.80, FALSE), ('works_at', 'core_identity', 'single', 'supersede', 1825, 'entity', 0.75, FALSE),
+  ('prefers_name', 'core_identity', 'single', 'supersede', 3650, 'literal', 0.85, FALSE), ('likes', 'stable_preference', 'multi', 'coexist', 365, 'either', 0.55, FALSE),
+  ('dislikes', 'stable_preference', 'multi', 'coexist', 365, 'either', 0.60, FALSE), ('has_pet', 'core_identity', 'multi', 'coexist', 1825, 'entity', 0.65, FALSE),
+  ('is_busy_with', 'transient_context', 'temporal_multi', 'expire_by_time', 21, 'either', 0.50, FALSE), ('feels_about_agent', 'relational_state', 'single', 'llm_check', 180, 'literal', 0.65, FALSE),
+  ('promised_to', 'commitment', 'temporal_multi', 'expire_by_time', 30, 'literal', 0.70, FALSE), ('is_considering', 'significant_event', 'temporal_multi', 'expire_by_time', 90, 'either', 0.65, FALSE),
+  ('has_boundary', 'relational_state', 'multi', 'merge', 365, 'literal', 0.80, TRUE), ('prefers_communication_style', 'stable_preference', 'multi', 'merge', 365, 'literal', 0.65, FALSE),
+  ('uses_coping_strategy', 'stable_preference', 'multi', 'coexist', 365, 'literal', 0.65, FALSE)) AS p(predicate, default_fact_type, cardinality, conflict_policy, default_tau_days, object_kind, default_importance, sensitive_by_default)""",
 }
 
 

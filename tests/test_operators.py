@@ -44,6 +44,13 @@ def test_activation(spark):
     assert got == {"fact:1": 1.0, "fact:2": round(first, 6), "fact:3": round(first * 0.7, 6)}
 
 
+def test_activation_of_repeated_and_tiny_seeds(spark):
+    """Of a node's seeds the largest counts, and energies below 0.01 are not returned."""
+    links = spark.createDataFrame([(1, "CAUSED_BY", "fact", 2, "forward", 1.0)], "from_id long, link_type string, to_type string, to_id long, direction string, weight double")
+    seeds = spark.createDataFrame([(1, "fact:1", 0.4), (1, "fact:1", 0.3), (1, "fact:9", 0.001)], "query_id long, node string, energy double")
+    assert {r.node: r.energy for r in graph.activate(seeds, links).collect()} == {"fact:1": 0.4, "fact:2": 0.28}
+
+
 def test_rrf_caps_and_priors(spark):
     hits = [(1, "entity_exact", "fact", 1, 1), (1, "fts", "fact", 1, 2), (1, "fts", "insight", 2, 1), (1, "fts", "fact", 3, 41)]
     got = {r.node_id: (r.score, r.seed_energy) for r in fusion.fuse_anchors(spark.createDataFrame(hits, "query_id long, source string, node_type string, node_id long, rank_position int")).collect()}
@@ -75,7 +82,12 @@ def test_consolidation(spark):
     rows = [(1, 1, 1, "lives_in", None, "A", 1, 0.9), (2, 1, 1, "lives_in", None, "a ", 2, 0.9), (3, 1, 1, "lives_in", None, "B", 3, 0.9), (4, 1, 1, "lives_in", None, "A", 4, 0.9),
             (5, 1, 1, "likes", None, "tea", 1, 0.9), (6, 1, 1, "likes", None, "milk", 2, 0.9), (7, 1, 1, "likes", None, "tea", 3, 0.9), (8, 1, 1, "feels", None, "x", 1, 0.9), (9, 1, 1, "odd", None, "x", 1, 0.9), (10, 1, 1, "likes", None, "z", 9, 0.0)]
     got = {r.fact_id: r.action for r in mutations.consolidate(fact_rows(spark, rows), schemas).collect()}
-    assert got == {1: "insert", 2: "reinforce", 3: "supersede", 4: "supersede", 5: "insert", 6: "coexist", 7: "reinforce", 8: "needs_review", 9: "reject", 10: "reject"}
+    assert got == {1: "insert", 2: "reinforce", 3: "supersede", 4: "supersede", 5: "insert", 6: "coexist", 7: "reinforce", 8: "needs_review", 9: "reject", 10: "coexist"}
+    # A refused candidate is never held: A, B (no object), A.
+    odd = fact_rows(spark, [(1, 1, 1, "lives_in", None, "A", 1, 0.9), (2, 1, 1, "lives_in", None, " ", 2, 0.9), (3, 1, 1, "lives_in", None, "A", 3, 0.9)])
+    assert {r.fact_id: r.action for r in mutations.consolidate(odd, schemas).collect()} == {1: "insert", 2: "reject", 3: "reinforce"}
+    held = odd.limit(1).selectExpr("*", "'valid' AS validity_status", "'visible' AS visibility_status", "true AS searchable")
+    assert {r.fact_id: r.action for r in mutations.consolidate(odd.filter("fact_id > 1"), schemas, held, discard=True).collect()} == {2: "reject", 3: "discard_duplicate"}
     gone = {r.fact_id: r.superseded_by for r in mutations.supersede(fact_rows(spark, rows[:4])).collect()}
     assert gone == {1: 3, 3: 4}
 
