@@ -76,3 +76,18 @@ def contains_any(text: Column, words: list[str]) -> Column:
     for w in words:
         out = out | F.contains(text, F.lit(w))
     return out
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values, whatever their order and repetitions."""
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def cjk_heavy(text: Column) -> Column:
+    """Han characters, and at least a third as many as ASCII letters."""
+    han, latin = F.regexp_count(text, F.lit(r"\p{IsHan}")), F.regexp_count(text, F.lit("[A-Za-z]"))
+    return (han > 0) & (han >= F.greatest(F.lit(1), F.floor(latin / 3)))
+
+
+def has_ascii_letter(text: Column) -> Column:
+    return text.rlike("[A-Za-z]")

@@ -21,6 +21,8 @@ def query(sql: str | None = None, needs: tuple[str, ...] = ()):
             text = sql.strip()
             if needs:
                 head = with_model(*needs)
+                if text[:14].upper() == "WITH RECURSIVE":
+                    head, text = f"WITH RECURSIVE{head[4:]}", f"WITH{text[14:]}"
                 text = f"{head}, {text[5:].lstrip()}" if text[:5].upper() == "WITH " else f"{head}\n{text}"
             ORACLE_SQL[f.__name__] = text
         return f

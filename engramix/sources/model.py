@@ -78,6 +78,12 @@ SELECT event_id AS queue_id, event_id % 7 AS persona_id, event_id % 11 AS priori
   CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' ELSE 'failed' END AS status,
   CASE event_id % 5 WHEN 0 THEN 'upsert_node' WHEN 1 THEN 'delete_node' WHEN 2 THEN 'upsert_edge' WHEN 3 THEN 'delete_edge' ELSE 'rebuild_persona' END AS operation
 FROM {events}""",
+    "memory_index_map": f"""
+SELECT 'fact' AS node_type, o_orderkey AS node_id, o_orderkey * 10 + 1 AS mirror_id, CASE o_orderkey % 5 WHEN 0 THEN 'stale' WHEN 1 THEN 'deleted' ELSE 'indexed' END AS index_status FROM {{orders}}
+UNION ALL
+SELECT 'entity', c_custkey, c_custkey * 10 + 2, CASE c_custkey % 4 WHEN 0 THEN 'failed' ELSE 'indexed' END FROM {{customer}}""",
+    "mirror_persona_state": """
+SELECT * FROM (VALUES (0, 'ready'), (1, 'rebuilding'), (2, 'ready'), (3, 'degraded'), (4, 'ready'), (5, 'ready')) AS p(persona_id, state)""",
     "predicate_schemas": """
 SELECT * FROM (VALUES ('lives_in', 'core_identity', 'single', 'supersede', 3650, 'entity', 0.80, FALSE), ('works_at', 'core_identity', 'single', 'supersede', 1825, 'entity', 0.75, FALSE),
   ('prefers_name', 'core_identity', 'single', 'supersede', 3650, 'literal', 0.85, FALSE), ('likes', 'stable_preference', 'multi', 'coexist', 365, 'either', 0.55, FALSE),
