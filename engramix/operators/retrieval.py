@@ -1,0 +1,74 @@
+"""Retrieval of facts end to end: anchors of authorised facts, fusion, spreading energy, scores, selection.
+
+Every step is keyed by query, so a batch of questions is one plan. Ranks are given after the
+authority filter, as each source counts only what may be shown.
+"""
+
+from __future__ import annotations
+
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions import text as T
+from . import fusion, graph, scoring, search
+
+PER_SOURCE, FUSED, SCORED = 40, 80, 80
+
+
+def anchor_hits(questions: DataFrame, allowed: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """query_id, source, node_type, node_id, rank_position over the allowed facts of each question's persona:
+    words, named entities, pinned core, recent and important."""
+    asked = questions.select("query_id", "persona_id")
+
+    def ranked(rows: DataFrame, source: str, order: list[Column]) -> DataFrame:
+        top = search.top_k(rows, PER_SOURCE, order, "query_id")
+        return top.select("query_id", F.lit(source).alias("source"), F.lit("fact").alias("node_type"), F.col("fact_id").alias("node_id"), "rank_position")
+
+    words = search.bm25_scores(allowed, questions, "fact_id", "content_summary").withColumnRenamed("node_id", "fact_id")
+    words = words.join(allowed.select("fact_id", "persona_id"), "fact_id").join(asked, ["query_id", "persona_id"], "left_semi")
+    sides = allowed.select("persona_id", "fact_id", "importance", "created_at", F.explode(F.array_distinct(F.array_compact(F.array("subject_entity_id", "object_entity_id")))).alias("entity_id"))
+    named = search.entity_mentions(questions, entities, aliases).select("query_id", "entity_id").distinct().join(asked, "query_id")
+    about = named.join(sides, ["persona_id", "entity_id"]).select("query_id", "fact_id", "importance", "created_at").distinct()
+    own = asked.join(allowed.select("persona_id", "fact_id", "importance", "created_at", "pinned", "fact_type"), "persona_id")
+    steady = [F.desc("importance"), F.desc("created_at"), F.asc("fact_id")]
+    parts = [
+        ranked(about, "entity_exact", steady),
+        ranked(own.filter(F.col("pinned") | (F.col("fact_type") == "core_identity")), "pinned_core", steady),
+        ranked(own.filter("importance >= 0.7"), "recent_important", [F.desc("created_at"), F.desc("importance"), F.asc("fact_id")]),
+    ]
+    out = ranked(words, "fts", [F.desc("score"), F.asc("fact_id")])
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def score_candidates(questions: DataFrame, hits: DataFrame, allowed: DataFrame, links: DataFrame, fatigue: DataFrame, now: Column) -> DataFrame:
+    """Facts that the fused anchors name or their energy reaches, with ``final_score`` of their real signals.
+
+    ``allowed`` carries ``evidence_strength``; ``fatigue``: query_id, fact_id, fatigue_count. Slots, reflection, completion and the
+    penalties of hubs and premises are 0 here: they are operators of their own.
+    """
+    fused = fusion.fuse_anchors(hits).filter(F.col("rank_position") <= FUSED).select("query_id", F.col("node_id").alias("fact_id"), F.round("seed_energy", 6).alias("anchor"))
+    start = fused.select("query_id", graph.node_key("fact", "fact_id").alias("node"), F.col("anchor").alias("energy"))
+    lit_up = graph.activate(start, graph.open_links(links)).filter(F.col("node").startswith("fact:"))
+    reached = lit_up.select("query_id", F.substring("node", 6, 20).cast("bigint").alias("fact_id"), F.col("energy").alias("graph"))
+    both = fused.join(reached, ["query_id", "fact_id"], "full").fillna(0.0, ["anchor", "graph"])
+    rows = both.join(questions, "query_id").join(allowed, ["persona_id", "fact_id"]).join(fatigue, ["query_id", "fact_id"], "left").fillna(0, ["fatigue_count"])
+    none = {c: F.lit(0.0) for c in ("slot_boost", "reflection", "completion", "hub_penalty", "premise_penalty")}
+    rows = rows.withColumns({"lexical": F.round(T.match_score(F.col("query_text"), F.col("content_summary")), 6), **none})
+    return rows.withColumn("score", F.round(scoring.final_score(now), 6)).filter(F.col("score") >= scoring.LEAST_SCORE)
+
+
+def select(scored: DataFrame, cited: DataFrame, k: int = 8, budget: int = 1200) -> DataFrame:
+    """query_id, fact_id, rank_position: the greedy selection among the best scored. ``cited``: fact_id, episode_ids."""
+    best = search.top_k(scored, SCORED, [F.desc("score"), F.asc("fact_id")], "query_id", "place")
+    candidate = F.struct(
+        "score", "fact_id", S.estimate_tokens(F.col("content_summary")).alias("tokens"), T.summary_terms(F.col("content_summary")).alias("terms"),
+        F.array_compact(F.array("subject_entity_id", "object_entity_id")).alias("entity_ids"), "predicate",
+        F.coalesce("episode_ids", F.array().cast("array<bigint>")).alias("episode_ids"), F.col("validity_status").alias("validity"), F.col("lifecycle_status").alias("lifecycle"),
+    )
+    return scoring.select_mmr(best.join(cited, "fact_id", "left").select("query_id", candidate.alias("c")), k, budget)
+
+

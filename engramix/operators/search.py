@@ -48,8 +48,8 @@ def against_blocks(docs: DataFrame, queries: DataFrame, body) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
-    """query_id, node_id, score, rank_position of the k best documents of each query.
+def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
+    """query_id, node_id, score of all documents that hold a word of the query.
 
     Only tokens that some query asks for are counted; a posting list is built once per
     term for the whole batch. Documents' lengths travel with the postings.
@@ -71,7 +71,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", t
         "node_id",
         (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("w"),
     )
-    scored = asked.join(weighted, "term").groupBy("query_id", "node_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    return asked.join(weighted, "term").groupBy("query_id", "node_id").agg(F.round(F.sum("w"), 6).alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
+    """query_id, node_id, score, rank_position of the k best documents of each query."""
+    scored = bm25_scores(docs, queries, id_col, text_col)
     order = [F.desc("score"), F.asc("node_id")]
     if "updated_s" in docs.columns:  # of equal scores the latest
         scored = scored.join(docs.select(F.col(id_col).alias("node_id"), "updated_s"), "node_id")
