@@ -114,7 +114,10 @@ BOUNDARY = words("忘掉", "删除", "删掉", "清除", "不要提", "别提",
 SUPPORTIVE = words("支持", "安慰", "鼓励", "陪伴", "support", "supportive")
 GOTCHA = words("坑", "踩坑", "失败", "报错", "错误", "故障", "gotcha", "pitfall", "failed", "failure", "error")
 PROCEDURE = words("流程", "步骤", "怎么做", "操作步骤", "workflow", "procedure")
+STATIC_STATE = words("身份", "偏好", "默认配置", "住址", "常驻状态", "profile", "preference", "default", "address", "stable setting")
 PLANNING = words("计划", "规划", "planning")
+VAGUE_TIME = words("这件事", "这个", "那个", "这次", "那次", "后来", "之前")
+WORKING = Both((words("上班", "工作"), Without(words("关系", "朋友", "家人"))))
 
 TRANSITION = Either((Both((words("不再"), words("开始"))), Both((words("从"), words("变成", "变为", "变得"))), Both((OLD_STATE, NEW_STATE))))
 PREMISE = Either((UNIVERSAL, CONDITIONAL, CHALLENGE))
@@ -131,7 +134,7 @@ DOMAINS = [
 ABILITIES = [
     ("provenance", PROVENANCE), ("relationship_arc", RELATIONSHIP), ("historical", TRANSITION), ("premise_check", PREMISE), ("direct_fact", PAST_EVENT),
     ("causal_explain", CAUSAL), ("boundary", BOUNDARY), ("supportive", SUPPORTIVE), ("historical", REFLECTION), ("gotcha", GOTCHA), ("workflow", PROCEDURE),
-    ("dynamic_state", DYNAMIC), ("planning", PLANNING),
+    ("dynamic_state", DYNAMIC), ("static_state", STATIC_STATE), ("planning", PLANNING),
 ]
 NEEDS = [
     ("provenance_source", PROVENANCE), ("relationship_timeline", RELATIONSHIP), ("state_transition", TRANSITION), ("premise_counterexample", PREMISE),
@@ -151,7 +154,7 @@ NARRATIVE_ABILITIES = ["causal_explain", "supportive", "provenance", "planning",
 #: Openings that make sample questions of every class.
 SAMPLE_PREFIXES = [
     "what happened before", "my python cache", "the workflow failed", "profile of", "why did it change, cause of", "hello", "是不是完全 never", "以前 不再 开始",
-    "forget this boundary", "source of evidence", "上次 跟谁 什么时候",
+    "forget this boundary", "source of evidence", "上次 跟谁 什么时候", "default address of", "那次 工作", "latest status of", "a private matter of",
 ]
 
 
@@ -254,6 +257,95 @@ def route(need: Column, fit: Column, readiness: Column, complexity: Column, safe
     )
 
 
+# Retrieval modes and reasons by ability, thresholds of the reasons.
+RETRIEVAL_MODES = {
+    "boundary": "target_resolver", "causal_explain": "graph_contextual", "relationship_arc": "graph_contextual", "historical": "historical",
+    "dynamic_state": "historical", "provenance": "provenance", "premise_check": "premise_check",
+}
+INTENT_REASONS = {
+    "causal_explain": "causal_intent", "historical": "historical_intent", "provenance": "provenance_intent", "premise_check": "premise_check_intent",
+    "relationship_arc": "relationship_arc_intent", "boundary": "boundary_or_forget_intent", "direct_fact": "direct_fact_intent",
+}
+LEAST_READINESS, LEAST_NEED, LEAST_FIT, LEAST_COMPLEXITY = 0.45, 0.58, 0.66, 0.50
+FULL_COMPLEXITY, DECOMPOSE_COMPLEXITY, HIGH_RISK = 0.72, 0.80, 0.80
+
+
+def _lookup(key: Column, values: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+
+
+def retrieval_mode(ability_: Column, n_mentions: Column, predicate_confidence: Column) -> Column:
+    """How the rules alone would search: by ability; direct facts exactly where an entity or predicate is known."""
+    known = (n_mentions > 0) | (predicate_confidence >= 0.60)
+    return F.when((ability_ == "direct_fact") & known, "exact").otherwise(F.coalesce(_lookup(ability_, RETRIEVAL_MODES), F.lit("hybrid")))
+
+
+def rule_reasons(ability_: Column, n_mentions: Column, readiness: Column, default_penalty: Column, ambiguity: Column, risk: Column) -> Column:
+    """Reason codes of the rules' decision, in order."""
+    return F.array_compact(
+        F.array(
+            _lookup(ability_, INTENT_REASONS),
+            F.when(n_mentions > 0, "entity_resolved"),
+            F.when(readiness < LEAST_READINESS, "weak_anchor").otherwise("anchor_ready"),
+            F.when(default_penalty >= 0.60, "default_fallback"),
+            F.when(ambiguity >= 0.50, "ambiguous_reference"),
+            F.when(risk >= 0.50, "safety_risk"),
+        )
+    )
+
+
+def alternatives(text: Column, ability_: Column, domain_: Column) -> Column:
+    """array<struct<field, value, confidence, reasons>>: other readings of a question that its words allow."""
+
+    def reading(field: str, value: str, confidence: float, *reasons: str) -> Column:
+        return F.struct(
+            F.lit(field).alias("field"), F.lit(value).alias("value"), F.lit(confidence).alias("confidence"), F.array(*map(F.lit, reasons)).alias("reasons")
+        )
+
+    vague = (ability_ == "direct_fact") & VAGUE_TIME.column(text)
+    at_work = (domain_ == "relationship") & WORKING.column(text)
+    return F.array_compact(
+        F.array(
+            F.when(vague, reading("memory_ability", "historical", 0.55, "ambiguous_reference", "temporal_marker")),
+            F.when(vague, reading("time_mode", "historical", 0.50, "ambiguous_reference", "temporal_marker")),
+            F.when(at_work, reading("memory_domain", "work_experience", 0.50, "weak_work_domain_signal")),
+        )
+    )
+
+
+def semantic_decision(
+    text: Column, ability_: Column, signals_: Column, need: Column, fit: Column, readiness: Column, complexity: Column, risk: Column, full: bool = False
+) -> Column:
+    """struct<semantic_mode, retrieval_mode, reasons>: whether a question goes on to semantic analysis, how deep and why.
+
+    ``full`` allows the middle depth. Empty questions, questions about forgetting and
+    sensitive ones never go on. Scores that are not in [0, 1] count as absent for need and risk.
+    """
+    unit = lambda c: ~F.isnan(c) & c.between(0, 1)
+    cause = (
+        F.when(unit(need) & (need >= LEAST_NEED), "semantic_need_high")
+        .when(fit < LEAST_FIT, "rule_fit_low")
+        .when((readiness < LEAST_READINESS) & (complexity >= LEAST_COMPLEXITY), "anchor_readiness_low")
+    )
+    weak = readiness <= LEAST_READINESS
+    causal = ability_ == "causal_explain"
+    depth = F.when((causal & weak) | (complexity >= DECOMPOSE_COMPLEXITY), "semantic_decompose")
+    depth = (depth.when(complexity >= FULL_COMPLEXITY, "semantic_full") if full else depth).otherwise("semantic_light")
+
+    def decision(mode, retrieval, reasons: Column) -> Column:
+        as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.struct(as_column(mode).alias("semantic_mode"), as_column(retrieval).alias("retrieval_mode"), reasons.alias("reasons"))
+
+    codes = F.array_compact(F.array(F.when(causal, "causal_intent"), F.when(weak, "weak_anchor"), cause))
+    return (
+        F.when(F.trim(text) == "", decision("none", "rule", F.array(F.lit("empty_query"))))
+        .when(F.array_contains(signals_, "forget_delete") | (ability_ == "boundary"), decision("target_resolver", "target_resolver", F.array(F.lit("forget_or_delete_intent"))))
+        .when(F.array_contains(signals_, "sensitivity") | (unit(risk) & (risk >= HIGH_RISK)), decision("none", "rule", F.array(F.lit("safety_policy_first"))))
+        .when(cause.isNotNull(), decision(depth, F.when(causal & weak, "graph_contextual").otherwise("semantic"), codes))
+        .otherwise(decision("none", "rule", F.array(F.lit("rule_and_anchor_sufficient"))))
+    )
+
+
 def spend_weights(weights: Column, budget: float = 3.0, low: float = 0.1, high: float = 0.9) -> Column:
     """Generated weights, clamped, spent in order from a budget: each takes what is left at most."""
     start = F.struct(F.lit(float(budget)).alias("left"), F.array().cast("array<double>").alias("out"))

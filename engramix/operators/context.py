@@ -68,6 +68,35 @@ def premise_expansions(query: Column) -> Column:
     return F.when(contains_any(low, NEGATIONS), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
+# Words of facts that contradict a premise, that tell of good work, that tell how a relationship went; bonuses.
+CONTRADICTING = ["不能吃辣", "不太能吃辣", "辛辣耐受度低", "不能暴露", "不能把", "禁止", "不要", "不得", "不允许", "不是所有", "反例", "例外"]
+GOOD_WORK = ["side project", "开始做", "充实", "积极", "正面", "进展", "推进"]
+OUTCOMES = ["feels_with_agent", "relational_state", "companionship", "less lonely", "不孤独", "没那么孤独", "陪伴"]
+PREMISE_BONUS, GOOD_WORK_BONUS, OUTCOME_BONUS = 0.20, 0.25, 0.22
+#: Expansions that too many facts hold to contradict anything.
+WEAK_EXPANSIONS = [*POSITIVE_MARKERS, "下厨"]
+
+
+def text_bonus(ability: Column, need: Column, low_question: Column, low_fact: Column, fact_type: Column, restates: Column, by_counterexample_search: Column) -> Column:
+    """What the words of a fact add to its completion bonus.
+
+    Premise checks favour facts that contradict the premise, more so if the question asks for
+    good sides of hard work; questions about a relationship's course favour outcomes.
+    ``restates``: the fact repeats the premise, and so contradicts it by a ban only.
+    """
+    hard_work = F.contains(low_question, F.lit("工作")) & contains_any(low_question, ["焦虑", "负面", "消极"]) & contains_any(low_question, ["积极", "正面", "变化"])
+    good_work = hard_work & contains_any(low_fact, GOOD_WORK)
+    expanded = F.exists(premise_expansions(low_question), lambda e: ~e.isin(WEAK_EXPANSIONS) & F.contains(low_fact, e))
+    contradicts = by_counterexample_search | contains_any(low_fact, CONTRADICTING) | (~restates & (expanded | good_work))
+    premise = (ability == "premise_check") & (need == "premise_counterexample") & contradicts
+    course = ability.isin("relationship_arc", "dynamic_state") & need.isin("state_transition", "relationship_timeline")
+    outcome = (fact_type == "relational_state") | contains_any(low_fact, OUTCOMES)
+    return (
+        F.when(premise, PREMISE_BONUS + F.when(good_work, GOOD_WORK_BONUS).otherwise(0.0)).otherwise(0.0)
+        + F.when(course & outcome, OUTCOME_BONUS).otherwise(0.0)
+    )
+
+
 def raw_floor(candidates: DataFrame, n: int = 4, exact: int = 2) -> DataFrame:
     """``candidates``: query_id, fact_id, source, score, exact_need. The protected ones: up to n of raw_dense,
     filled up from raw_query, and the best exact matches where the question needs an observation."""

@@ -176,11 +176,49 @@ def purge(facts: DataFrame, links: DataFrame, targets: DataFrame) -> tuple[DataF
     ).drop("hit")
     a = hit.select(F.col("fact_id").alias("from_id"), F.lit(True).alias("hit_a"))
     b = hit.select(F.col("fact_id").alias("to_id"), F.lit("fact").alias("to_type"), F.lit(True).alias("hit_b"))
-    either = F.coalesce("hit_a", F.lit(False)) | F.coalesce("hit_b", F.lit(False))
-    cut = links.join(a, "from_id", "left").join(b, ["to_id", "to_type"], "left").withColumns(
-        {"visibility_status": F.when(either, "purged").otherwise(F.col("visibility_status")), "searchable": F.col("searchable") & ~either}
-    ).drop("hit_a", "hit_b")
-    return after, cut
+    marked = links.join(a, "from_id", "left").join(b, ["to_id", "to_type"], "left")
+    return after, _cut_links(marked, F.coalesce("hit_a", F.lit(False)) | F.coalesce("hit_b", F.lit(False))).drop("hit_a", "hit_b")
+
+
+def _cut_links(links: DataFrame, cut: Column) -> DataFrame:
+    """Links with the ``cut`` ones out of sight: open ones purged, hidden ones as they were, none with its reasoning."""
+    changes = {
+        "visibility_status": F.when(cut & (F.col("visibility_status") == "visible"), "purged").otherwise(F.col("visibility_status")),
+        "searchable": F.col("searchable") & ~cut,
+    }
+    if "reasoning" in links.columns:
+        changes["reasoning"] = F.when(~cut, F.col("reasoning"))
+    return links.withColumns(changes)
+
+
+def scrub_reasoning(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """Links (with ``reasoning``) without the reasoning of those that touch a target fact (fact_id)."""
+    hit = targets.select("fact_id").distinct()
+    a = hit.select(F.col("fact_id").alias("from_id"), F.lit(True).alias("hit_a"))
+    b = hit.select(F.col("fact_id").alias("to_id"), F.lit("fact").alias("to_type"), F.lit(True).alias("hit_b"))
+    touched = F.coalesce("hit_a", "hit_b").isNotNull()
+    return links.join(a, "from_id", "left").join(b, ["to_id", "to_type"], "left").withColumn("reasoning", F.when(~touched, F.col("reasoning"))).drop("hit_a", "hit_b")
+
+
+def purge_episodes(episodes: DataFrame, links: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Episodes with the ``targets`` (episode_id) purged, links with those that point at them cut, and the
+    facts (fact_id) that no open episode supports any more, whose search rows have to go."""
+    hit = targets.select("episode_id").distinct()
+    gone = F.coalesce("hit", F.lit(False))
+    after = episodes.join(hit.withColumn("hit", F.lit(True)), "episode_id", "left").withColumns(
+        {
+            "content": F.when(gone, "[redacted]").otherwise(F.col("content")),
+            "visibility_status": F.when(gone, "purged").otherwise(F.col("visibility_status")),
+            "searchable": F.col("searchable") & ~gone,
+        }
+    ).drop("hit")
+    b = hit.select(F.col("episode_id").alias("to_id"), F.lit("episode").alias("to_type"), F.lit(True).alias("hit_b"))
+    marked = links.join(b, ["to_id", "to_type"], "left")
+    cut = _cut_links(marked, F.coalesce("hit_b", F.lit(False))).drop("hit_b")
+    cited = links.filter("link_type = 'EVIDENCED_BY'").select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("episode_id"))
+    standing = after.filter("visibility_status = 'visible' AND searchable").select("episode_id")
+    lost = cited.join(hit, "episode_id", "left_semi").select("fact_id").distinct()
+    return after, cut, lost.join(cited.join(standing, "episode_id", "left_semi").select("fact_id"), "fact_id", "left_anti")
 
 
 def compression_reason() -> Column:

@@ -17,11 +17,13 @@ from .state_queries import decisions_sql
 from .text_queries import BM25
 
 
+FITTED = f"""d AS (SELECT *, {Q.time_mode_sql('t')} AS tm, {Q.domain_sql('t')} AS dm, len(list_distinct(list_filter(string_split(t, ' '), lambda x: x <> ''))) AS nt FROM ab),
+ft AS (SELECT query_id, least(1.0, greatest(0.0, 0.20 + 0.18 * (ability <> 'direct_fact')::INT + 0.14 * (CASE WHEN (ability = 'direct_fact') = (need = 'exact_observation') THEN 1 ELSE 0 END) + 0.10 * (tm <> 'current')::INT
+  + 0.09 * (dm <> 'relationship')::INT + 0.08 * (need <> 'exact_observation')::INT + 0.08 * least(1.0, nt / 8.0) - 0.15 * (signals = 'exact_fact')::INT - 0.06 * contains(signals, 'sensitivity')::INT)) AS fit FROM d)"""
+
+
 @query(
-    f"""WITH {ASKED}, {NOTE}, d AS (SELECT *, {Q.time_mode_sql('t')} AS tm, {Q.domain_sql('t')} AS dm, len(list_distinct(list_filter(string_split(t, ' '), lambda x: x <> ''))) AS nt FROM ab),
-f AS (SELECT query_id, least(1.0, greatest(0.0, 0.20 + 0.18 * (ability <> 'direct_fact')::INT + 0.14 * (CASE WHEN (ability = 'direct_fact') = (need = 'exact_observation') THEN 1 ELSE 0 END) + 0.10 * (tm <> 'current')::INT
-  + 0.09 * (dm <> 'relationship')::INT + 0.08 * (need <> 'exact_observation')::INT + 0.08 * least(1.0, nt / 8.0) - 0.15 * (signals = 'exact_fact')::INT - 0.06 * contains(signals, 'sensitivity')::INT)) AS fit FROM d)
-SELECT query_id, round(fit, 8) AS rule_fit, round(least(1.0, greatest(0.0, 0.6 * fit + 0.4 * 0.5)), 8) AS expected FROM f""", ("queries",))
+    f"WITH {ASKED}, {NOTE}, {FITTED} SELECT query_id, round(fit, 8) AS rule_fit, round(least(1.0, greatest(0.0, 0.6 * fit + 0.4 * 0.5)), 8) AS expected FROM ft", ("queries",))
 def question_scores(m):
     t = F.col("t")
     yes = lambda c: c.cast("int").cast("double")
@@ -39,12 +41,14 @@ def question_scores(m):
     return rows.select("query_id", F.round("fit", 8).alias("rule_fit"), F.round(Q.expected_confidence(F.col("fit"), F.lit(0.5), F.lit(0.0)), 8).alias("expected"))
 
 
-@query(
-    f"""WITH f AS (SELECT * FROM facts WHERE {OPEN}), p AS (SELECT persona_id, max(importance) FILTER (WHERE pinned) AS tp, count(*) FILTER (WHERE pinned) AS np,
+PROBED = f"""f AS (SELECT * FROM facts WHERE {OPEN}), p AS (SELECT persona_id, max(importance) FILTER (WHERE pinned) AS tp, count(*) FILTER (WHERE pinned) AS np,
   max(importance) FILTER (WHERE importance >= 0.7) AS tr, count(*) FILTER (WHERE importance >= 0.7) AS nr, max(importance) FILTER (WHERE predicate = 'likes') AS tl, count(*) FILTER (WHERE predicate = 'likes') AS nl FROM f GROUP BY 1),
 c AS (SELECT persona_id, CASE WHEN np > 0 THEN 0.35 + 0.25 * tp ELSE 0.0 END AS pinned, CASE WHEN nr > 0 THEN 0.25 + 0.25 * tr ELSE 0.0 END AS recent,
-  CASE WHEN nl > 0 THEN CASE WHEN tl > 0 THEN 0.7 + 0.2 * tl ELSE 0.2 + least(0.15, 0.05 * nl) END ELSE 0.0 END AS predicate FROM p)
-SELECT persona_id, round(pinned, 8) AS pinned, round(recent, 8) AS recent, round(predicate, 8) AS predicate, round(1 - (1 - pinned) * (1 - recent) * (1 - predicate), 8) AS readiness FROM c""", ("facts",))
+  CASE WHEN nl > 0 THEN CASE WHEN tl > 0 THEN 0.7 + 0.2 * tl ELSE 0.2 + least(0.15, 0.05 * nl) END ELSE 0.0 END AS predicate FROM p),
+pr AS (SELECT persona_id, round(pinned, 8) AS pinned, round(recent, 8) AS recent, round(predicate, 8) AS predicate, round(1 - (1 - pinned) * (1 - recent) * (1 - predicate), 8) AS readiness FROM c)"""
+
+
+@query(f"WITH {PROBED} SELECT * FROM pr", ("facts",))
 def anchor_probes(m):
     rows = m.facts.filter(OPEN)
     wanted = {"pinned": F.col("pinned"), "recent": F.col("importance") >= 0.7, "predicate": F.col("predicate") == "likes"}

@@ -133,11 +133,49 @@ def redact_cascade(m):
 
 @query(
     f"""WITH t AS (SELECT fact_id FROM facts WHERE {TARGETS})
-SELECT link_id, CASE WHEN from_id IN (SELECT fact_id FROM t) OR (to_type = 'fact' AND to_id IN (SELECT fact_id FROM t)) THEN 'purged' ELSE visibility_status END AS visibility_status FROM links""", ("facts", "links"))
+SELECT link_id, CASE WHEN visibility_status = 'visible' AND (from_id IN (SELECT fact_id FROM t) OR (to_type = 'fact' AND to_id IN (SELECT fact_id FROM t))) THEN 'purged' ELSE visibility_status END AS visibility_status FROM links""", ("facts", "links"))
 def purge_cascade(m):
     return M.purge(m.facts, m.links, targets(m))[1].select("link_id", "visibility_status")
 
 
+PURGED = "t AS (SELECT episode_id FROM episodes WHERE role = 'assistant' AND visibility_status = 'visible')"
+
+
+def purged(m):
+    return M.purge_episodes(m.episodes, m.links, m.episodes.filter("role = 'assistant' AND visibility_status = 'visible'").select("episode_id"))
+
+
+@query(
+    f"""WITH {PURGED}
+SELECT episode_id, CASE WHEN episode_id IN (SELECT * FROM t) THEN '[redacted]' ELSE content END AS content, CASE WHEN episode_id IN (SELECT * FROM t) THEN 'purged' ELSE visibility_status END AS visibility_status,
+  searchable AND episode_id NOT IN (SELECT * FROM t) AS searchable FROM episodes""", ("episodes",))
+def purge_episodes(m):
+    return purged(m)[0].select("episode_id", "content", "visibility_status", "searchable")
+
+
+@query(
+    f"""WITH {PURGED}, h AS (SELECT *, to_type = 'episode' AND to_id IN (SELECT * FROM t) AS hit FROM links)
+SELECT link_id, CASE WHEN hit AND visibility_status = 'visible' THEN 'purged' ELSE visibility_status END AS visibility_status, searchable AND NOT hit AS searchable FROM h""", ("episodes", "links"))
+def purge_episode_links(m):
+    return purged(m)[1].select("link_id", "visibility_status", "searchable")
+
+
+@query(
+    f"""WITH {PURGED}, c AS (SELECT from_id AS fact_id, to_id AS episode_id FROM links WHERE link_type = 'EVIDENCED_BY'),
+o AS (SELECT episode_id FROM episodes WHERE visibility_status = 'visible' AND searchable AND episode_id NOT IN (SELECT * FROM t))
+SELECT DISTINCT fact_id FROM c WHERE episode_id IN (SELECT * FROM t) AND fact_id NOT IN (SELECT fact_id FROM c WHERE episode_id IN (SELECT * FROM o))""", ("episodes", "links"))
+def purge_episode_facts(m):
+    return purged(m)[2]
+
+
+@query(
+    f"""WITH t AS (SELECT fact_id FROM facts WHERE {TARGETS})
+SELECT link_id, CASE WHEN NOT (from_id IN (SELECT * FROM t) OR (to_type = 'fact' AND to_id IN (SELECT * FROM t))) THEN concat('because of ', to_id) END AS reasoning FROM links""", ("facts", "links"))
+def forgotten_reasoning(m):
+    reasoned = m.links.withColumn("reasoning", F.concat(F.lit("because of "), F.col("to_id").cast("string")))
+    return M.scrub_reasoning(reasoned, targets(m)).select("link_id", "reasoning")
+
+
 REASON = """CASE WHEN visibility_status <> 'visible' THEN 'not_visible' WHEN validity_status = 'invalidated' THEN 'invalidated' WHEN pinned THEN 'pinned'
   WHEN fact_type IN ('core_identity', 'commitment') THEN 'protected_type' WHEN lifecycle_status IN ('consolidated', 'archived', 'deep_archived') THEN 'lifecycle' WHEN sensitivity_level = 'highly_sensitive' THEN 'sensitive' END"""
 

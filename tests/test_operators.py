@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engramix.functions import scalars as S
 from engramix.functions import text as T
-from engramix.operators import analysis, fusion, graph, metrics, mutations, scoring
+from engramix.operators import analysis, context, fusion, graph, metrics, mutations, scoring
 
 
 def one(spark, *columns):
@@ -194,3 +194,80 @@ def test_mmr_equals_a_plain_loop(spark):
     for r in scoring.select_mmr(spark.createDataFrame(data, f"query_id int, c {kind}"), 6, 150).orderBy("rank_position").collect():
         got.setdefault(r.query_id, []).append(r.fact_id)
     assert got == {q: plain_mmr([c for p, c in data if p == q], 6, 150) for q in range(6)}
+
+
+def test_decisions(spark):
+    schema = "t string, ability string, signals array<string>, need double, fit double, ready double, cx double, risk double"
+    rows = [
+        ("  ", "direct_fact", [], 0.9, 0.1, 0.1, 0.9, 0.0),
+        ("a", "boundary", [], 0.9, 0.1, 0.1, 0.9, 0.0),
+        ("a", "direct_fact", ["sensitivity"], 0.9, 0.1, 0.1, 0.9, 0.0),
+        ("a", "direct_fact", [], 0.9, 0.1, 0.1, 0.9, 0.8),
+        ("a", "causal_explain", [], 0.58, 0.9, 0.45, 0.1, 0.0),
+        ("a", "direct_fact", [], 0.1, 0.65, 0.9, 0.75, 0.0),
+        ("a", "direct_fact", [], float("nan"), 0.66, 0.44, 0.5, 1.5),
+        ("a", "direct_fact", [], 0.57, 0.66, 0.45, 0.9, 0.79),
+    ]
+    c = F.col
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    for full, middle in ((False, "semantic_light"), (True, "semantic_full")):
+        d = analysis.semantic_decision(c("t"), c("ability"), c("signals"), c("need"), c("fit"), c("ready"), c("cx"), c("risk"), full)
+        got = [(r.d.semantic_mode, r.d.retrieval_mode, r.d.reasons) for r in df.select(d.alias("d")).collect()]
+        assert got == [
+            ("none", "rule", ["empty_query"]),
+            ("target_resolver", "target_resolver", ["forget_or_delete_intent"]),
+            ("none", "rule", ["safety_policy_first"]),
+            ("none", "rule", ["safety_policy_first"]),
+            ("semantic_decompose", "graph_contextual", ["causal_intent", "weak_anchor", "semantic_need_high"]),
+            (middle, "semantic", ["rule_fit_low"]),
+            ("semantic_light", "semantic", ["weak_anchor", "anchor_readiness_low"]),
+            ("none", "rule", ["rule_and_anchor_sufficient"]),
+        ]
+
+
+def test_rule_decision(spark):
+    c = F.col
+    df = spark.createDataFrame([("direct_fact", 1, 0.0), ("direct_fact", 0, 0.6), ("direct_fact", 0, 0.5), ("planning", 3, 0.9), ("boundary", 0, 0.0)], "a string, n int, p double").coalesce(1)
+    assert [r[0] for r in df.select(analysis.retrieval_mode(c("a"), c("n"), c("p"))).collect()] == ["exact", "exact", "hybrid", "hybrid", "target_resolver"]
+    reasons = analysis.rule_reasons(c("a"), c("n"), c("p"), F.lit(0.6), F.lit(0.5), F.lit(0.49))
+    assert [r[0] for r in df.select(reasons).collect()][3:] == [
+        ["entity_resolved", "anchor_ready", "default_fallback", "ambiguous_reference"],
+        ["boundary_or_forget_intent", "weak_anchor", "default_fallback", "ambiguous_reference"],
+    ]
+    texts = spark.createDataFrame([("默认配置 是什么",), ("stable setting",), ("那次 工作",), ("那次 工作 朋友",)], "t string").coalesce(1)
+    assert [r[0] for r in texts.select(analysis.ability(c("t"))).collect()] == ["static_state", "static_state", "direct_fact", "direct_fact"]
+    found = [[x.field for x in r[0]] for r in texts.select(analysis.alternatives(c("t"), analysis.ability(c("t")), analysis.domain(c("t")))).collect()]
+    assert found == [[], [], ["memory_ability", "time_mode", "memory_domain"], ["memory_ability", "time_mode"]]
+
+
+def test_text_bonus(spark):
+    c = F.col
+    rows = [
+        ("premise_check", "premise_counterexample", "never 做饭", "他 在家做 菜", "x", False, 0.20),
+        ("premise_check", "premise_counterexample", "never 做饭", "他 在家做 菜", "x", True, 0.0),
+        ("premise_check", "premise_counterexample", "never 做饭", "只会 下厨", "x", False, 0.0),
+        ("premise_check", "premise_counterexample", "anything", "不要 吃", "x", True, 0.20),
+        ("premise_check", "premise_counterexample", "工作 焦虑 变化", "side project", "x", False, 0.45),
+        ("dynamic_state", "state_transition", "q", "less lonely", "x", False, 0.22),
+        ("dynamic_state", "state_transition", "q", "z", "relational_state", False, 0.22),
+        ("dynamic_state", "exact_observation", "q", "less lonely", "x", False, 0.0),
+    ]
+    df = spark.createDataFrame(rows, "a string, n string, q string, f string, ft string, r boolean, want double")
+    bonus = context.text_bonus(c("a"), c("n"), c("q"), c("f"), c("ft"), c("r"), F.lit(False))
+    assert [r.want for r in df.coalesce(1).collect()] == [round(r[0], 6) for r in df.coalesce(1).select(bonus).collect()]
+
+
+def test_purges(spark):
+    episodes = spark.createDataFrame([(1, "a", "visible", True), (2, "b", "visible", True)], "episode_id long, content string, visibility_status string, searchable boolean")
+    links = spark.createDataFrame(
+        [(1, 10, "EVIDENCED_BY", "episode", 1, "visible", "r"), (2, 11, "EVIDENCED_BY", "episode", 1, "hidden", "r"), (3, 11, "EVIDENCED_BY", "episode", 2, "visible", "r"), (4, 12, "SUPPORTS", "fact", 1, "visible", "r")],
+        "link_id long, from_id long, link_type string, to_type string, to_id long, visibility_status string, reasoning string",
+    ).withColumn("searchable", F.lit(True))
+    targets = spark.createDataFrame([(1,), (1,)], "episode_id long")
+    after, cut, facts = mutations.purge_episodes(episodes, links, targets)
+    assert sorted(map(tuple, after.collect())) == [(1, "[redacted]", "purged", False), (2, "b", "visible", True)]
+    state = lambda df: {r.link_id: (r.visibility_status, r.reasoning, r.searchable) for r in df.collect()}
+    assert state(cut) == {1: ("purged", None, False), 2: ("hidden", None, False), 3: ("visible", "r", True), 4: ("visible", "r", True)}
+    assert [r.fact_id for r in facts.collect()] == [10]
+    hit = spark.createDataFrame([(11,), (1,)], "fact_id long")
+    assert {r.link_id: r.reasoning for r in mutations.scrub_reasoning(links, hit).collect()} == {1: "r", 2: None, 3: None, 4: None}
