@@ -20,15 +20,16 @@ def complete(links: DataFrame, episodes: DataFrame, entities: DataFrame, seeds:
 
     The families are one union; of a fact found twice the larger bonus stays, then the
     family's name decides. Candidates are cut to ``DISCOVERED`` before authority, to
-    ``KEPT`` after it.
+    ``KEPT`` after it. Facts of one family have one bonus and stand by id, so a key's first
+    ``DISCOVERED`` partners are all that can stay: hot episodes, moments and entities give no more.
     """
     tagged = lambda df, rule: df.select("seed_id", "fact_id", F.lit(rule).alias("rule"))
     parts = [
         tagged(graph.linked_facts(links, seeds, ["SUPERSEDES"], inbound=False), "historical"),
         tagged(graph.linked_facts(links, seeds, ["CAUSED_BY", "EXPLAINS", "TRIGGERED_BY"]), "causal"),
-        tagged(graph.shared_evidence(links, episodes, seeds), "event_bundle"),
-        tagged(graph.session_window(links, episodes, seeds, window_s), "event_bundle"),
-        tagged(graph.shared_entities(links, entities, seeds), "event_bundle"),
+        tagged(graph.shared_evidence(links, episodes, seeds, DISCOVERED), "event_bundle"),
+        tagged(graph.session_window(links, episodes, seeds, window_s, DISCOVERED), "event_bundle"),
+        tagged(graph.shared_entities(links, entities, seeds, DISCOVERED), "event_bundle"),
     ]
     bonus = reduce(lambda acc, kv: acc.when(F.col("rule") == kv[0], F.lit(kv[1])), BONUSES.items(), F).otherwise(F.lit(0.0))
     found = reduce(DataFrame.unionAll, parts).withColumn("bonus", bonus)

@@ -68,18 +68,28 @@ def activate(seeds: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
     return top_k(total, MOST_NODES, [F.desc("energy"), F.asc("node")], "query_id")
 
 
-def shared_evidence(links: DataFrame, episodes: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seed_id, fact_id of facts that cite a visible episode which a seed cites too; ``seeds``: fact_id."""
+def _first_facts(rows: DataFrame, keys: list[str], most: int | None) -> DataFrame:
+    """The ``most`` + 1 smallest fact ids of each key. A seed is one of them at most, so ``most`` partners stay; Spark
+    cuts them in every task before the shuffle, and a hot key meets its seeds with so many rows only."""
+    return rows if most is None else top_k(rows, most + 1, [F.asc("fact_id")], keys, "__place").drop("__place")
+
+
+def shared_evidence(links: DataFrame, episodes: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """seed_id, fact_id of facts that cite a visible episode which a seed cites too; ``seeds``: fact_id.
+
+    With ``most``, each seed keeps at least its ``most`` smallest partners, if it has so many; further ones may be left out.
+    """
     cited = open_links(links).filter("link_type = 'EVIDENCED_BY'").select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("episode_id"))
     cited = cited.join(episodes.filter("visibility_status = 'visible' AND searchable").select("episode_id"), "episode_id", "left_semi").distinct()
     mine = cited.join(seeds.select("fact_id"), "fact_id", "left_semi").select(F.col("fact_id").alias("seed_id"), "episode_id")
-    return mine.join(cited, "episode_id").filter("seed_id <> fact_id").select("seed_id", "fact_id").distinct()
+    return mine.join(_first_facts(cited, ["episode_id"], most), "episode_id").filter("seed_id <> fact_id").select("seed_id", "fact_id").distinct()
 
 
-def session_window(links: DataFrame, episodes: DataFrame, seeds: DataFrame, seconds: int = 7200) -> DataFrame:
+def session_window(links: DataFrame, episodes: DataFrame, seeds: DataFrame, seconds: int = 7200, most: int | None = None) -> DataFrame:
     """seed_id, fact_id of facts whose evidence lies in the same session within ``seconds`` of a seed's.
 
     Both sides are cut into buckets of the window's width; the partner looks into three.
+    ``most`` as in ``shared_evidence``; the facts of one moment of a session are cut together.
     """
     seen = episodes.filter("visibility_status = 'visible' AND searchable").select("episode_id", "session_id", "at_s")
     cited = open_links(links).filter("link_type = 'EVIDENCED_BY'").select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("episode_id"))
@@ -88,17 +98,17 @@ def session_window(links: DataFrame, episodes: DataFrame, seeds: DataFrame, seco
     mine = placed.join(seeds.select("fact_id"), "fact_id", "left_semi").select(
         F.col("fact_id").alias("seed_id"), "session_id", F.col("at_s").alias("seed_s"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")
     )
-    near = mine.join(placed.withColumn("bucket", bucket), ["session_id", "bucket"])
+    near = mine.join(_first_facts(placed, ["session_id", "at_s"], most).withColumn("bucket", bucket), ["session_id", "bucket"])
     return near.filter((F.abs(F.col("at_s") - F.col("seed_s")) <= seconds) & (F.col("seed_id") != F.col("fact_id"))).select("seed_id", "fact_id").distinct()
 
 
-def shared_entities(links: DataFrame, entities: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seed_id, fact_id of facts about an eligible entity that a seed is about too."""
+def shared_entities(links: DataFrame, entities: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """seed_id, fact_id of facts about an eligible entity that a seed is about too; ``most`` as in ``shared_evidence``."""
     about = open_links(links).filter("link_type = 'ABOUT_ENTITY'").select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("entity_id"))
     ok = entities.filter("visibility_status = 'visible' AND searchable AND sensitivity_level = 'normal'").select("entity_id")
     about = about.join(ok, "entity_id", "left_semi").distinct()
     mine = about.join(seeds.select("fact_id"), "fact_id", "left_semi").select(F.col("fact_id").alias("seed_id"), "entity_id")
-    return mine.join(about, "entity_id").filter("seed_id <> fact_id").select("seed_id", "fact_id").distinct()
+    return mine.join(_first_facts(about, ["entity_id"], most), "entity_id").filter("seed_id <> fact_id").select("seed_id", "fact_id").distinct()
 
 
 def linked_facts(links: DataFrame, seeds: DataFrame, types: list[str], outbound: bool = True, inbound: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engramix.functions import scalars as S
 from engramix.functions import text as T
-from engramix.operators import analysis, context, fusion, graph, metrics, mutations, scoring
+from engramix.operators import analysis, completion, context, fusion, graph, metrics, mutations, scoring
 
 
 def one(spark, *columns):
@@ -271,3 +271,23 @@ def test_purges(spark):
     assert [r.fact_id for r in facts.collect()] == [10]
     hit = spark.createDataFrame([(11,), (1,)], "fact_id long")
     assert {r.link_id: r.reasoning for r in mutations.scrub_reasoning(links, hit).collect()} == {1: "r", 2: None, 3: None, 4: None}
+
+
+def test_completion_of_hot_keys(spark):
+    """An episode, a session and an entity that every fact shares: the cut before the join loses none of the first."""
+    n = 120
+    to = "visible", True, "forward", 1.0
+    rows = [(f, "EVIDENCED_BY", "episode", 1, *to) for f in range(n)] + [(f, "EVIDENCED_BY", "episode", 2 + f % 3, *to) for f in range(0, n, 2)] + [(f, "ABOUT_ENTITY", "entity", 5, *to) for f in range(n)]
+    rows += [(7, "CAUSED_BY", "fact", f, *to) for f in range(100, 110)]
+    links = spark.createDataFrame(rows, "from_id long, link_type string, to_type string, to_id long, visibility_status string, searchable boolean, direction string, weight double")
+    episodes = spark.createDataFrame([(e, 9, 100 * e) for e in range(1, 5)], "episode_id long, session_id long, at_s long").withColumns({"visibility_status": F.lit("visible"), "searchable": F.lit(True)})
+    entities = spark.createDataFrame([(5, "visible", True, "normal")], "entity_id long, visibility_status string, searchable boolean, sensitivity_level string")
+    seeds = spark.createDataFrame([(0,), (7,), (60,)], "fact_id long")
+    got = completion.complete(links, episodes, entities, seeds, spark.range(n).withColumnRenamed("id", "fact_id").filter("fact_id % 2 = 1"))
+    found = {s: [r.fact_id for r in got.filter(F.col("seed_id") == s).orderBy("rank_position").collect()] for s in (0, 7, 60)}
+    best = {s: [f for f in range(n) if f != s] for s in (0, 60)} | {7: [*range(100, 110), *(f for f in range(100) if f != 7)]}
+    assert found == {s: [f for f in ids[:24] if f % 2][:12] for s, ids in best.items()}
+    # Facts 0 to 24 of episode 1 but the seed; seeds 0 and 60 also meet the 20 multiples of 6 in episode 2.
+    pairs = graph.shared_evidence(links, episodes, seeds, 24)
+    met = {s: set(range(25)) | (set(range(0, n, 6)) if s in (0, 60) else set()) for s in (0, 7, 60)}
+    assert sorted(map(tuple, pairs.collect())) == sorted((s, f) for s, fs in met.items() for f in fs if f != s)
