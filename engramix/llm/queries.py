@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, folds, language_id, near_dup, pii, quality_model, quality_rules, secrets, sentencepiece_scan, toxicity, url_filter
+from . import centroids, decontaminate, folds, language_id, near_dup, pii, quality_model, quality_rules, secrets, sentencepiece_scan, toxicity, url_filter
 from .common import read_table
 
 QUERIES: dict = {}
@@ -177,3 +177,41 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_texts(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     )
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
+    named = F.broadcast(found.centroid_rows().drop("centroid"))
+    return found.rows.join(named, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _centroid_sql(rounds: int) -> str:
+    """Round by round; vectors are numbered, components lie in rows."""
+    parts = [
+        """WITH e AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+kept AS (SELECT rid, vec_id, list_transform(v, lambda x: CAST(x AS BIGINT)) AS v FROM e),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS INTEGER) AS cluster, v AS c FROM kept QUALIFY cluster < 40)"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""d{n} AS MATERIALIZED (SELECT rid, vec_id, v, cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS distance FROM kept, c{n}),
+a{n} AS MATERIALIZED (SELECT * FROM d{n} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""s{n} AS (SELECT cluster, i, sum(x) AS s, count(*) AS k FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{n}) GROUP BY 1, 2),
+m{n} AS (SELECT cluster, list(CAST((CAST(s AS BIGINT) - (((CAST(s AS BIGINT) % k) + k) % k)) // k AS BIGINT) ORDER BY i) AS c FROM s{n} GROUP BY 1),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.cluster, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (cluster))"""
+            )
+    return (
+        ",\n".join(parts)
+        + f"""
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+    )
+
+
+ORACLE_SQL["op11_centroids"] = _centroid_sql(5)
