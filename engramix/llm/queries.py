@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, folds, language_id, near_dup, pii, quality_model, quality_rules, secrets, sentencepiece_scan, toxicity, url_filter
+from . import centroids, decontaminate, folds, language_id, near_dup, pii, quality_model, quality_rules, secrets, sentencepiece_scan, toxicity, url_filter, vector_search
 from .common import read_table
 
 QUERIES: dict = {}
@@ -215,3 +215,18 @@ FROM a{rounds} JOIN c{rounds} USING (cluster)"""
 
 
 ORACLE_SQL["op11_centroids"] = _centroid_sql(5)
+
+
+@query
+def op13_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = vector_search.build_index(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return vector_search.top_k(index, k=10).withColumnRenamed("id", "vec_id")
+
+
+ORACLE_SQL["op13_vector_topk"] = """
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
+"""
