@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, folds, language_id, near_dup, pii, quality_model, quality_rules, secrets, sentencepiece_scan, toxicity, url_filter, vector_search
+from . import centroids, decontaminate, folds, language_id, lexical_search, near_dup, pii, quality_model, quality_rules, secrets, sentencepiece_scan, toxicity, url_filter, vector_search
 from .common import read_table
 
 QUERIES: dict = {}
@@ -230,3 +230,22 @@ s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_
   FROM e q JOIN e c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
 """
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(read_table(spark, sf_dir, "documents"))
+    found = lexical_search.search(index, read_table(spark, sf_dir, "benchmark"), k=10)
+    return found.withColumnsRenamed({"item": "item_id", "id": "doc_id"})
+
+
+ORACLE_SQL["op12_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWERED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ts FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, unnest(regexp_extract_all({LOWERED}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS t FROM benchmark),
+g AS (SELECT CAST(count(*) AS BIGINT) AS n_all, CAST(sum(len(ts)) AS BIGINT) AS l_all FROM d WHERE len(ts) > 0),
+p AS (SELECT rid, doc_id, t, CAST(n AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), g),
+s AS (SELECT iid, item_id, rid, doc_id, CAST(sum(w * q * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_all) // l_all)))) AS BIGINT) AS score
+  FROM (SELECT iid, item_id, t, count(*) AS q FROM i GROUP BY ALL) JOIN p USING (t) JOIN w USING (t), g GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS INTEGER) AS rank, doc_id, score FROM s QUALIFY rank <= 10
+"""
