@@ -39,14 +39,41 @@ def complete(links: DataFrame, episodes: DataFrame, entities: DataFrame, seeds:
     return top_k(first.join(allowed.select("fact_id"), "fact_id", "left_semi"), KEPT, order, "seed_id").select("seed_id", "fact_id", "rule", "bonus", "rank_position")
 
 
-def insert_superseded(selected: DataFrame, links: DataFrame, k: int = 8) -> DataFrame:
-    """``selected``: query_id, fact_id, rank_position. After each selected fact the facts that it replaced,
-    while there is room: rows past ``k`` fall out from the end."""
-    old = graph.open_links(links).filter("link_type = 'SUPERSEDES' AND to_type = 'fact'").select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("old_id")).distinct()
-    added = selected.join(old, "fact_id").select("query_id", F.col("old_id").alias("fact_id"), F.col("rank_position"), F.lit(1).alias("late"))
-    rows = selected.select("query_id", "fact_id", "rank_position", F.lit(0).alias("late")).unionByName(added)
-    first = rows.groupBy("query_id", "fact_id").agg(F.min(F.struct("rank_position", "late")).alias("at"))
-    return top_k(first, k, [F.asc("at"), F.asc("fact_id")], "query_id", "place").select("query_id", "fact_id", F.col("place").alias("rank_position"))
+def insert_superseded(selected: DataFrame, targets: DataFrame, k: int = 8) -> DataFrame:
+    """query_id, fact_id, rank_position: the selection with the facts that its eligible members replaced.
+
+    ``selected``: query_id, fact_id, rank_position, historical (came in as a replaced fact). ``targets``: query_id, source_id, fact_id,
+    weight, link_id; only what the question may be shown, as nothing is filtered here. Sources are treated in the order of their ids, their targets
+    by weight: a target that is not there yet comes right behind its source; where the list is full, the last fact that is neither the source nor historical
+    gives way, and without such a fact nothing happens. The order makes it a fold; a source's targets past the
+    first 2 ``k`` can't change the list, as it holds ``k`` at most, and are cut before the shuffle.
+    """
+    place = F.struct("rank_position", "fact_id", "historical")
+    lists = selected.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(place)), lambda x: F.struct(x["fact_id"].alias("fact_id"), x["historical"].alias("historical"))).alias("start"))
+    first = top_k(targets, 2 * k, [F.desc(F.abs("weight")), F.asc("link_id"), F.asc("fact_id")], ["query_id", "source_id"], "nth")
+    steps = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("source_id", "nth", "fact_id"))).alias("steps"))
+
+    def step(acc: Column, op: Column) -> Column:
+        held = F.exists(acc, lambda x: x["fact_id"] == op["fact_id"])
+        full = F.size(acc) >= k
+        places = F.transform(acc, lambda x, i: F.when((x["fact_id"] != op["source_id"]) & ~x["historical"], i))
+        last = F.array_max(F.array_compact(places))
+        rest = F.when(full, F.filter(acc, lambda x, i: i != last)).otherwise(acc)
+        at = F.array_position(F.transform(rest, lambda x: x["fact_id"]), op["source_id"])
+        at = F.when(at > 0, at).otherwise(F.size(rest)).cast("int")
+        new = F.struct(op["fact_id"].alias("fact_id"), F.lit(True).alias("historical"))
+        return F.when(held | (full & last.isNull()), acc).otherwise(F.concat(F.slice(rest, F.lit(1), at), F.array(new), F.slice(rest, at + 1, F.size(rest))))
+
+    folded = lists.join(steps, "query_id", "left").select(
+        "query_id", F.when(F.col("steps").isNull(), F.col("start")).otherwise(F.aggregate("steps", F.col("start"), step)).alias("done")
+    )
+    return folded.select("query_id", F.posexplode("done").alias("p", "x")).select("query_id", F.col("x.fact_id").alias("fact_id"), (F.col("p") + 1).cast("bigint").alias("rank_position"))
+
+
+def superseded(links: DataFrame) -> DataFrame:
+    """source_id, fact_id, weight, link_id of the open links by which a fact replaces another."""
+    open_ = graph.open_links(links).filter("link_type = 'SUPERSEDES' AND to_type = 'fact' AND from_id <> to_id")
+    return open_.select(F.col("from_id").alias("source_id"), F.col("to_id").alias("fact_id"), "weight", "link_id")
 
 
 def overlap_rerank(query_tokens: Column, text_tokens: Column, configured: Column) -> Column:

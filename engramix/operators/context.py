@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import scalars as S
 from ..functions import text as T
 from ..functions.text import contains_any
 from .search import top_k
@@ -97,6 +98,20 @@ def text_bonus(ability: Column, need: Column, low_question: Column, low_fact: Co
     )
 
 
+# Words that take a premise back, and words that repeat one.
+TAKING_BACK = ["不再", "不是所有", "反例", "例外", "恢复", "解决", "和解", "不能暴露", "不能把", "禁止", "不要", "不得", "不允许"]
+REPEATING = ["不会", "不能", "没有", "没", "不是", "不", "从来", "完全", "一点", "任何", "每个", "所有", "只有", "never", "not ", "no "]
+
+
+def restates_premise(ability: Column, need: Column, question: Column, low_fact: Column) -> Column:
+    """A fact that repeats the premise which a question wants to see contradicted: it negates like it,
+    takes nothing back, and touches the question's CJK pairs, if it has any."""
+    pairs = T.cjk_bigrams(question)
+    touches = (F.size(pairs) == 0) | F.exists(pairs, lambda p: F.contains(low_fact, p))
+    negates = contains_any(low_fact, REPEATING) & ~contains_any(low_fact, [*POSITIVE_MARKERS, *TAKING_BACK])
+    return (ability == "premise_check") & (need == "premise_counterexample") & (F.trim(low_fact) != "") & negates & touches
+
+
 def raw_floor(candidates: DataFrame, n: int = 4, exact: int = 2) -> DataFrame:
     """``candidates``: query_id, fact_id, source, score, exact_need. The protected ones: up to n of raw_dense,
     filled up from raw_query, and the best exact matches where the question needs an observation."""
@@ -183,3 +198,61 @@ def map_candidates(candidates: DataFrame, index_map: DataFrame, facts: DataFrame
         .otherwise("kept")
     )
     return rows.select("node_key", reason.alias("drop_reason"))
+
+
+#: Tokens of a source reference; references and relations of an item; links that a block's items relate by.
+REF_TOKENS, MOST_REFS, MOST_RELATED = 6, 2, 2
+CAUSAL_RELATIONS, HISTORY_RELATIONS = ["CAUSED_BY", "CONTRIBUTED_TO", "EXPLAINS", "SUPPORTS", "TRIGGERED_BY"], ["SUPERSEDES"]
+
+
+def items(selected: DataFrame, questions: DataFrame, facts: DataFrame, links: DataFrame, episodes: DataFrame) -> DataFrame:
+    """query_id, fact_id, rank_position, block, block_place, tokens, refs, related: the selected facts as items of context blocks.
+
+    ``questions`` and ``facts`` as ``recall`` makes them. Only sources that may be shown and related facts that the question may be shown are named;
+    a fact counts as replaced only if a fact that may be shown replaces it. Blocks stand in the order of their first items.
+    """
+    asked = questions.select("query_id", "persona_id", "allow_historical", "ability", "need", "signals")
+    mine = selected.join(asked, "query_id").join(facts.select("fact_id", "content_summary", "persona_id"), ["fact_id", "persona_id"])
+    shown = facts.select(F.col("fact_id").alias("other_id"), F.col("persona_id").alias("other_persona"), F.col("past").alias("other_past"), S.estimate_tokens(F.col("content_summary")).alias("cost"))
+    may = (F.col("other_persona") == F.col("persona_id")) & (~F.col("other_past") | F.col("allow_historical"))
+    typed = links.filter("visibility_status = 'visible' AND searchable AND to_type = 'fact' AND from_id <> to_id").filter(F.col("link_type").isin(CAUSAL_RELATIONS + HISTORY_RELATIONS))
+    out = typed.select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("other_id"), "link_type", "weight", "link_id", F.lit("outbound").alias("way"))
+    into = typed.select(F.col("to_id").alias("fact_id"), F.col("from_id").alias("other_id"), "link_type", "weight", "link_id", F.lit("inbound").alias("way"))
+    near = mine.select("query_id", "fact_id", "persona_id", "allow_historical").join(out.unionByName(into), "fact_id").join(shown, "other_id").filter(may)
+    replaced = near.filter("link_type = 'SUPERSEDES' AND way = 'inbound'").select("query_id", "fact_id", F.lit(True).alias("replaced")).distinct()
+
+    seen = episodes.filter("visibility_status = 'visible' AND searchable AND sensitivity_level = 'normal'").select("episode_id", "at_s")
+    cites = links.filter("link_type = 'EVIDENCED_BY' AND visibility_status = 'visible' AND searchable").select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("episode_id")).distinct()
+    cites = cites.join(mine.select("fact_id").distinct(), "fact_id", "left_semi").join(seen, "episode_id")
+    refs = top_k(cites, MOST_REFS, [F.asc("at_s"), F.asc("episode_id")], "fact_id", "r").groupBy("fact_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "episode_id"))), lambda x: x["episode_id"]).alias("refs"))
+
+    rows = mine.join(replaced, ["query_id", "fact_id"], "left").join(refs, "fact_id", "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<bigint>")))
+    kind = block_type(F.col("ability"), F.col("need"), F.col("signals"), F.coalesce("replaced", F.lit(False)), F.size("refs"))
+    rows = rows.withColumn("block", kind).withColumn("block_place", F.min("rank_position").over(W.partitionBy("query_id", "block")))
+    fits = ((F.col("block") == "relevant_causal_memory") & F.col("link_type").isin(CAUSAL_RELATIONS)) | ((F.col("block") == "historical_transition_memory") & F.col("link_type").isin(HISTORY_RELATIONS))
+    related = near.join(rows.select("query_id", "fact_id", "block"), ["query_id", "fact_id"]).filter(fits)
+    related = top_k(related, MOST_RELATED, [F.desc(F.abs("weight")), F.asc("link_id"), F.desc("way"), F.asc("other_id")], ["query_id", "fact_id"], "r")
+    entry = F.struct((F.col("way") != "outbound").alias("inbound"), "other_id", "link_type", "cost")
+    related = related.groupBy("query_id", "fact_id").agg(F.sort_array(F.collect_list(entry)).alias("related"))
+    rows = rows.join(related, ["query_id", "fact_id"], "left").withColumn("related", F.coalesce("related", F.array().cast(related.schema["related"].dataType)))
+    return rows.select("query_id", "fact_id", "rank_position", "block", "block_place", S.estimate_tokens(F.col("content_summary")).alias("tokens"), "refs", "related")
+
+
+def trimmed(rows: DataFrame, budget: int) -> DataFrame:
+    """``items`` within a budget of tokens per question: from the last item of the last block on, an item first gives its related facts back, the last first,
+    then its references, as long as the rest is over the budget. Summaries stay. What is given back before a piece is a running sum.
+    """
+    piece = lambda kind, cost: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(kind), F.lit(1))), lambda i: F.struct(F.lit(0 if kind == "related" else 1).alias("turn"), (-i).alias("from_end"), cost(i).alias("cost"))
+    )
+    pieces = F.concat(
+        F.filter(piece("related", lambda i: F.get("related", i - 1)["cost"]), lambda x: -x["from_end"] <= F.size("related")),
+        F.filter(piece("refs", lambda i: F.lit(REF_TOKENS).cast("bigint")), lambda x: -x["from_end"] <= F.size("refs")),
+    )
+    single = rows.select("query_id", "fact_id", "block_place", "rank_position", F.explode(pieces).alias("p")).select("query_id", "fact_id", "block_place", "rank_position", "p.*")
+    spent = rows.select("query_id", F.col("tokens").alias("cost")).unionByName(single.select("query_id", "cost")).groupBy("query_id").agg(F.sum("cost").alias("total"))
+    back = W.partitionBy("query_id").orderBy(F.desc("block_place"), F.desc("rank_position"), "turn", "from_end").rowsBetween(W.unboundedPreceding, -1)
+    kept = single.withColumn("before", F.coalesce(F.sum("cost").over(back), F.lit(0))).join(spent, "query_id").filter(F.col("total") - F.col("before") <= budget)
+    counts = kept.groupBy("query_id", "fact_id").agg(F.count_if(F.col("turn") == 0).cast("int").alias("n_related"), F.count_if(F.col("turn") == 1).cast("int").alias("n_refs"))
+    out = rows.join(counts, ["query_id", "fact_id"], "left").fillna(0, ["n_related", "n_refs"])
+    return out.withColumns({"related": F.slice("related", F.lit(1), F.col("n_related")), "refs": F.slice("refs", F.lit(1), F.col("n_refs"))}).drop("n_related", "n_refs")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import clamp01, lookup
-from .search import against_blocks, top_k
+from .dense import Cells
+from .search import top_k
 
 #: Fixed values of the engine's contract.
 SOURCE_WEIGHTS = {
@@ -37,21 +38,13 @@ def fuse_anchors(hits: DataFrame) -> DataFrame:
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
-
-
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``queries``: query_id, variant, weight, q (vector). A stated query set, in blocks, against all
-    vectors: query_id, variant, weight, vec_id, score, rank_position."""
-    hits = F.transform(
-        "qs",
-        lambda q: F.struct(q["query_id"].alias("query_id"), q["variant"].alias("variant"), q["weight"].alias("weight"), F.round(cosine(q["q"], F.col("embedding")), 6).alias("score")),
-    )
-    scored = against_blocks(vectors, queries.select("query_id", "variant", "weight", "q"), lambda met: met.select("vec_id", F.inline(F.filter(hits, lambda h: h["score"] > 0))))
-    return top_k(scored, k, [F.desc("score"), F.asc("vec_id")], ["query_id", "variant"])
+    """``queries``: query_id, variant, weight, q (vector), and space, if ``vectors`` (vec_id, embedding) have one: query_id, variant, weight,
+    vec_id, score, rank_position of the nearest vectors."""
+    space = F.col("space") if "space" in queries.columns else F.lit(0).cast("bigint")
+    asked = queries.select(F.struct("query_id", "variant", "weight").alias("key"), space.alias("space"), "q")
+    found = Cells(vectors).top_k(asked, k)
+    return found.select("key.query_id", "key.variant", "key.weight", "vec_id", "score", "rank_position")
 
 
 def fuse_dense(hits: DataFrame) -> DataFrame:

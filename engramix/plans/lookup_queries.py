@@ -7,11 +7,13 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..operators import completion as K
-from ..operators import graph, search
+from ..operators import graph, recall, search
 from ..operators import mutations as M
 from .authority_queries import AUTHORIZED, FACT_TABLES, authorized
 from .ranking_queries import CITED, OPEN, SEEDS, seeds
 from .registry import query
+from .retrieval_queries import SHOWN, SUPERSEDED
+from .selection_sql import insert_sql
 from .state_queries import NOW_COLUMN, TARGETS, now, targets
 from .text_queries import BM25
 
@@ -89,14 +91,17 @@ def linked_completion(m):
 
 
 @query(
-    f"""WITH s AS (SELECT persona_id AS query_id, fact_id, row_number() OVER (PARTITION BY persona_id ORDER BY importance DESC, fact_id) AS rank_position FROM facts),
-sel AS (SELECT * FROM s WHERE rank_position <= 8), o AS (SELECT DISTINCT from_id AS fact_id, to_id AS old_id FROM links WHERE {OPEN} AND link_type = 'SUPERSEDES' AND to_type = 'fact'),
-a AS (SELECT query_id, fact_id, rank_position, 0 AS late FROM sel UNION ALL SELECT query_id, old_id, rank_position, 1 FROM sel JOIN o USING (fact_id)),
-f AS (SELECT query_id, fact_id, min(rank_position * 2 + late) AS pl FROM a GROUP BY 1, 2)
-SELECT query_id, fact_id, rank_position FROM (SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY pl, fact_id) AS rank_position FROM f) WHERE rank_position <= 8""", ("facts", "links"))
+    f"""WITH RECURSIVE {SHOWN}, {SUPERSEDED}, mk AS (SELECT persona_id AS query_id, fact_id, FALSE AS historical, row_number() OVER (PARTITION BY persona_id ORDER BY importance DESC, fact_id) AS rank_position
+  FROM shown WHERE NOT past QUALIFY rank_position <= 8),
+os AS (SELECT query_id, source_id, sp.fact_id, row_number() OVER (PARTITION BY query_id ORDER BY source_id, abs(weight) DESC, link_id, sp.fact_id) AS n
+  FROM mk JOIN sp ON source_id = mk.fact_id JOIN shown f ON f.fact_id = sp.fact_id AND f.persona_id = query_id),
+{insert_sql('mk', 'os')} SELECT query_id, fact_id, rank_position FROM done""", FACT_TABLES)
 def supersedes_insertion(m):
-    top = search.top_k(m.facts.withColumnRenamed("persona_id", "query_id"), 8, [F.desc("importance"), F.asc("fact_id")], "query_id").select("query_id", "fact_id", "rank_position")
-    return K.insert_superseded(top, m.links)
+    """Each persona's eight most important facts, with the allowed facts of the persona that they replaced."""
+    shown = recall.shown_facts(m.facts, m.entities, m.links, m.episodes).select("fact_id", F.col("persona_id").alias("query_id"), "importance", "past")
+    top = search.top_k(shown.filter("NOT past"), 8, [F.desc("importance"), F.asc("fact_id")], "query_id").select("query_id", "fact_id", "rank_position", F.lit(False).alias("historical"))
+    out = top.select("query_id", F.col("fact_id").alias("source_id")).join(K.superseded(m.links), "source_id")
+    return K.insert_superseded(top, out.join(shown.select("query_id", "fact_id"), ["query_id", "fact_id"], "left_semi"))
 
 
 @query(

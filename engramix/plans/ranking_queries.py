@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import analysis, fusion, graph, metrics, scoring, search
 from .authority_queries import AUTHORIZED, FACT_TABLES, NOW, authorized
 from .registry import query
+from .selection_sql import mmr_sql
 from .text_queries import BM25
 
 SEEDS = "seeds AS (SELECT fact_id FROM facts WHERE pinned AND fact_type = 'core_identity')"
@@ -224,9 +225,9 @@ def rerank_topk(m):
     return search.top_k(rows, 30, [F.desc("score"), F.asc("fact_id")], "persona_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {SCORES}, {mmr_sql('SELECT persona_id AS query_id, * FROM sc')} SELECT query_id, fact_id, rank_position FROM picked", (*FACT_TABLES, "access_events"))
 def mmr_select(m):
-    """Greedy selection for every persona among its eighty best facts; a sequential fold has no plain SQL form."""
+    """Greedy selection for every persona among its eighty best facts."""
     best = search.top_k(scored(m), 80, [F.desc("score"), F.asc("fact_id")], "persona_id")
     cites = graph.open_links(m.links).filter("link_type = 'EVIDENCED_BY'").groupBy(F.col("from_id").alias("fact_id")).agg(F.sort_array(F.collect_set("to_id")).alias("episode_ids"))
     rows = best.join(cites, "fact_id", "left").select(

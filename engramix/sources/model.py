@@ -68,6 +68,25 @@ SELECT doc_id AS node_id, text AS search_text,
   doc_id % 18 <> 1 AS searchable, doc_id * 60 AS updated_s
 FROM {documents}""",
     "queries": "SELECT item_id AS query_id, text AS query_text FROM {benchmark}",
+    "questions": """
+SELECT b.item_id AS query_id, CAST(b.item_id % 7 AS BIGINT) AS persona_id, CAST(b.item_id + 1 AS BIGINT) AS session_id, b.item_id % 2 = 0 AS allow_historical,
+  concat(p.opening, ' ', b.text, ' what did customer ', CAST(b.item_id % 50 AS VARCHAR(20)), ' and Customer#', lpad(CAST(b.item_id + 1 AS VARCHAR(20)), 9, '0'),
+    ' and client number ', CAST(b.item_id + 3 AS VARCHAR(20)), ' note about ', n.n_name, ' urgent status O') AS query_text
+FROM {benchmark} b JOIN {nation} n ON n.n_nationkey = b.item_id % 25
+JOIN (VALUES (0, '以前 不再 开始'), (1, 'why did it change, cause of'), (2, 'source of evidence'), (3, 'never true'), (4, 'profile of'), (5, '上次 跟谁 哪里'), (6, '从 A 变成 B'),
+  (7, 'support for'), (8, 'latest status of'), (9, 'tell me'), (10, '反思 成长'), (11, 'forget this')) AS p(k, opening) ON p.k = b.item_id % 12""",
+    "narratives": """
+SELECT doc_id AS node_id, CASE doc_id % 3 WHEN 0 THEN 'insight' ELSE 'narrative' END AS node_type, doc_id % 7 AS persona_id, text AS search_text,
+  CASE doc_id % 5 WHEN 3 THEN 'archived' WHEN 4 THEN 'deep_archived' ELSE 'active' END AS lifecycle_status,
+  CASE WHEN doc_id % 16 = 0 THEN 'hidden' ELSE 'visible' END AS visibility_status, CASE WHEN doc_id % 21 = 0 THEN 'highly_sensitive' ELSE 'normal' END AS sensitivity_level,
+  doc_id % 18 <> 1 AS searchable, doc_id * 60 AS updated_s
+FROM {documents}""",
+    "narrative_links": """
+SELECT d.doc_id AS node_id, CASE d.doc_id % 3 WHEN 0 THEN 'insight' ELSE 'narrative' END AS node_type, l.l_orderkey AS fact_id, l.l_orderkey * 10 + l.l_linenumber AS link_id,
+  CASE l.l_linenumber % 3 WHEN 0 THEN 'DERIVED_FROM' WHEN 1 THEN 'SUPPORTS' ELSE 'CONTRADICTS' END AS link_type, l.l_returnflag <> 'R' AS outbound,
+  CAST(l.l_quantity AS DOUBLE) / 50 AS weight, CASE WHEN l.l_orderkey % 23 = 0 THEN 'hidden' ELSE 'visible' END AS visibility_status, l.l_orderkey % 29 <> 3 AS searchable
+FROM {lineitem} l JOIN {documents} d ON d.doc_id = l.l_suppkey * 7 + l.l_linenumber""",
+    "fact_vectors": "SELECT vec_id AS fact_id, embedding FROM {embeddings}",
     "access_events": """
 SELECT event_id, user_id AS session_id, event_id % 997 AS node_id, ts AS created_at,
   CASE event_type WHEN 'view' THEN 'retrieved' WHEN 'click' THEN 'prompt_injected' WHEN 'purchase' THEN 'reinforced' WHEN 'signup' THEN 'suppressed' ELSE 'filtered' END AS access_type,
