@@ -84,28 +84,54 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", t
     return top_k(scored, k, order, "query_id").select("query_id", "node_id", "score", "rank_position")
 
 
+def grams(text: Column, size: Column | int) -> Column:
+    """The different runs of ``size`` characters of a text. Characters are split once, so the cost is linear in the text's length."""
+    chars = F.split(text, "")
+    width = F.lit(size) if isinstance(size, int) else size
+
+    def runs(cs: Column) -> Column:
+        at = F.when(F.size(cs) >= width, F.sequence(F.lit(1), F.size(cs) - width + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(cs, i, width), ""))
+
+    # The characters are bound to a name, or they would be split again for every run.
+    return F.array_distinct(F.get(F.transform(F.array(F.filter(chars, lambda c: c != "")), runs), F.lit(0)))
+
+
+#: Characters of a gram; a shorter term is a gram of its own.
+GRAM = 3
+
+
+def holding_fields(fields: DataFrame, terms: DataFrame) -> DataFrame:
+    """field, term of the fields (``field``) that hold a term (``term``) as a substring.
+
+    Postings of grams lead from a term's rarest gram to the fields that may hold it, and the substring test proves it. Gram sizes that no
+    term needs are not made; a field's grams are as many as its characters at most.
+    """
+    size = F.least(F.length("term"), F.lit(GRAM))
+    asked = terms.select("term", size.alias("size")).distinct().withColumn("gram", F.explode(grams(F.col("term"), F.col("size"))))
+    # One row, of three numbers at most.
+    sizes = asked.agg(F.array_sort(F.collect_set("size")).alias("sizes"))
+    cut = fields.select("field").distinct().join(F.broadcast(sizes))
+    cut = cut.select("field", F.explode(F.flatten(F.transform("sizes", lambda n: grams(F.col("field"), n)))).alias("gram"))
+    postings = cut.join(asked.select("gram").distinct(), "gram", "left_semi")
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
+    met = rarest.select("term", F.col("r.gram").alias("gram")).join(postings, "gram")
+    return met.filter(F.contains("field", "term")).select("field", "term")
+
+
 def containment(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
     """Score (terms + 1) for the whole query plus 1 for each term that a document holds as a substring.
 
-    A term has no blanks, so it lies inside one field of the text. The corpus' distinct
-    fields are cut into substrings of the lengths that terms have and equi-joined
-    with the terms; fields lead back to documents. Only documents with all terms of a
+    A term has no blanks, so it lies inside one field of the text: terms meet the corpus' distinct fields
+    (``holding_fields``), and fields lead back to documents. Only documents with all terms of a
     query are searched for the whole of it.
     """
     asked = queries.select("query_id", F.lower("query_text").alias("q"), T.fields(F.col("query_text")).alias("terms")).filter(F.size("terms") > 0)
     rows = docs.select(F.col(id_col).alias("node_id"), "updated_s", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
     each = asked.select("query_id", F.explode("terms").alias("term"))
-    terms = each.select("term").distinct()
-    lengths = terms.agg(F.array_sort(F.collect_set(F.length("term"))).alias("lengths"))  # one row; as many as a term has characters at most
     fields = rows.select("node_id", F.explode(T.fields(F.col("low"))).alias("field"))
-    pieces = F.flatten(
-        F.transform(
-            F.filter("lengths", lambda n: n <= F.length("field")),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length("field") - n + 1), lambda i: F.substring(F.col("field"), i, n)),
-        )
-    )
-    cut = fields.select("field").distinct().join(F.broadcast(lengths)).select("field", F.explode(F.array_distinct(pieces)).alias("term"))
-    held = fields.join(cut.join(terms, "term", "left_semi"), "field").select("node_id", "term").distinct()
+    held = fields.join(holding_fields(fields, each), "field").select("node_id", "term").distinct()
     counted = held.join(each, "term").groupBy("query_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
     sizes = asked.select("query_id", "q", F.size("terms").cast("bigint").alias("size"))
     scored = counted.join(sizes, "query_id").select("query_id", "node_id", "n", "size", F.when(F.col("n") == F.col("size"), F.col("q")).alias("q"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
-from ..operators import analysis, search
+from ..operators import analysis, postings, search
 from ..operators.authority import visible_at
+from ..sources.scratch import scratch_path
 from .registry import query
 
 TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
@@ -27,6 +28,24 @@ def bm25_topk(m):
     return search.bm25(m.search_documents, m.queries, 20)
 
 
+CHANGED = """changed AS (SELECT node_id, CASE lifecycle_status WHEN 'dormant' THEN concat(substr(search_text, 1, 120), ' revised') ELSE search_text END AS search_text FROM search_documents WHERE visibility_status <> 'hidden'
+  UNION ALL SELECT node_id + 1000000000, search_text FROM search_documents WHERE lifecycle_status = 'consolidated')"""
+
+
+@query(
+    f"""WITH {CHANGED}, {BM25.replace('FROM search_documents)', 'FROM changed)', 1).split('bm AS')[0].rstrip().rstrip(',')}
+SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank_position FROM s QUALIFY rank_position <= 20""", ("search_documents", "queries"))
+def incremental_search(m):
+    """Ranked search over an index that got its changes as segments: texts revised, copies added, hidden documents deleted."""
+    docs = m.search_documents
+    index = postings.build(docs.select("node_id", "search_text"), scratch_path(m.spark))
+    revised = docs.filter("lifecycle_status = 'dormant'").select("node_id", F.concat(F.substring("search_text", 1, 120), F.lit(" revised")).alias("search_text"))
+    index = index.upsert(revised)
+    index = index.upsert(docs.filter("lifecycle_status = 'consolidated'").select((F.col("node_id") + 1_000_000_000).alias("node_id"), "search_text"))
+    index = index.delete(docs.filter("visibility_status = 'hidden'").select("node_id"))
+    return index.bm25(m.queries, 20)
+
+
 @query(
     f"""WITH q AS (SELECT query_id, lower(query_text) AS q, list_distinct({FIELDS.format('query_text')}) AS ts FROM queries),
 s AS (SELECT query_id, node_id, updated_s, (CASE WHEN contains(lower(search_text), q) THEN len(ts) + 1 ELSE 0 END) + len(list_filter(ts, lambda t: contains(lower(search_text), t))) AS score
