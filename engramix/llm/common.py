@@ -178,6 +178,47 @@ def prefix_sums(values: Column, block: int = 512) -> Column:
     )
 
 
+def prefix_max(values: Column, block: int = 512) -> Column:
+    """``[v0, max(v0, v1), ...]`` of an array of longs, in blocks like ``prefix_sums``."""
+
+    def running(part: Column) -> Column:
+        last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-(1 << 62)))
+        return F.aggregate(part, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.greatest(last(acc), x.cast("bigint")))))
+
+    def blocked(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        parts = F.transform(starts, lambda b: running(F.slice(v, b * block + 1, F.lit(block))))
+
+        def join(p: Column) -> Column:
+            tops = running(F.transform(p, lambda x: F.element_at(x, -1)))
+            return let(
+                tops,
+                lambda t: F.flatten(F.transform(p, lambda part, b: F.transform(part, lambda x: F.greatest(x, F.coalesce(F.when(b > 0, F.get(t, b - 1)), x))))),
+            )
+
+        return let(parts, join)
+
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<bigint>")).when(F.size(v) <= block, running(v)).otherwise(blocked(v)))
+
+
+#: Characters of a text's blocks.
+TEXT_BLOCK = 1024
+
+
+def text_blocks(text: Column) -> Column:
+    """A text in blocks of ``TEXT_BLOCK`` characters, in one pass. ``substring`` counts characters from a text's start, so
+    cutting many pieces from a text costs the square of its length; from blocks it doesn't."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from ``start`` (counted from 0) of a text in blocks; fewer where it ends."""
+    first = F.floor(start / TEXT_BLOCK).cast("int")
+    last = F.floor((start + F.greatest(length, F.lit(1)) - 1) / TEXT_BLOCK).cast("int")
+    piece = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.when(length <= 0, F.lit("")).otherwise(F.substring(piece, (start - first * TEXT_BLOCK + 1).cast("int"), length.cast("int")))
+
+
 def regex_spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as ``array<struct<s, e, m>>``: start and end
     (exclusive) in code points, and the matched string.

@@ -23,13 +23,14 @@ recursion in the regex engine, so long runs of matching characters are safe.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, regex_spans
+from .common import cut, let, materialize, prefix_max, regex_spans, text_blocks
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 WIDE_KINDS = ["email_spelled", "phone_plain", "iban", "ssn", "card_unchecked"]
@@ -111,11 +112,9 @@ def _spelled_spans(text: Column) -> Column:
     return regex_spans(text, EMAIL_SPELLED)
 
 
-def _original(text: Column, spans: Column) -> Column:
+def _original(blocks: Column, spans: Column) -> Column:
     """The spans with the text's own characters."""
-    return F.transform(
-        spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring(text, (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")).alias("m"))
-    )
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), cut(blocks, x["s"], x["e"] - x["s"]).alias("m")))
 
 
 def mod_97(iban: Column) -> Column:
@@ -127,16 +126,16 @@ def mod_97(iban: Column) -> Column:
     )
 
 
-def _votes(kind: str, text: Column, x: Column) -> Column:
-    """One character per labeler: p (for), n (against), z (abstains)."""
+def _votes(kind: str, blocks: Column, x: Column) -> Column:
+    """One character per labeler: p (for), n (against), z (abstains). ``blocks``: the text's (``text_blocks``)."""
 
     def vote(for_it: Column, against: Column) -> Column:
         return F.when(for_it, F.lit("p")).when(against, F.lit("n")).otherwise(F.lit("z"))
 
     yes, no = F.lit(True), F.lit(False)
     m = x["m"]
-    before = F.lower(F.substring(text, F.greatest(x["s"] - CUE_WIDTH, F.lit(0)).cast("int") + 1, F.least(x["s"], F.lit(CUE_WIDTH)).cast("int")))
-    after = F.substring(text, x["e"].cast("int") + 1, F.lit(1))
+    before = F.lower(cut(blocks, F.greatest(x["s"] - CUE_WIDTH, F.lit(0)), F.least(x["s"], F.lit(CUE_WIDTH))))
+    after = cut(blocks, x["e"], F.lit(1))
     digits = digits_of(m)
     if kind == "email":
         form = vote(m.rlike(r"^[A-Za-z0-9](?:.*[A-Za-z0-9])?@.*\.[A-Za-z]{2,}$"), m.rlike(r"\.\.|^[.%+-]|\.[0-9]+$"))
@@ -170,32 +169,46 @@ def _votes(kind: str, text: Column, x: Column) -> Column:
     return F.concat(form, checksum, gazetteer, edges, identifier)
 
 
+def raw_spans(text: Column) -> dict[str, Column]:
+    """What the patterns find, by kind: arrays of (s, e, m). ``email_spelled`` spans hold the changed text."""
+    guarded = lambda guard, pattern: F.when(text.rlike(guard), regex_spans(text, pattern))
+    runs = F.when(text.rlike("[0-9]"), _digit_runs(text))
+    return {
+        "email": _email_spans(text),
+        "ip": F.when(text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), _ip_spans(text)),
+        "card": runs,
+        "phone": F.when(text.rlike("[0-9]"), _phone_spans(text)),
+        "phone_plain": guarded(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", PHONE_PLAIN),
+        "iban": guarded("[A-Z]{2}[0-9]{2}", IBAN),
+        "ssn": guarded("[0-9]{3}-[0-9]{2}-[0-9]{4}", SSN),
+        "email_spelled": F.when(text.rlike(r"(?i)[\[(](?:at|@)[\])]"), _spelled_spans(text)),
+    }
+
+
 def candidate_spans(text: Column) -> Column:
-    """All candidates of a text as ``array<struct<kind, s, e, votes>>``, by kind, then start."""
-    empty = F.array().cast(SPAN_TYPE)
+    """All candidates of a text as ``array<struct<kind, s, e, votes>>``, by kind, then start.
 
-    def tagged(kind: str, spans: Column) -> Column:
-        rows = F.transform(
-            spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _votes(kind, text, x).alias("votes"))
-        )
-        return F.coalesce(rows, empty)
+    Texts are cut into blocks only where a pattern found something, and contexts come from the blocks, so the
+    cost is linear in a text's length and number of spans.
+    """
+    none = F.array().cast("array<struct<s:bigint,e:bigint,m:string>>")
+    found = F.struct(*[F.coalesce(spans, none).alias(kind) for kind, spans in raw_spans(text).items()])
 
-    runs = lambda passing: F.filter(_digit_runs(text), lambda x: luhn(digits_of(x["m"])) == passing)
-    guarded = lambda guard, pattern: F.when(text.rlike(guard), regex_spans(text, pattern))
-    with_digits = F.concat(
-        tagged("ip", F.when(text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), _ip_spans(text))),
-        tagged("card", runs(True)),
-        tagged("phone", _phone_spans(text)),
-        tagged("phone_plain", guarded(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", PHONE_PLAIN)),
-        tagged("iban", guarded("[A-Z]{2}[0-9]{2}", IBAN)),
-        tagged("ssn", guarded("[0-9]{3}-[0-9]{2}-[0-9]{4}", SSN)),
-        tagged("card_unchecked", runs(False)),
-    )
-    return F.concat(
-        tagged("email", _email_spans(text)),
-        F.when(text.rlike("[0-9]"), with_digits).otherwise(empty),
-        tagged("email_spelled", F.when(text.rlike(r"(?i)[\[(](?:at|@)[\])]"), _original(text, _spelled_spans(text)))),
-    )
+    def tagged(kind: str, spans: Column, blocks: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), _votes(kind, blocks, x).alias("votes")))
+
+    def voted(raw: Column, blocks: Column) -> Column:
+        runs = lambda passing: F.filter(raw["card"], lambda x: luhn(digits_of(x["m"])) == passing)
+        plain = [tagged(kind, raw[kind], blocks) for kind in ("email", "ip")]
+        later = [tagged(kind, raw[kind], blocks) for kind in ("phone", "phone_plain", "iban", "ssn")]
+        spelled = tagged("email_spelled", _original(blocks, raw["email_spelled"]), blocks)
+        return F.concat(*plain, tagged("card", runs(True), blocks), *later, tagged("card_unchecked", runs(False), blocks), spelled)
+
+    def with_blocks(raw: Column) -> Column:
+        some = [F.size(raw[kind]) > 0 for kind in ("email", "ip", "card", "phone", "phone_plain", "iban", "ssn", "email_spelled")]
+        return F.when(functools.reduce(lambda a, b: a | b, some), let(text_blocks(text), lambda b: voted(raw, b))).otherwise(F.array().cast(SPAN_TYPE))
+
+    return let(found, with_blocks)
 
 
 def count_votes(candidates: DataFrame) -> list[tuple[str, str, int]]:
@@ -208,8 +221,8 @@ def fit_reliabilities(counts: list[tuple[str, str, int]]) -> dict[tuple[str, str
     """Posterior of "true span" for each (kind, votes), by expectation-maximisation.
 
     Latent class per candidate; labelers vote independently given the class. The
-    start trusts majority votes; reliabilities carry pseudo-counts that expect a labeler to be right,
-    so that none becomes certain and few data stay near the start. Every kind starts with the same prior.
+    start trusts majority votes, those of base kinds more than those of the wider ones; reliabilities carry pseudo-counts that
+    expect a labeler to be right, so that none becomes certain and few data stay near the start. In the rounds, every kind's prior has the same pseudo-counts.
     """
     signs = {"p": 1, "n": -1, "z": 0}
     post = {(k, v): 1 / (1 + math.exp(-sum(signs[c] for c in v) - (1.5 if k in BASE_KINDS else -0.5))) for k, v, _ in counts}
@@ -280,16 +293,21 @@ def chosen_spans(candidates: Column, weights: list[float]) -> Column:
         ),
     )
     order = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(i)) for i, k in enumerate(KINDS)))
+    far = 1 << 60
 
     def kept(spans: Column) -> Column:
-        return let(
-            F.filter(spans, lambda c: c["base"]),
-            lambda base: F.filter(
-                spans, lambda c: c["base"] | ((c["score"] >= THRESHOLD) & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-            ),
-        )
+        """By start: a base span before reaches over the start if the largest end so far does; one behind starts before the end if the next base start does."""
+        reach = prefix_max(F.transform(spans, lambda x: F.when(x["c"]["base"], x["c"]["e"]).otherwise(F.lit(-far))))
+        ahead = F.reverse(prefix_max(F.reverse(F.transform(spans, lambda x: F.when(x["c"]["base"], -x["c"]["s"]).otherwise(F.lit(-far))))))
+
+        def free(edges: Column) -> Column:
+            clear = lambda x, i: (F.get(edges["reach"], i) <= x["c"]["s"]) & (-F.get(edges["ahead"], i) >= x["c"]["e"])
+            return F.filter(spans, lambda x, i: x["c"]["base"] | ((x["c"]["score"] >= THRESHOLD) & clear(x, i)))
 
-    ranked = F.transform(let(scored, kept), lambda c: F.struct(order[c["kind"]].alias("k"), c["s"].alias("s"), c["e"].alias("e"), c.alias("c")))
+        return let(F.struct(reach.alias("reach"), ahead.alias("ahead")), free)
+
+    by_start = F.sort_array(F.transform(scored, lambda c: F.struct(c["s"].alias("s"), c.alias("c"))))
+    ranked = F.transform(let(by_start, kept), lambda x: F.struct(order[x["c"]["kind"]].alias("k"), x["c"]["s"].alias("s"), x["c"]["e"].alias("e"), x["c"].alias("c")))
     return F.transform(F.sort_array(ranked), lambda o: o["c"])
 
 
@@ -328,15 +346,16 @@ def redact(text: Column, spans: Column, mark: str = "[{}]") -> Column:
     and the rest of the others is cut as well."""
     ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     before, after = mark.split("{}")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["s"] < acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(x["s"] - acc["at"], F.lit(0)).cast("int"))
-        label = F.concat(F.lit(before), F.upper(x["kind"]), F.lit(after))
-        return F.struct(
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, label)).alias("out"),
-            F.greatest(acc["at"], x["e"]).alias("at"),
+
+    def joined(x: Column) -> Column:
+        """The text's gaps and the labels, each on its own: what lies before a span is known from the largest end so far."""
+        until = lambda i: F.coalesce(F.when(i > 0, F.get(x["ends"], i - 1)), F.lit(0).cast("bigint"))
+        label = lambda kind: F.concat(F.lit(before), F.upper(kind), F.lit(after))
+        pieces = F.transform(
+            x["spans"], lambda o, i: F.when(o["s"] < until(i), F.lit("")).otherwise(F.concat(cut(x["blocks"], until(i), o["s"] - until(i)), label(o["kind"])))
         )
+        end = F.coalesce(F.try_element_at(x["ends"], F.lit(-1)), F.lit(0).cast("bigint"))
+        return F.concat(F.array_join(pieces, ""), cut(x["blocks"], end, F.length(text) - end))
 
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    ends = lambda o: prefix_max(F.transform(o, lambda y: y["e"]))
+    return let(ordered, lambda o: let(F.struct(o.alias("spans"), ends(o).alias("ends"), text_blocks(text).alias("blocks")), joined))

@@ -4,11 +4,12 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from engramix.llm import decontaminate, pii, quality_rules, queries, secrets, url_filter
+from engramix.llm import common, decontaminate, pii, quality_rules, queries, secrets, url_filter
 
 SMALL = "/root/testdata/sf0.001"
 NASTY = [
@@ -268,3 +269,30 @@ def test_scratch_tables_can_be_cleared(spark):
     path = common._SCRATCH[-1]
     assert common.clear_scratch(spark) > 0 and not common._SCRATCH
     assert not Path(path.removeprefix("file://")).exists()
+
+
+def test_pii_is_linear_in_a_text(spark):
+    """Spans with contexts, wide spans between base spans, and their redaction: a text twice as long takes about twice as long."""
+    import time
+
+    unit = "mail a@b.co, 123-45-6789 and 10.0.0.1 or 4111111111111111; "
+    took = {}
+    for n in (50, 1_500, 3_000):
+        docs = frame(spark, [unit * n])
+        began = time.time()
+        spans = pii.find_pii(docs).collect()[0].spans
+        redacted = pii.redact_pii(docs).collect()[0].text
+        took[n] = time.time() - began
+        assert [(x.s, x.e) for x in spans if x.kind == "email"] == [(i * len(unit) + 5, i * len(unit) + 11) for i in range(n)]
+        assert redacted.count("[EMAIL]") == n and "a@b.co" not in redacted and redacted.endswith("; ")
+    assert took[3_000] < 3 * took[1_500] + 5
+
+
+def test_cutting_and_running_maxima(spark):
+    texts = ["", "a", "é😀x" * 1000, "y" * 1024, "z" * 5000]
+    rows = spark.createDataFrame([(t, s, n) for t in texts for s in (0, 1, 1023, 1024, 2047, 4999, 9000) for n in (0, 1, 40, 1500)], "t string, s long, n long")
+    for r in rows.withColumn("got", common.cut(common.text_blocks(F.col("t")), F.col("s"), F.col("n"))).collect():
+        assert r.got == r.t[r.s : r.s + r.n]
+    values = [[], [3], [1, 5, 2, 7, 0], list(range(1500, 0, -1)) + [9999, 5]]
+    for r in spark.createDataFrame([(v,) for v in values], "v array<long>").withColumn("got", common.prefix_max(F.col("v"))).collect():
+        assert r.got == [max(r.v[: i + 1]) for i in range(len(r.v))]
