@@ -68,6 +68,32 @@ def activate(seeds: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
     return top_k(total, MOST_NODES, [F.desc("energy"), F.asc("node")], "query_id")
 
 
+def activation_chains(seeds: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
+    """query_id, node, hop, nodes, link_types: how energy first reaches each node, the whole chain from a seed.
+
+    ``seeds`` as in ``activate``. A node's chain is that of its first hop with the largest share (then the smaller source, then the link type), appended to its
+    source's own chain. Only the best arrival of each node is kept before chains are joined, so chains are as many as reached nodes.
+    """
+    shares = (
+        adjacency(links).withColumn("w", edge_weight()).filter("w > 0").join(degrees(links).withColumnRenamed("node", "target"), "target")
+        .select("source", "target", "link_type", (DECAY * F.col("w") / F.pow(F.greatest(F.col("degree"), F.lit(1)).cast("double"), F.lit(HUB_POWER))).alias("share"))
+    )
+    start = seeds.filter("energy > 0").groupBy("query_id", "node").agg(F.max("energy").alias("energy"))
+    frontier = start.select("query_id", F.col("node").alias("source"), F.col("energy").alias("e"))
+    none = F.array().cast("array<string>")
+    known = start.select("query_id", "node", F.lit(0).alias("hop"), F.array("node").alias("nodes"), none.alias("link_types"))
+    for hop in range(1, hops + 1):
+        moved = frontier.join(shares, "source").select("query_id", "source", F.col("target").alias("node"), "link_type", (F.col("e") * F.col("share")).alias("energy")).filter(F.col("energy") >= LEAST_ENERGY)
+        fresh = moved.join(known.select("query_id", "node"), ["query_id", "node"], "left_anti")
+        best = fresh.groupBy("query_id", "node").agg(F.min(F.struct((-F.round("energy", 9)).alias("e"), "source", "link_type")).alias("b"))
+        chain = known.select("query_id", F.col("node").alias("source"), "nodes", "link_types")
+        new = best.select("query_id", "node", "b.source", "b.link_type").join(chain, ["query_id", "source"])
+        new = new.select("query_id", "node", F.lit(hop).alias("hop"), F.concat("nodes", F.array("node")).alias("nodes"), F.concat("link_types", F.array("link_type")).alias("link_types"))
+        known = known.unionByName(new)
+        frontier = moved.groupBy("query_id", F.col("node").alias("source")).agg(F.max("energy").alias("e"))
+    return known
+
+
 def _first_facts(rows: DataFrame, keys: list[str], most: int | None) -> DataFrame:
     """The ``most`` + 1 smallest fact ids of each key. A seed is one of them at most, so ``most`` partners stay; Spark
     cuts them in every task before the shuffle, and a hot key meets its seeds with so many rows only."""
