@@ -148,9 +148,11 @@ def test_spend_weights(spark):
 def test_supersedes_insertion_keeps_the_length(spark):
     from engramix.operators import completion as K
 
-    links = spark.createDataFrame([(1, "SUPERSEDES", "fact", 9, "visible", True)], "from_id long, link_type string, to_type string, to_id long, visibility_status string, searchable boolean")
-    chosen = spark.createDataFrame([(1, i, i) for i in (1, 2, 3)], "query_id long, fact_id long, rank_position int")
-    assert [r.fact_id for r in K.insert_superseded(chosen, links, 3).orderBy("rank_position").collect()] == [1, 9, 2]
+    links = spark.createDataFrame([(1, "SUPERSEDES", "fact", 9, "visible", True, 1.0, 5), (2, "SUPERSEDES", "fact", 8, "hidden", True, 1.0, 6)],
+                                  "from_id long, link_type string, to_type string, to_id long, visibility_status string, searchable boolean, weight double, link_id long")
+    chosen = spark.createDataFrame([(1, i, i, False) for i in (1, 2, 3)], "query_id long, fact_id long, rank_position int, historical boolean")
+    targets = chosen.select("query_id", F.col("fact_id").alias("source_id")).join(K.superseded(links), "source_id")
+    assert [r.fact_id for r in K.insert_superseded(chosen, targets, 3).orderBy("rank_position").collect()] == [1, 9, 2]
 
 
 def plain_mmr(rows, k, budget):
