@@ -240,9 +240,9 @@ def compress(facts: DataFrame, least: int = 2) -> DataFrame:
 
 
 def expire_leases(queue: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
-    """Rows in work for longer than the lease go back to pending."""
+    """Rows in work for longer than the lease fail with one more attempt; failed rows may be claimed again."""
     stale = (F.col("status") == "processing") & (F.col("created_at") < now - F.expr(f"INTERVAL '{minutes}' MINUTE"))
-    return queue.withColumns({"attempts": F.when(stale, F.col("attempts") + 1).otherwise(F.col("attempts")), "status": F.when(stale, "pending").otherwise(F.col("status"))})
+    return queue.withColumns({"attempts": F.when(stale, F.col("attempts") + 1).otherwise(F.col("attempts")), "status": F.when(stale, "failed").otherwise(F.col("status"))})
 
 
 def claim(queue: DataFrame, limit: int) -> DataFrame:
@@ -250,6 +250,25 @@ def claim(queue: DataFrame, limit: int) -> DataFrame:
     return queue.filter(F.col("status").isin("pending", "failed")).orderBy("priority", "created_at", "queue_id").limit(limit)
 
 
+def claimed(queue: DataFrame, limit: int, now: Column) -> DataFrame:
+    """The queue after a claim: leases that ended have failed, the next ``limit`` open rows are in work since ``now``."""
+    ready = expire_leases(queue, now)
+    taken = claim(ready, limit).select("queue_id", F.lit(True).alias("taken"))
+    return ready.join(taken, "queue_id", "left").withColumns(
+        {"status": F.when(F.col("taken"), "processing").otherwise(F.col("status")), "leased_at": F.when(F.col("taken"), now)}
+    ).drop("taken")
+
+
+def superseded_by_rebuild(queue: DataFrame, now: Column) -> DataFrame:
+    """The queue before its personas are rebuilt: leases that ended have failed, and the open rows of personas without rows in work are done, as a
+    rebuild covers them. ``rebuild`` tells refused (rows in work), superseded, or kept."""
+    ready = expire_leases(queue, now)
+    busy = ready.filter("status = 'processing'").select("persona_id", F.lit(True).alias("busy")).distinct()
+    open_ = F.col("status").isin("pending", "failed")
+    rows = ready.join(busy, "persona_id", "left").withColumn("rebuild", F.when(F.col("busy"), "refused").when(open_, "superseded").otherwise("kept"))
+    return rows.withColumn("status", F.when(F.col("rebuild") == "superseded", "done").otherwise(F.col("status"))).drop("busy")
+
+
 def chain(episodes: DataFrame) -> DataFrame:
     """Each episode with its neighbours in the session."""
     order = W.partitionBy("session_id").orderBy("at_s", "episode_id")

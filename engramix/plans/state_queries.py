@@ -199,12 +199,34 @@ def queue_claim_topk(m):
 
 
 @query(
-    """SELECT queue_id, CASE WHEN status = 'processing' AND created_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL '15' MINUTE THEN 'pending' ELSE status END AS status,
+    """SELECT queue_id, CASE WHEN status = 'processing' AND created_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL '15' MINUTE THEN 'failed' ELSE status END AS status,
   CASE WHEN status = 'processing' AND created_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL '15' MINUTE THEN attempts + 1 ELSE attempts END AS attempts FROM queue""", ("queue",))
 def queue_lease_expiry(m):
     return M.expire_leases(m.queue, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("queue_id", "status", "attempts")
 
 
+LEASED = """lq AS (SELECT * REPLACE (CASE WHEN status = 'processing' AND created_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL '15' MINUTE THEN attempts + 1 ELSE attempts END AS attempts,
+  CASE WHEN status = 'processing' AND created_at < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL '15' MINUTE THEN 'failed' ELSE status END AS status) FROM queue)"""
+
+
+@query(
+    f"""WITH {LEASED}, o AS (SELECT queue_id, row_number() OVER (ORDER BY priority, created_at, queue_id) AS r FROM lq WHERE status IN ('pending', 'failed'))
+SELECT lq.queue_id, CASE WHEN r <= 100 THEN 'processing' ELSE status END AS status, attempts, r IS NOT NULL AND r <= 100 AS leased FROM lq LEFT JOIN o USING (queue_id)""", ("queue",))
+def queue_claim_lease(m):
+    """The queue after a worker took a hundred rows."""
+    rows = M.claimed(m.queue, 100, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    return rows.select("queue_id", "status", "attempts", F.col("leased_at").isNotNull().alias("leased"))
+
+
+@query(
+    f"""WITH {LEASED}, j AS (SELECT *, CASE WHEN persona_id IN (SELECT persona_id FROM lq WHERE status = 'processing') THEN 'refused' WHEN status IN ('pending', 'failed') THEN 'superseded' ELSE 'kept' END AS rebuild FROM lq)
+SELECT persona_id, rebuild, CASE WHEN rebuild = 'superseded' THEN 'done' ELSE status END AS status, count(*) AS n FROM j GROUP BY 1, 2, 3""", ("queue",))
+def queue_rebuild(m):
+    """What a rebuild of every persona does to the rows that wait."""
+    rows = M.superseded_by_rebuild(m.queue, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    return rows.groupBy("persona_id", "rebuild", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT persona_id, operation, count(*) FILTER (WHERE status = 'done') AS n_done, count(*) FILTER (WHERE status = 'failed') AS n_failed, count(*) AS n FROM queue GROUP BY 1, 2", ("queue",))
 def queue_summary(m):
     s = F.col("status")
