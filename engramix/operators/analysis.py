@@ -247,12 +247,12 @@ def semantic_need(fit: Column, readiness: Column, complexity: Column, ambiguity:
 
 def route(need: Column, fit: Column, readiness: Column, complexity: Column, safety: Column) -> Column:
     """Where a question goes: rules alone, or one of three depths of semantic analysis."""
-    wanted = (need >= 0.58) | (fit < 0.66) | ((readiness < 0.45) & (complexity >= 0.50))
+    wanted = (need >= LEAST_NEED) | (fit < LEAST_FIT) | ((readiness < LEAST_READINESS) & (complexity >= LEAST_COMPLEXITY))
     return (
-        F.when(safety >= 0.80, "rule")
+        F.when(safety >= HIGH_RISK, "rule")
         .when(~wanted, "rule")
-        .when(complexity >= 0.80, "semantic_decompose")
-        .when(complexity >= 0.72, "semantic_full")
+        .when(complexity >= DECOMPOSE_COMPLEXITY, "semantic_decompose")
+        .when(complexity >= FULL_COMPLEXITY, "semantic_full")
         .otherwise("semantic_light")
     )
 

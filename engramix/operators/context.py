@@ -73,6 +73,8 @@ def premise_expansions(query: Column) -> Column:
 CONTRADICTING = ["不能吃辣", "不太能吃辣", "辛辣耐受度低", "不能暴露", "不能把", "禁止", "不要", "不得", "不允许", "不是所有", "反例", "例外"]
 GOOD_WORK = ["side project", "开始做", "充实", "积极", "正面", "进展", "推进"]
 OUTCOMES = ["feels_with_agent", "relational_state", "companionship", "less lonely", "不孤独", "没那么孤独", "陪伴"]
+#: Words of questions that ask for the good sides of hard work.
+STRAIN, GOOD_SIDES = ["焦虑", "负面", "消极"], ["积极", "正面", "变化"]
 PREMISE_BONUS, GOOD_WORK_BONUS, OUTCOME_BONUS = 0.20, 0.25, 0.22
 #: Expansions that too many facts hold to contradict anything.
 WEAK_EXPANSIONS = [*POSITIVE_MARKERS, "下厨"]
@@ -85,7 +87,7 @@ def text_bonus(ability: Column, need: Column, low_question: Column, low_fact: Co
     good sides of hard work; questions about a relationship's course favour outcomes.
     ``restates``: the fact repeats the premise, and so contradicts it by a ban only.
     """
-    hard_work = F.contains(low_question, F.lit("工作")) & contains_any(low_question, ["焦虑", "负面", "消极"]) & contains_any(low_question, ["积极", "正面", "变化"])
+    hard_work = F.contains(low_question, F.lit("工作")) & contains_any(low_question, STRAIN) & contains_any(low_question, GOOD_SIDES)
     good_work = hard_work & contains_any(low_fact, GOOD_WORK)
     expanded = F.exists(premise_expansions(low_question), lambda e: ~e.isin(WEAK_EXPANSIONS) & F.contains(low_fact, e))
     contradicts = by_counterexample_search | contains_any(low_fact, CONTRADICTING) | (~restates & (expanded | good_work))
@@ -124,6 +126,10 @@ def raw_floor(candidates: DataFrame, n: int = 4, exact: int = 2) -> DataFrame:
     return dense.unionByName(fill).unionByName(sharp).select("query_id", "fact_id").distinct()
 
 
+#: Generated texts that say nothing.
+GENERIC = ["memory", "memories", "remembered context", "context", "semantic memory", "relationship expansion", "记忆", "相关记忆", "上下文"]
+
+
 def dense_plan(generated: DataFrame, rewrites: int = 3, anchors: int = 2) -> DataFrame:
     """``generated``: query_id, kind (rewrite or anchor), place, text, weight, purpose, raw_text, forgets. The
     fate of each text: accepted, or why it is dropped, in the order of the rules.
@@ -132,11 +138,10 @@ def dense_plan(generated: DataFrame, rewrites: int = 3, anchors: int = 2) -> Dat
     pass all other rules gives the caps.
     """
     text, raw = T.normalize(F.col("text")), T.normalize(F.col("raw_text"))
-    generic = ["memory", "memories", "remembered context", "context", "semantic memory", "relationship expansion", "记忆", "相关记忆", "上下文"]
     similar = (text == raw) | (T.jaccard(T.word_tokens(text), T.word_tokens(raw)) >= 0.85)
     rewrite = F.col("kind") == "rewrite"
     forgets = F.col("forgets") & (~rewrite | (F.col("purpose") != "operation_target"))
-    reason = F.when(F.coalesce(text, F.lit("")) == "", "empty").when(similar, "similar").when(forgets, "forget_delete").when(text.isin(generic), "generic")
+    reason = F.when(F.coalesce(text, F.lit("")) == "", "empty").when(similar, "similar").when(forgets, "forget_delete").when(text.isin(GENERIC), "generic")
     order = [F.when(rewrite, 0).otherwise(1), "place"]
     rows = generated.withColumns({"normalized": text, "reason": reason})
     first = F.row_number().over(W.partitionBy("query_id", "normalized", F.col("reason").isNull()).orderBy(*order))

@@ -90,19 +90,22 @@ def search_document_authority(m):
     return m.search_documents.select("node_id", allowed.alias("allowed"), S.search_tier(F.col("lifecycle_status")).alias("tier"))
 
 
+#: The link types that the mirror holds.
+MIRROR_LINKS = ["ABOUT_ENTITY", "CAUSED_BY", "CONTRIBUTED_TO", "EXPLAINS", "SUPPORTS", "CONTRADICTS", "INHIBITS", "SUPERSEDES", "DERIVED_FROM", "CO_OCCURS_WITH"]
+
+
 @query(
-    """WITH n AS (SELECT fact_id AS id FROM facts WHERE visibility_status = 'visible' AND searchable),
+    f"""WITH n AS (SELECT fact_id AS id FROM facts WHERE visibility_status = 'visible' AND searchable),
 e AS (SELECT entity_id AS id FROM entities WHERE visibility_status = 'visible' AND searchable)
 SELECT link_id, link_type FROM links l WHERE visibility_status = 'visible' AND searchable
-  AND link_type IN ('ABOUT_ENTITY', 'CAUSED_BY', 'CONTRIBUTED_TO', 'EXPLAINS', 'SUPPORTS', 'CONTRADICTS', 'INHIBITS', 'SUPERSEDES', 'DERIVED_FROM', 'CO_OCCURS_WITH')
+  AND link_type IN ({', '.join(repr(k) for k in MIRROR_LINKS)})
   AND from_id IN (SELECT id FROM n) AND ((to_type = 'fact' AND to_id IN (SELECT id FROM n)) OR (to_type = 'entity' AND to_id IN (SELECT id FROM e)))""",
     ("facts", "entities", "links"))
 def mirror_edges(m):
-    kinds = ["ABOUT_ENTITY", "CAUSED_BY", "CONTRIBUTED_TO", "EXPLAINS", "SUPPORTS", "CONTRADICTS", "INHIBITS", "SUPERSEDES", "DERIVED_FROM", "CO_OCCURS_WITH"]
     seen = "visibility_status = 'visible' AND searchable"
     facts = m.facts.filter(seen).select(F.lit("fact").alias("to_type"), F.col("fact_id").alias("to_id"))
     nodes = facts.unionByName(m.entities.filter(seen).select(F.lit("entity").alias("to_type"), F.col("entity_id").alias("to_id")))
-    edges = m.links.filter(seen).filter(F.col("link_type").isin(kinds))
+    edges = m.links.filter(seen).filter(F.col("link_type").isin(MIRROR_LINKS))
     return edges.join(nodes, ["to_type", "to_id"], "left_semi").join(facts.select(F.col("to_id").alias("from_id")), "from_id", "left_semi").select("link_id", "link_type")
 
 
