@@ -145,14 +145,11 @@ def context_vectors(docs: DataFrame, text_col: str = "text", vocabulary: Sequenc
     schema = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A batch's texts are one run of places, kept apart by places that have no vector.
-        index = np.vstack([index_vectors(), np.zeros((1, DIMENSIONS), np.float32)])
-        tokens, total = Tokenizer(vocabulary), np.zeros((TOKENS + 1, DIMENSIONS), np.float64)
-        apart = np.full(REACH, TOKENS, np.int32)
+        index, tokens, total = index_vectors(), Tokenizer(vocabulary), np.zeros((TOKENS, DIMENSIONS), np.float64)
         for batch in batches:
-            runs = [run for x in batch.column(0) if x.is_valid for run in (tokens.places(x.as_py()), apart)]
-            if runs:
-                add_contexts(total, np.concatenate(runs), index)
+            for x in batch.column(0):
+                if x.is_valid:
+                    add_contexts(total, tokens.places(x.as_py()), index)
         parts = range(0, TOKENS, SLICE)
         yield pa.RecordBatch.from_pydict({"part": [p // SLICE for p in parts], "sums": [total[p : p + SLICE].tobytes() for p in parts]}, schema=schema)
         del tokens, total
