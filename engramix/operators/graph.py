@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,13 +102,41 @@ def _first_facts(rows: DataFrame, keys: list[str], most: int | None) -> DataFram
     return rows if most is None else top_k(rows, most + 1, [F.asc("fact_id")], keys, "__place").drop("__place")
 
 
+#: The facts of one key are dealt to so many tasks.
+DEALT = 16
+
+
+def _dealt_join(mine: DataFrame, placed: DataFrame, on: list[str], keep: Column) -> DataFrame:
+    """Inner join of seeds' rows and facts' rows; a key's facts are dealt to ``DEALT`` parts, and the key's seeds go to each of them."""
+    parts = mine.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    dealt = placed.withColumn("__part", F.pmod(F.xxhash64("fact_id"), F.lit(DEALT)).cast("int"))
+    # ``keep`` is a part of the join's condition, so pairs that it rejects are never made into rows.
+    both = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "__part"]]
+    return parts.alias("l").join(dealt.alias("r"), reduce(Column.__and__, [*both, keep, F.col("seed_id") != F.col("fact_id")]))
+
+
+def _sharing(held: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seed_id, fact_id of facts (``held``: fact_id, key) that share a key with a seed, each pair once.
+
+    A pair is made at the smallest key that both hold, so pairs need no shuffle, whose size would grow with the square of a key's facts.
+    """
+    listed = held.groupBy("fact_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    placed = listed.select("fact_id", "keys", F.posexplode("keys").alias("at", "key")).select("fact_id", "key", F.slice("keys", F.lit(1), F.col("at")).alias("before"))
+    mine = placed.join(seeds.select("fact_id").distinct(), "fact_id", "left_semi").select(F.col("fact_id").alias("seed_id"), "key", F.col("before").alias("seed_before"))
+    first = (F.size("before") == 0) | (F.size("seed_before") == 0) | ~F.arrays_overlap("before", "seed_before")
+    return _dealt_join(mine, placed, ["key"], first).select("seed_id", "fact_id")
+
+
 def shared_evidence(links: DataFrame, episodes: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """seed_id, fact_id of facts that cite a visible episode which a seed cites too; ``seeds``: fact_id.
 
     With ``most``, each seed keeps at least its ``most`` smallest partners, if it has so many; further ones may be left out.
     """
     cited = open_links(links).filter("link_type = 'EVIDENCED_BY'").select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("episode_id"))
-    cited = cited.join(episodes.filter("visibility_status = 'visible' AND searchable").select("episode_id"), "episode_id", "left_semi").distinct()
+    cited = cited.join(episodes.filter("visibility_status = 'visible' AND searchable").select("episode_id"), "episode_id", "left_semi")
+    if most is None:
+        return _sharing(cited.select("fact_id", F.col("episode_id").alias("key")), seeds)
+    cited = cited.distinct()
     mine = cited.join(seeds.select("fact_id"), "fact_id", "left_semi").select(F.col("fact_id").alias("seed_id"), "episode_id")
     return mine.join(_first_facts(cited, ["episode_id"], most), "episode_id").filter("seed_id <> fact_id").select("seed_id", "fact_id").distinct()
 
@@ -132,7 +162,10 @@ def shared_entities(links: DataFrame, entities: DataFrame, seeds: DataFrame, mos
     """seed_id, fact_id of facts about an eligible entity that a seed is about too; ``most`` as in ``shared_evidence``."""
     about = open_links(links).filter("link_type = 'ABOUT_ENTITY'").select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("entity_id"))
     ok = entities.filter("visibility_status = 'visible' AND searchable AND sensitivity_level = 'normal'").select("entity_id")
-    about = about.join(ok, "entity_id", "left_semi").distinct()
+    about = about.join(ok, "entity_id", "left_semi")
+    if most is None:
+        return _sharing(about.select("fact_id", F.col("entity_id").alias("key")), seeds)
+    about = about.distinct()
     mine = about.join(seeds.select("fact_id"), "fact_id", "left_semi").select(F.col("fact_id").alias("seed_id"), "entity_id")
     return mine.join(_first_facts(about, ["entity_id"], most), "entity_id").filter("seed_id <> fact_id").select("seed_id", "fact_id").distinct()
 
