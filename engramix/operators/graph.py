@@ -141,6 +141,36 @@ def shared_evidence(links: DataFrame, episodes: DataFrame, seeds: DataFrame, mos
     return mine.join(_first_facts(cited, ["episode_id"], most), "episode_id").filter("seed_id <> fact_id").select("seed_id", "fact_id").distinct()
 
 
+def _within(placed: DataFrame, seeds: DataFrame, seconds: int) -> DataFrame:
+    """seed_id, fact_id of facts (``placed``: fact_id, session_id, at_s) with a moment within ``seconds`` of a seed's in the same session, each pair once.
+
+    A pair is made in the first bucket (of a session) in which a moment of the fact is near one of the seed's, as in ``_sharing``. Where all moments of
+    a seed around a bucket lie inside it, they are near all others there, and a pair needs no look at its moments unless both have an earlier session too.
+    """
+    spot = lambda m: F.struct(m["session_id"].alias("session_id"), F.floor(m["at_s"] / seconds).alias("bucket"))
+    listed = placed.groupBy("fact_id").agg(F.array_sort(F.collect_set(F.struct("session_id", "at_s"))).alias("moments"))
+    spots = listed.select("fact_id", "moments", F.explode(F.array_distinct(F.transform("moments", spot))).alias("s"))
+    here = F.transform(F.filter("moments", lambda m: spot(m) == F.col("s")), lambda m: m["at_s"])
+    facts = spots.select("fact_id", "s.session_id", "s.bucket", here.alias("here"), F.filter("moments", lambda m: spot(m) < F.col("s")).alias("before"))
+    facts = facts.withColumn("before_in", F.array_distinct(F.col("before.session_id")))
+    mine = listed.join(seeds.select("fact_id").distinct(), "fact_id", "left_semi").withColumnRenamed("fact_id", "seed_id").withColumn("seed_in", F.array_distinct("moments.session_id"))
+    around = F.flatten(F.transform("moments", lambda m: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.struct(m["session_id"].alias("session_id"), (F.floor(m["at_s"] / seconds) + d).alias("bucket")))))
+    mine = mine.withColumn("s", F.explode(F.array_distinct(around))).select("seed_id", "moments", "seed_in", "s.session_id", "s.bucket")
+    inside = lambda m: F.floor(m["at_s"] / seconds) - F.col("bucket")
+    there = F.filter("moments", lambda m: (m["session_id"] == F.col("session_id")) & (F.abs(inside(m)) <= 1))
+    mine = mine.withColumn("there", there).withColumn("plain", F.forall("there", lambda m: inside(m) == 0))
+    keys, plain = ["session_id", "bucket"], mine.filter("plain")
+    earlier = F.exists("before", lambda b: F.exists("moments", lambda y: (y["session_id"] == b["session_id"]) & (F.abs(y["at_s"] - b["at_s"]) <= seconds)))
+    first = (F.size("before_in") == 0) | ~F.arrays_overlap("before_in", "seed_in")
+    once = _dealt_join(plain.select("seed_id", "seed_in", *keys), facts.select("fact_id", "before_in", *keys), keys, first)
+    # Plain seeds and facts that also share an earlier session, led together by the first such session.
+    again = plain.withColumn("other", F.explode("seed_in")), facts.withColumn("other", F.explode("before_in"))
+    again = _dealt_join(*again, [*keys, "other"], F.lit(True)).filter((F.col("l.other") == F.array_min(F.array_intersect("before_in", "seed_in"))) & ~earlier)
+    near = F.exists("here", lambda x: F.exists("there", lambda y: F.abs(x - y["at_s"]) <= seconds))
+    apart = _dealt_join(mine.filter("NOT plain"), facts, keys, F.lit(True)).filter(near & ~earlier)
+    return reduce(DataFrame.unionByName, [x.select("seed_id", "fact_id") for x in (once, again, apart)])
+
+
 def session_window(links: DataFrame, episodes: DataFrame, seeds: DataFrame, seconds: int = 7200, most: int | None = None) -> DataFrame:
     """seed_id, fact_id of facts whose evidence lies in the same session within ``seconds`` of a seed's.
 
@@ -149,7 +179,10 @@ def session_window(links: DataFrame, episodes: DataFrame, seeds: DataFrame, seco
     """
     seen = episodes.filter("visibility_status = 'visible' AND searchable").select("episode_id", "session_id", "at_s")
     cited = open_links(links).filter("link_type = 'EVIDENCED_BY'").select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("episode_id"))
-    placed = cited.join(seen, "episode_id").select("fact_id", "session_id", "at_s").distinct()
+    placed = cited.join(seen, "episode_id").select("fact_id", "session_id", "at_s")
+    if most is None:
+        return _within(placed, seeds, seconds)
+    placed = placed.distinct()
     bucket = F.floor(F.col("at_s") / seconds)
     mine = placed.join(seeds.select("fact_id"), "fact_id", "left_semi").select(
         F.col("fact_id").alias("seed_id"), "session_id", F.col("at_s").alias("seed_s"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")

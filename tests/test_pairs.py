@@ -31,3 +31,15 @@ def test_sharing(spark, kind):
     held = {f: {e for g, e in links if g == f} for f in range(60)}
     assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in range(0, 60, 4) for b in range(60) if a != b and held[a] & held[b])
     assert unshuffled(got)
+
+
+@pytest.mark.parametrize("width", [10, 40, 400])
+def test_session_window(spark, width):
+    draw = random.Random(5)
+    moments = [draw.randint(-50, 300) for _ in range(30)]
+    links, rows, episodes, seeds = tables(spark, moments)
+    got = graph.session_window(rows, episodes, seeds, width)
+    seen = {f: [(e % 3, moments[e]) for g, e in links if g == f] for f in range(60)}
+    near = lambda a, b: any(s == t and abs(x - y) <= width for s, x in seen[a] for t, y in seen[b])
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in range(0, 60, 4) for b in range(60) if a != b and near(a, b))
+    assert unshuffled(got)
