@@ -347,13 +347,17 @@ def semantic_decision(
 
 
 def spend_weights(weights: Column, budget: float = 3.0, low: float = 0.1, high: float = 0.9) -> Column:
-    """Generated weights, clamped, spent in order from a budget: each takes what is left at most."""
-    start = F.struct(F.lit(float(budget)).alias("left"), F.array().cast("array<double>").alias("out"))
+    """Generated weights, clamped, spent in order from a budget: each takes what is left at most.
+
+    What is left is the budget less the sum of the weights before, so that it is rounded as a running sum is; taking weights
+    off one by one may end on the other side of ``low``.
+    """
+    start = F.struct(F.lit(0.0).alias("before"), F.array().cast("array<double>").alias("out"))
 
     def spend(acc: Column, w: Column) -> Column:
-        take = F.least(F.greatest(w, F.lit(low)), F.lit(high))
-        take = F.when(acc["left"] < low, 0.0).otherwise(F.least(take, acc["left"]))
-        return F.struct((acc["left"] - take).alias("left"), F.concat(acc["out"], F.array(take)).alias("out"))
+        most, left = F.least(F.greatest(w, F.lit(low)), F.lit(high)), F.lit(float(budget)) - acc["before"]
+        take = F.when(left < low, 0.0).otherwise(F.least(most, left))
+        return F.struct((acc["before"] + most).alias("before"), F.concat(acc["out"], F.array(take)).alias("out"))
 
     return F.aggregate(weights, start, spend, lambda acc: acc["out"])
 

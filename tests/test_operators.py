@@ -145,6 +145,12 @@ def test_spend_weights(spark):
     assert [round(x, 6) for x in got] == [0.9, 0.9, 0.9, 0.3, 0.0]
 
 
+def test_spent_weights_are_summed(spark):
+    """3.0 - 2.9000000000000004 is below 0.1; taking the four weights off one by one leaves a little more than 0.1."""
+    got = one(spark, analysis.spend_weights(F.array(*[F.lit(x) for x in (0.4, 0.9, 0.9, 0.7, 0.9)])))[0]
+    assert got == [0.4, 0.9, 0.9, 0.7, 0.0]
+
+
 def test_supersedes_insertion_keeps_the_length(spark):
     from engramix.operators import completion as K
 
