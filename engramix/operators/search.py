@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.scratch import stored
+from . import scan
 
 K1, B = 1.2, 0.75
 
@@ -48,40 +51,27 @@ def against_blocks(docs: DataFrame, queries: DataFrame, body) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
-    """query_id, node_id, score of all documents that hold a word of the query.
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
+    """query_id, node_id, score, rank_position of the k best documents of each query.
 
-    Only tokens that some query asks for are counted; a posting list is built once per
-    term for the whole batch. Documents' lengths travel with the postings.
+    Two passes: one counts documents, tokens, and the documents of each term that some query asks for; the other scores each document
+    where it is read (``scan.ranked``). The result, k rows a query, is stored.
     """
-    asked = query_terms(queries)
-    counted = docs.select(F.col(id_col).alias("node_id"), tokens(F.col(text_col)).alias("ts")).withColumn("len", F.size("ts"))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    postings = (
-        counted.select("node_id", "len", F.explode("ts").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("term", "node_id", "len")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # One row, from a global aggregate.
-    idf = df.join(F.broadcast(stats)).select("term", "avg_len", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = postings.join(idf, "term").select(
-        "term",
-        "node_id",
-        (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("w"),
-    )
-    return asked.join(weighted, "term").groupBy("query_id", "node_id").agg(F.round(F.sum("w"), 6).alias("score"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
-    """query_id, node_id, score, rank_position of the k best documents of each query."""
-    scored = bm25_scores(docs, queries, id_col, text_col)
-    order = [F.desc("score"), F.asc("node_id")]
-    if "updated_s" in docs.columns:  # of equal scores the latest
-        scored = scored.join(docs.select(F.col(id_col).alias("node_id"), "updated_s"), "node_id")
-        order.insert(1, F.desc_nulls_last("updated_s"))
-    return top_k(scored, k, order, "query_id").select("query_id", "node_id", "score", "rank_position")
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"))
+    late = F.col("updated_s").cast("bigint") if "updated_s" in docs.columns else F.lit(None).cast("bigint")
+    split = docs.select(F.col(id_col).alias("node_id"), late.alias("updated_s"), tokens(F.col(text_col)).alias("ts"))
+    # No token is empty: the empty one counts documents and their tokens.
+    each = split.select(F.size("ts").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("ts"))).alias("term"))
+    wanted = asked.select(F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).distinct()
+    counts = {r["term"]: (r["n"], r["tokens"]) for r in each.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).collect()}
+    n, total = counts.pop("", (0, 0))
+    weights = {t: math.log1p((n - df + 0.5) / (df + 0.5)) for t, (df, _) in counts.items()}
+    blocks = scan.blocks(asked, ["terms"])
+    if not weights or not blocks:
+        return docs.sparkSession.createDataFrame([], f"query_id bigint, node_id {split.schema['node_id'].dataType.simpleString()}, score double, rank_position bigint")
+    scored = scan.ranked(split, blocks, k, weights, K1, B, total / n)
+    best = top_k(scored, k, [F.desc("score"), F.desc_nulls_last("updated_s"), F.asc("node_id")], "query_id")
+    return stored(best.select("query_id", "node_id", "score", "rank_position"))
 
 
 def grams(text: Column, size: Column | int) -> Column:
@@ -120,25 +110,28 @@ def holding_fields(fields: DataFrame, terms: DataFrame) -> DataFrame:
     return met.filter(F.contains("field", "term")).select("field", "term")
 
 
+def term_counts(docs: DataFrame, queries: DataFrame, k: int | None, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame | None:
+    """``scan.held_terms`` of the documents and queries (query_id, q, terms); none without queries."""
+    blocks = scan.blocks(queries, ["q", "terms"])
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    late = F.col("updated_s").cast("bigint") if "updated_s" in docs.columns else F.lit(None).cast("bigint")
+    rows = docs.select(F.col(id_col).alias("node_id"), late.alias("updated_s"), low.alias("low"), T.fields(low).alias("fields"))
+    return scan.held_terms(rows, blocks, k) if blocks else None
+
+
 def containment(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", text_col: str = "search_text") -> DataFrame:
     """Score (terms + 1) for the whole query plus 1 for each term that a document holds as a substring.
 
-    A term has no blanks, so it lies inside one field of the text: terms meet the corpus' distinct fields
-    (``holding_fields``), and fields lead back to documents. Only documents with all terms of a
-    query are searched for the whole of it.
+    A term has no blanks, so it lies inside one field of the text: terms meet the different fields of a batch, where the documents are
+    read (``scan.held_terms``). Only documents with all terms of a query are searched for the whole of it.
     """
-    asked = queries.select("query_id", F.lower("query_text").alias("q"), T.fields(F.col("query_text")).alias("terms")).filter(F.size("terms") > 0)
-    rows = docs.select(F.col(id_col).alias("node_id"), "updated_s", F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    each = asked.select("query_id", F.explode("terms").alias("term"))
-    fields = rows.select("node_id", F.explode(T.fields(F.col("low"))).alias("field"))
-    held = fields.join(holding_fields(fields, each), "field").select("node_id", "term").distinct()
-    counted = held.join(each, "term").groupBy("query_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
-    sizes = asked.select("query_id", "q", F.size("terms").cast("bigint").alias("size"))
-    scored = counted.join(sizes, "query_id").select("query_id", "node_id", "n", "size", F.when(F.col("n") == F.col("size"), F.col("q")).alias("q"))
-    whole = scored.filter(F.col("q").isNotNull()).join(rows.select("node_id", "low"), "node_id").filter(F.contains("low", "q")).select("query_id", "node_id", (F.col("size") + 1).alias("bonus"))
-    total = scored.select("query_id", "node_id", "n").join(whole, ["query_id", "node_id"], "left").select("query_id", "node_id", (F.col("n") + F.coalesce("bonus", F.lit(0))).alias("score"))
-    dated = total.join(rows.select("node_id", "updated_s"), "node_id")
-    return top_k(dated, k, [F.desc("score"), F.desc_nulls_last("updated_s"), F.asc("node_id")], "query_id").select("query_id", "node_id", "score", "rank_position")
+    asked = queries.select("query_id", F.lower("query_text").alias("q"), T.fields(F.col("query_text")).alias("terms"))
+    held = term_counts(docs, asked, k, id_col, text_col)
+    if held is None:
+        return docs.sparkSession.createDataFrame([], f"query_id bigint, node_id {docs.schema[id_col].dataType.simpleString()}, score bigint, rank_position bigint")
+    total = held.select("query_id", "node_id", "updated_s", (F.col("n") + F.when(F.col("whole"), F.col("size") + 1).otherwise(0)).alias("score"))
+    best = top_k(total, k, [F.desc("score"), F.desc_nulls_last("updated_s"), F.asc("node_id")], "query_id")
+    return best.select("query_id", "node_id", "score", "rank_position")
 
 
 def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
