@@ -99,12 +99,12 @@ SELECT query_id, node_id, round(CASE WHEN contains(t, q) THEN 1.0 ELSE len(list_
 WHERE contains(t, q) OR len(list_filter(ts, lambda x: contains(t, x))) * 2 > len(ts)""",
     ("search_documents", "queries"))
 def text_match_score(m):
-    """All queries, in blocks, against all documents."""
+    """All queries, in blocks, against all documents. A text that holds the whole query holds all of its terms, so the terms decide."""
     asked = m.queries.select("query_id", T.normalize(F.col("query_text")).alias("q"), T.query_terms(F.col("query_text")).alias("terms"))
-    docs = m.search_documents.select("node_id", F.lower("search_text").alias("low"))
-    scores = F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), F.round(T.match_lowered(q["q"], q["terms"], F.col("low")), 6).alias("score")))
-    found = search.against_blocks(docs, asked, lambda met: met.select("node_id", F.inline(F.filter(scores, lambda s: s["score"] > 0.5))))
-    return found.select("query_id", "node_id", "score")
+    found = search.term_counts(m.search_documents, asked, None)
+    if found is None:
+        return m.spark.createDataFrame([], "query_id bigint, node_id bigint, score double")
+    return found.select("query_id", "node_id", F.round(F.col("n") / F.col("size"), 6).alias("score"))
 
 
 @query(
