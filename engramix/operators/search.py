@@ -57,21 +57,26 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", t
     Two passes: one counts documents, tokens, and the documents of each term that some query asks for; the other scores each document
     where it is read (``scan.ranked``). The result, k rows a query, is stored.
     """
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"))
     late = F.col("updated_s").cast("bigint") if "updated_s" in docs.columns else F.lit(None).cast("bigint")
     split = docs.select(F.col(id_col).alias("node_id"), late.alias("updated_s"), tokens(F.col(text_col)).alias("ts"))
+    return stored(best_by_tokens(split, queries, k).select("query_id", "node_id", "score", "rank_position"))
+
+
+def best_by_tokens(split: DataFrame, queries: DataFrame, k: int, n: int | None = None, total: int | None = None) -> DataFrame:
+    """``bm25`` of documents whose tokens are known (``split``: node_id, updated_s, ts); ``n`` and ``total``, if they are known too: documents and tokens."""
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"))
     # No token is empty: the empty one counts documents and their tokens.
-    each = split.select(F.size("ts").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("ts"))).alias("term"))
-    wanted = asked.select(F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).distinct()
+    every = F.array(F.lit("")) if n is None else F.array().cast("array<string>")
+    each = split.select(F.size("ts").alias("len"), F.explode(F.concat(every, F.array_distinct("ts"))).alias("term"))
+    wanted = asked.select(F.explode(F.concat(every, "terms")).alias("term")).distinct()
     counts = {r["term"]: (r["n"], r["tokens"]) for r in each.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).collect()}
-    n, total = counts.pop("", (0, 0))
+    n, total = counts.pop("", (0, 0)) if n is None else (n, total)
     weights = {t: math.log1p((n - df + 0.5) / (df + 0.5)) for t, (df, _) in counts.items()}
     blocks = scan.blocks(asked, ["terms"])
     if not weights or not blocks:
-        return docs.sparkSession.createDataFrame([], f"query_id bigint, node_id {split.schema['node_id'].dataType.simpleString()}, score double, rank_position bigint")
+        return split.sparkSession.createDataFrame([], f"query_id bigint, node_id {split.schema['node_id'].dataType.simpleString()}, score double, rank_position bigint")
     scored = scan.ranked(split, blocks, k, weights, K1, B, total / n)
-    best = top_k(scored, k, [F.desc("score"), F.desc_nulls_last("updated_s"), F.asc("node_id")], "query_id")
-    return stored(best.select("query_id", "node_id", "score", "rank_position"))
+    return top_k(scored, k, [F.desc("score"), F.desc_nulls_last("updated_s"), F.asc("node_id")], "query_id")
 
 
 def grams(text: Column, size: Column | int) -> Column:

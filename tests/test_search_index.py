@@ -43,6 +43,15 @@ def test_an_empty_index_finds_nothing(spark, tmp_path):
     assert index.bm25(spark.createDataFrame([(1, "ab")], QUERIES), 5).count() == 0
 
 
+def test_a_search_makes_no_pairs_of_queries_and_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"the {i % 7}") for i in range(300)], DOCS)
+    index = postings.build(docs, str(tmp_path / "a")).delete(docs.filter("node_id < 5").select("node_id"))
+    found = index.bm25(spark.createDataFrame([(i, f"the {i}") for i in range(9)], QUERIES), 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate [query_id" not in plan
+    assert rows(found, "query_id", "node_id")[:4] == [(0, 7), (0, 14), (1, 8), (1, 15)]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5])
 def test_grams_are_all_runs(spark, size):
     texts = ["", "a", "abcab", "aaaa", "日本語é😀x", "x" * 50]
