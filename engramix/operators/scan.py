@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCANNED, ROWS = 500, 256
+#: Pairs that a task holds before it drops those that are not among its best; stands for no date.
+HELD, NEVER = 200_000, -(2**62)
 
 
 def blocks(queries: DataFrame, columns: list[str]) -> list[list]:
@@ -50,16 +52,21 @@ def _tools(k: int | None):
         else:  # scores on a border of rounding are left to SQL's rounding
             scaled = score * 10.0**places
             place, border = np.floor(scaled + 0.5), np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3
-        order = np.lexsort((ids, -late, -place, border, query))
-        q, p, b = query[order], place[order], border[order]
-        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        # Equal scores on a border are rounded alike, so k of them are enough.
+        fine = np.where(border, -score, 0.0)
+        order = np.lexsort((ids, -late, fine, -place, border, query))
+        q, p, b, f = query[order], place[order], border[order], fine[order]
+        at = np.arange(len(q))
+        nth = at - np.searchsorted(q, q)
+        same = np.r_[False, (q[1:] == q[:-1]) & b[1:] & b[:-1] & (f[1:] == f[:-1])][: len(q)]
+        alike = at - np.maximum.accumulate(np.where(same, 0, at))
         kth = ~b & (nth == k - 1)
         last = np.full(int(q.max()) + 1 if len(q) else 0, -np.inf)
         last[q[kth]] = p[kth]
-        return order[np.where(b, p >= last[q] - 1, nth < k)]
+        return order[np.where(b, (p >= last[q] - 1) & (alike < k), nth < k)]
 
     def dates(batch):
-        return np.array([-(2**62) if x is None else x for x in batch.column("updated_s").to_pylist()], "int64")
+        return np.array([NEVER if x is None else x for x in batch.column("updated_s").to_pylist()], "int64")
 
     return table, first, dates
 
@@ -84,7 +91,18 @@ def ranked(docs: DataFrame, queries: list[list], k: int, weights: dict[str, floa
 
         def run(batches):
             known = pa.array(terms, pa.string())
-            asked = np.array(names)
+            asked, least, kind = np.array(names), np.full(len(names), -np.inf), None
+            held, n_held, most = [], 0, HELD
+
+            def cut():
+                """What may still be among the best of the task's rows so far, and each query's k-th score."""
+                q, ids, late, score = (np.concatenate(x) for x in zip(*held))
+                keep = first(q, score, 6, late, ids)
+                q, ids, late, score = q[keep], ids[keep], late[keep], score[keep]
+                low, many = np.full(len(names), np.inf), np.bincount(q, minlength=len(names))
+                np.minimum.at(low, q, score)
+                return (q, ids, late, score), np.where(many >= k, low, -np.inf)
+
             for whole in batches:
                 for start in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(start, ROWS)
@@ -96,12 +114,18 @@ def ranked(docs: DataFrame, queries: list[list], k: int, weights: dict[str, floa
                     cells, tf = np.unique(cells, return_counts=True)
                     row, term = np.divmod(cells, len(terms))
                     score = spread(n, row, term, idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[row] / mean)))
-                    i, q = np.nonzero(score)
-                    late, ids = dates(batch), batch.column("node_id").to_numpy(zero_copy_only=False)
-                    keep = first(q, score[i, q], 6, late[i], ids[i])
-                    i, q = i[keep], q[keep]
-                    at = pa.array(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(asked[q]), batch.column("node_id").take(at), batch.column("updated_s").take(at), pa.array(score[i, q])], ["query_id", "node_id", "updated_s", "score"])
+                    # Scores round to six places, so two units below the k-th nothing can come in.
+                    i, q = np.nonzero((score != 0) & (score >= least - 2e-6))
+                    late, ids, kind = dates(batch), batch.column("node_id").to_numpy(zero_copy_only=False), batch.schema.field("node_id").type
+                    held.append((q, ids[i], late[i], score[i, q]))
+                    n_held += len(i)
+                    if n_held > most:
+                        rest, least = cut()
+                        held, n_held = [rest], len(rest[0])
+                        most = max(HELD, 2 * n_held)
+            if held:
+                (q, ids, late, score), _ = cut()
+                yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(ids, kind), pa.array(late, mask=late == NEVER), pa.array(score)], ["query_id", "node_id", "updated_s", "score"])
 
         return run
 

@@ -62,16 +62,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "node_id", t
     return stored(best_by_tokens(split, queries, k).select("query_id", "node_id", "score", "rank_position"))
 
 
-def best_by_tokens(split: DataFrame, queries: DataFrame, k: int, n: int | None = None, total: int | None = None) -> DataFrame:
-    """``bm25`` of documents whose tokens are known (``split``: node_id, updated_s, ts); ``n`` and ``total``, if they are known too: documents and tokens."""
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"))
+def term_weights(split: DataFrame, asked: DataFrame, n: int | None = None, total: int | None = None) -> tuple[dict[str, float], int, int]:
+    """The idf of each asked term (``asked``: terms) that a document (``split``: ts) holds, the number of documents and of their tokens."""
     # No token is empty: the empty one counts documents and their tokens.
     every = F.array(F.lit("")) if n is None else F.array().cast("array<string>")
     each = split.select(F.size("ts").alias("len"), F.explode(F.concat(every, F.array_distinct("ts"))).alias("term"))
     wanted = asked.select(F.explode(F.concat(every, "terms")).alias("term")).distinct()
     counts = {r["term"]: (r["n"], r["tokens"]) for r in each.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("tokens")).collect()}
     n, total = counts.pop("", (0, 0)) if n is None else (n, total)
-    weights = {t: math.log1p((n - df + 0.5) / (df + 0.5)) for t, (df, _) in counts.items()}
+    return {t: math.log1p((n - df + 0.5) / (df + 0.5)) for t, (df, _) in counts.items()}, n, total
+
+
+def best_by_tokens(split: DataFrame, queries: DataFrame, k: int, n: int | None = None, total: int | None = None) -> DataFrame:
+    """``bm25`` of documents whose tokens are known (``split``: node_id, updated_s, ts); ``n`` and ``total``, if they are known too: documents and tokens."""
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("terms"))
+    weights, n, total = term_weights(split, asked, n, total)
     blocks = scan.blocks(asked, ["terms"])
     if not weights or not blocks:
         return split.sparkSession.createDataFrame([], f"query_id bigint, node_id {split.schema['node_id'].dataType.simpleString()}, score double, rank_position bigint")
