@@ -102,6 +102,14 @@ def _first_facts(rows: DataFrame, keys: list[str], most: int | None) -> DataFram
     return rows if most is None else top_k(rows, most + 1, [F.asc("fact_id")], keys, "__place").drop("__place")
 
 
+def _partners(mine: DataFrame, first: DataFrame, on: list[str], most: int) -> DataFrame:
+    """seed_id, fact_id of each seed's smallest partners; ``first`` as of ``_first_facts``. A key's facts meet its seeds as one list, and of a seed's
+    lists ``most`` + 1 ids stay, so no task holds a row for every pair."""
+    lists = first.groupBy(*on).agg(F.collect_list("fact_id").alias("ids"))
+    ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most + 1)
+    return mine.join(lists, on).groupBy("seed_id").agg(ids.alias("ids")).select("seed_id", F.explode("ids").alias("fact_id")).filter("seed_id <> fact_id")
+
+
 #: The facts of one key are dealt to so many tasks.
 DEALT = 16
 
@@ -138,7 +146,7 @@ def shared_evidence(links: DataFrame, episodes: DataFrame, seeds: DataFrame, mos
         return _sharing(cited.select("fact_id", F.col("episode_id").alias("key")), seeds)
     cited = cited.distinct()
     mine = cited.join(seeds.select("fact_id"), "fact_id", "left_semi").select(F.col("fact_id").alias("seed_id"), "episode_id")
-    return mine.join(_first_facts(cited, ["episode_id"], most), "episode_id").filter("seed_id <> fact_id").select("seed_id", "fact_id").distinct()
+    return _partners(mine, _first_facts(cited, ["episode_id"], most), ["episode_id"], most)
 
 
 def _within(placed: DataFrame, seeds: DataFrame, seconds: int) -> DataFrame:
@@ -175,7 +183,7 @@ def session_window(links: DataFrame, episodes: DataFrame, seeds: DataFrame, seco
     """seed_id, fact_id of facts whose evidence lies in the same session within ``seconds`` of a seed's.
 
     Both sides are cut into buckets of the window's width; the partner looks into three.
-    ``most`` as in ``shared_evidence``; the facts of one moment of a session are cut together.
+    ``most`` as in ``shared_evidence``; the facts of one moment of a session are cut together, and seeds of one moment share their partners.
     """
     seen = episodes.filter("visibility_status = 'visible' AND searchable").select("episode_id", "session_id", "at_s")
     cited = open_links(links).filter("link_type = 'EVIDENCED_BY'").select(F.col("from_id").alias("fact_id"), F.col("to_id").alias("episode_id"))
@@ -184,11 +192,11 @@ def session_window(links: DataFrame, episodes: DataFrame, seeds: DataFrame, seco
         return _within(placed, seeds, seconds)
     placed = placed.distinct()
     bucket = F.floor(F.col("at_s") / seconds)
-    mine = placed.join(seeds.select("fact_id"), "fact_id", "left_semi").select(
-        F.col("fact_id").alias("seed_id"), "session_id", F.col("at_s").alias("seed_s"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")
-    )
-    near = mine.join(_first_facts(placed, ["session_id", "at_s"], most).withColumn("bucket", bucket), ["session_id", "bucket"])
-    return near.filter((F.abs(F.col("at_s") - F.col("seed_s")) <= seconds) & (F.col("seed_id") != F.col("fact_id"))).select("seed_id", "fact_id").distinct()
+    mine = placed.join(seeds.select("fact_id"), "fact_id", "left_semi").select(F.col("fact_id").alias("seed_id"), "session_id", F.col("at_s").alias("seed_s"))
+    moments = mine.select("session_id", "seed_s").distinct().withColumn("bucket", F.floor(F.col("seed_s") / seconds)).withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
+    near = moments.join(_first_facts(placed, ["session_id", "at_s"], most).withColumn("bucket", bucket), ["session_id", "bucket"])
+    near = near.filter(F.abs(F.col("at_s") - F.col("seed_s")) <= seconds).select("session_id", "seed_s", "fact_id").distinct()
+    return _partners(mine, _first_facts(near, ["session_id", "seed_s"], most), ["session_id", "seed_s"], most)
 
 
 def shared_entities(links: DataFrame, entities: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
@@ -200,7 +208,7 @@ def shared_entities(links: DataFrame, entities: DataFrame, seeds: DataFrame, mos
         return _sharing(about.select("fact_id", F.col("entity_id").alias("key")), seeds)
     about = about.distinct()
     mine = about.join(seeds.select("fact_id"), "fact_id", "left_semi").select(F.col("fact_id").alias("seed_id"), "entity_id")
-    return mine.join(_first_facts(about, ["entity_id"], most), "entity_id").filter("seed_id <> fact_id").select("seed_id", "fact_id").distinct()
+    return _partners(mine, _first_facts(about, ["entity_id"], most), ["entity_id"], most)
 
 
 def linked_facts(links: DataFrame, seeds: DataFrame, types: list[str], outbound: bool = True, inbound: bool = True) -> DataFrame:

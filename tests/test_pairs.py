@@ -43,3 +43,25 @@ def test_session_window(spark, width):
     near = lambda a, b: any(s == t and abs(x - y) <= width for s, x in seen[a] for t, y in seen[b])
     assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in range(0, 60, 4) for b in range(60) if a != b and near(a, b))
     assert unshuffled(got)
+
+
+@pytest.mark.parametrize("way", ["evidence", "window", "entity"])
+def test_smallest_partners(spark, way):
+    draw = random.Random(9)
+    moments = [draw.randint(-50, 300) for _ in range(12)]
+    links, rows, episodes, seeds = tables(spark, moments, "ABOUT_ENTITY" if way == "entity" else "EVIDENCED_BY")
+    entities = episodes.select(F.col("episode_id").alias("entity_id"), "visibility_status", "searchable", F.lit("normal").alias("sensitivity_level"))
+    got = {"evidence": lambda: graph.shared_evidence(rows, episodes, seeds, 3), "window": lambda: graph.session_window(rows, episodes, seeds, 40, 3), "entity": lambda: graph.shared_entities(rows, entities, seeds, 3)}[way]()
+    held = {f: {e for g, e in links if g == f} for f in range(60)}
+    near = lambda d, e: d % 3 == e % 3 and abs(moments[d] - moments[e]) <= 40 if way == "window" else d == e
+    found = {}
+    for a, b in map(tuple, got.collect()):
+        found.setdefault(a, []).append(b)
+    for a in range(0, 60, 4):
+        every = [b for b in range(60) if b != a and any(near(d, e) for d in held[a] for e in held[b])]
+        # The smallest are there, and with the seed's own place one more at most.
+        mine = sorted(found.get(a, []))
+        assert mine[:3] == every[:3] and len(mine) <= 4 and set(mine) <= set(every)
+    # No row is made for a pair before a seed's lists are cut: nothing lies between the plan's last aggregate and its explode.
+    top = got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+    assert "Generate explode" in top and "Join" not in top
