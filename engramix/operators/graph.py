@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lookup
+from ..sources.scratch import stored
 from .search import top_k
 
 #: Fixed values of the engine's contract.
@@ -41,10 +42,37 @@ def adjacency(links: DataFrame) -> DataFrame:
     return links.select(F.explode(arrows).alias("e"), "link_type", "weight").select(F.col("e.s").alias("source"), F.col("e.t").alias("target"), "link_type", "weight")
 
 
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array(node_key("fact", "from_id"), node_key(F.col("to_type"), "to_id"))).alias("node"))
+
+
 def degrees(links: DataFrame) -> DataFrame:
     """node, degree: links at either end."""
-    ends = links.select(F.explode(F.array(node_key("fact", "from_id"), node_key(F.col("to_type"), "to_id"))).alias("node"))
-    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return _ends(links).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+
+
+#: Up to so many nodes go to the links' scan; more meet the links by a shuffle.
+SENT = 500_000
+
+
+def _among(rows: DataFrame, nodes: DataFrame, on: str) -> DataFrame:
+    """The rows whose ``on`` is one of ``nodes`` (stored, each once), with the nodes' columns."""
+    return rows.join(F.broadcast(nodes) if nodes.count() <= SENT else nodes, on)
+
+
+def shares(links: DataFrame, frontier: DataFrame) -> DataFrame:
+    """source, target, link_type, share (weight and hub damping) of the links that lead away from ``frontier`` (source, e) and may carry enough of its energy.
+
+    Energy reaches few nodes, so links are picked where they are read, and only the ends of picked ones are counted: neither the adjacency nor all
+    nodes' degrees are shuffled, sorted or held.
+    """
+    strongest = stored(frontier.groupBy("source").agg(F.max("e").alias("most")))
+    away = _among(adjacency(links).withColumn("w", edge_weight()).filter("w > 0"), strongest, "source")
+    # A degree is 1 at least, so it lets no more through.
+    away = stored(away.filter(F.col("most") * (DECAY * F.col("w")) >= LEAST_ENERGY).drop("most"))
+    degree = _among(_ends(links), stored(away.select(F.col("target").alias("node")).distinct()), "node").groupBy(F.col("node").alias("target")).agg(F.count(F.lit(1)).alias("degree"))
+    damped = DECAY * F.col("w") / F.pow(F.greatest(F.col("degree"), F.lit(1)).cast("double"), F.lit(HUB_POWER))
+    return away.join(degree, "target").select("source", "target", "link_type", damped.alias("share"))
 
 
 def activate(seeds: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
@@ -52,18 +80,14 @@ def activate(seeds: DataFrame, links: DataFrame, hops: int = 2) -> DataFrame:
     links; sums stay on the nodes, the largest single share travels on. The 80 strongest nodes of each
     query, without those below 0.01.
 
-    Every hop is one join with the adjacency, whose shares (weight and hub damping) are
-    fixed beforehand; energy falls by 0.7 a hop and below 0.01 goes no further, so
-    the frontier shrinks.
+    Every hop is one join with the shares of the links that leave its frontier; energy
+    falls by 0.7 a hop and below 0.01 goes no further, so the frontier shrinks. Hops are stored.
     """
-    shares = (
-        adjacency(links).withColumn("w", edge_weight()).filter("w > 0").join(degrees(links).withColumnRenamed("node", "target"), "target")
-        .select("source", "target", (DECAY * F.col("w") / F.pow(F.greatest(F.col("degree"), F.lit(1)).cast("double"), F.lit(HUB_POWER))).alias("share"))
-    )
-    gained = seeds.filter("energy > 0").groupBy("query_id", "node").agg(F.max("energy").alias("energy"))
+    gained = stored(seeds.filter("energy > 0").groupBy("query_id", "node").agg(F.max("energy").alias("energy")))
     frontier = gained.select("query_id", F.col("node").alias("source"), F.col("energy").alias("e"))
     for _ in range(hops):
-        moved = frontier.join(shares, "source").select("query_id", F.col("target").alias("node"), (F.col("e") * F.col("share")).alias("energy")).filter(F.col("energy") >= LEAST_ENERGY)
+        met = frontier.join(shares(links, frontier.select("source", "e")), "source").select("query_id", F.col("target").alias("node"), (F.col("e") * F.col("share")).alias("energy"))
+        moved = stored(met.filter(F.col("energy") >= LEAST_ENERGY))
         gained = gained.unionByName(moved)
         frontier = moved.groupBy("query_id", F.col("node").alias("source")).agg(F.max("energy").alias("e"))
     total = gained.groupBy("query_id", "node").agg(F.sum("energy").alias("sum")).filter(F.col("sum") >= LEAST_ENERGY).select("query_id", "node", F.round(F.least(F.lit(1.0), F.col("sum")), 6).alias("energy"))
@@ -76,16 +100,13 @@ def activation_chains(seeds: DataFrame, links: DataFrame, hops: int = 2) -> Data
     ``seeds`` as in ``activate``. A node's chain is that of its first hop with the largest share (then the smaller source, then the link type), appended to its
     source's own chain. Only the best arrival of each node is kept before chains are joined, so chains are as many as reached nodes.
     """
-    shares = (
-        adjacency(links).withColumn("w", edge_weight()).filter("w > 0").join(degrees(links).withColumnRenamed("node", "target"), "target")
-        .select("source", "target", "link_type", (DECAY * F.col("w") / F.pow(F.greatest(F.col("degree"), F.lit(1)).cast("double"), F.lit(HUB_POWER))).alias("share"))
-    )
-    start = seeds.filter("energy > 0").groupBy("query_id", "node").agg(F.max("energy").alias("energy"))
+    start = stored(seeds.filter("energy > 0").groupBy("query_id", "node").agg(F.max("energy").alias("energy")))
     frontier = start.select("query_id", F.col("node").alias("source"), F.col("energy").alias("e"))
     none = F.array().cast("array<string>")
     known = start.select("query_id", "node", F.lit(0).alias("hop"), F.array("node").alias("nodes"), none.alias("link_types"))
     for hop in range(1, hops + 1):
-        moved = frontier.join(shares, "source").select("query_id", "source", F.col("target").alias("node"), "link_type", (F.col("e") * F.col("share")).alias("energy")).filter(F.col("energy") >= LEAST_ENERGY)
+        met = frontier.join(shares(links, frontier.select("source", "e")), "source").select("query_id", "source", F.col("target").alias("node"), "link_type", (F.col("e") * F.col("share")).alias("energy"))
+        moved = stored(met.filter(F.col("energy") >= LEAST_ENERGY))
         fresh = moved.join(known.select("query_id", "node"), ["query_id", "node"], "left_anti")
         best = fresh.groupBy("query_id", "node").agg(F.min(F.struct((-F.round("energy", 9)).alias("e"), "source", "link_type")).alias("b"))
         chain = known.select("query_id", F.col("node").alias("source"), "nodes", "link_types")
