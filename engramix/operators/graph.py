@@ -131,6 +131,60 @@ def _partners(mine: DataFrame, first: DataFrame, on: list[str], most: int) -> Da
     return mine.join(lists, on).groupBy("seed_id").agg(ids.alias("ids")).select("seed_id", F.explode("ids").alias("fact_id")).filter("seed_id <> fact_id")
 
 
+#: A key's facts are cut into parts of about so many, a task's unit of work, and its seeds into lists of about so many; where pairs are looked at one by one, parts hold ``ROWS``.
+FACTS, SEEDS, ROWS = 1024, 64, 8192
+
+
+def _many(rows: DataFrame, on: list[str], size: int, name: str) -> DataFrame:
+    """The keys with more than ``size`` rows, and into how many parts (``name``) they go. One key for ``size`` rows at most, so they are sent to all tasks."""
+    counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > size)
+    return F.broadcast(counted.select(*on, F.ceil(F.col("__n") / size).cast("int").alias(name)))
+
+
+def _cut(rows: DataFrame, many: DataFrame, on: list[str], row_id: str, name: str) -> DataFrame:
+    """``rows`` with the part of its key that each belongs to; ``many`` as of ``_many``."""
+    return rows.join(many, on, "left").withColumn(name, F.pmod(F.xxhash64(row_id), F.coalesce(F.col(name), F.lit(1))).cast("int"))
+
+
+def _to_parts(mine: DataFrame, many: DataFrame, on: list[str]) -> DataFrame:
+    """Seeds' rows, once for each part of their key's facts.
+
+    Spark's estimates don't count rows that ``explode`` makes, so it would broadcast the copies through the driver: hence the hint. They are dealt to a fixed
+    number of tasks, as tasks with few bytes to read would be put together, though they make many rows.
+    """
+    copies = mine.join(many, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__part", F.lit(1)) - 1)))
+    return copies.repartition(int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on, "__part").hint("merge")
+
+
+def _crossed(mine: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """seed_id, fact_id of all pairs of a key. Parts of its facts meet lists of its seeds and are unfolded into rows in the same task, ``FACTS`` times ``SEEDS`` at once.
+
+    Pairs leave by list, fact by fact, so that files of them hold runs and repeated sequences and stay small.
+    """
+    many = _many(facts, on, FACTS, "__part")
+    parts = _cut(facts, many, on, "fact_id", "__part").groupBy(*on, "__part").agg(F.collect_list("fact_id").alias("facts"))
+    lists = _cut(mine, _many(mine, on, SEEDS, "__list"), on, "seed_id", "__list").groupBy(*on, "__list").agg(F.collect_list("seed_id").alias("seeds"))
+    met = _to_parts(lists, many, on).join(parts, [*on, "__part"]).select("seeds", F.explode("facts").alias("fact_id"))
+    return met.select(F.explode("seeds").alias("seed_id"), "fact_id").filter("seed_id <> fact_id")
+
+
+def _checked(mine: DataFrame, facts: DataFrame, on: list[str], keep: Column) -> DataFrame:
+    """seed_id, fact_id of the pairs of a key that ``keep`` lets through, a part of its facts at a time."""
+    many = _many(facts, on, ROWS, "__part")
+    left, right = _to_parts(mine, many, on).alias("l"), _cut(facts, many, on, "fact_id", "__part").alias("r")
+    # ``keep`` is a part of the join's condition, so pairs that it rejects are never made into rows.
+    both = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "__part"]]
+    return left.join(right, reduce(Column.__and__, [*both, keep, F.col("seed_id") != F.col("fact_id")])).select("seed_id", "fact_id")
+
+
+def _pairs(mine: DataFrame, facts: DataFrame, on: list[str], keep: Column) -> DataFrame:
+    """seed_id, fact_id of the pairs that share a key. ``facts`` have a kind at each key; ``mine`` names the kinds whose facts it meets whatever they hold (``crosses``),
+    and those of which ``keep`` is asked (``checks``)."""
+    on = [*on, "kind"]
+    crossed = _crossed(mine.withColumn("kind", F.explode("crosses")).select("seed_id", *on), facts.select("fact_id", *on), on)
+    return crossed.unionByName(_checked(mine.withColumn("kind", F.explode("checks")).drop("crosses", "checks"), facts, on, keep))
+
+
 #: The facts of one key are dealt to so many tasks.
 DEALT = 16
 
@@ -182,22 +236,20 @@ def _within(placed: DataFrame, seeds: DataFrame, seconds: int) -> DataFrame:
     here = F.transform(F.filter("moments", lambda m: spot(m) == F.col("s")), lambda m: m["at_s"])
     facts = spots.select("fact_id", "s.session_id", "s.bucket", here.alias("here"), F.filter("moments", lambda m: spot(m) < F.col("s")).alias("before"))
     facts = facts.withColumn("before_in", F.array_distinct(F.col("before.session_id")))
+    kind = F.when(F.size("before") == 0, "first").when(F.array_contains("before_in", F.col("session_id")), "again").otherwise("later")
     mine = listed.join(seeds.select("fact_id").distinct(), "fact_id", "left_semi").withColumnRenamed("fact_id", "seed_id").withColumn("seed_in", F.array_distinct("moments.session_id"))
     around = F.flatten(F.transform("moments", lambda m: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.struct(m["session_id"].alias("session_id"), (F.floor(m["at_s"] / seconds) + d).alias("bucket")))))
     mine = mine.withColumn("s", F.explode(F.array_distinct(around))).select("seed_id", "moments", "seed_in", "s.session_id", "s.bucket")
     inside = lambda m: F.floor(m["at_s"] / seconds) - F.col("bucket")
     there = F.filter("moments", lambda m: (m["session_id"] == F.col("session_id")) & (F.abs(inside(m)) <= 1))
     mine = mine.withColumn("there", there).withColumn("plain", F.forall("there", lambda m: inside(m) == 0))
-    keys, plain = ["session_id", "bucket"], mine.filter("plain")
+    # A plain seed is near all facts of the bucket; those that were in no earlier one, or only in sessions that the seed was not in, need no look.
+    only, kinds = F.size("seed_in") == 1, lambda *names: F.array(*map(F.lit, names))
+    mine = mine.withColumn("crosses", F.when(F.col("plain") & only, kinds("first", "later")).when(F.col("plain"), kinds("first")))
+    mine = mine.withColumn("checks", F.when(F.col("plain") & only, kinds("again")).when(F.col("plain"), kinds("later", "again")).otherwise(kinds("first", "later", "again")))
     earlier = F.exists("before", lambda b: F.exists("moments", lambda y: (y["session_id"] == b["session_id"]) & (F.abs(y["at_s"] - b["at_s"]) <= seconds)))
-    first = (F.size("before_in") == 0) | ~F.arrays_overlap("before_in", "seed_in")
-    once = _dealt_join(plain.select("seed_id", "seed_in", *keys), facts.select("fact_id", "before_in", *keys), keys, first)
-    # Plain seeds and facts that also share an earlier session, led together by the first such session.
-    again = plain.withColumn("other", F.explode("seed_in")), facts.withColumn("other", F.explode("before_in"))
-    again = _dealt_join(*again, [*keys, "other"], F.lit(True)).filter((F.col("l.other") == F.array_min(F.array_intersect("before_in", "seed_in"))) & ~earlier)
     near = F.exists("here", lambda x: F.exists("there", lambda y: F.abs(x - y["at_s"]) <= seconds))
-    apart = _dealt_join(mine.filter("NOT plain"), facts, keys, F.lit(True)).filter(near & ~earlier)
-    return reduce(DataFrame.unionByName, [x.select("seed_id", "fact_id") for x in (once, again, apart)])
+    return _pairs(mine, facts.withColumn("kind", kind), ["session_id", "bucket"], (F.col("plain") | near) & (~F.arrays_overlap("before_in", "seed_in") | ~earlier))
 
 
 def session_window(links: DataFrame, episodes: DataFrame, seeds: DataFrame, seconds: int = 7200, most: int | None = None) -> DataFrame:

@@ -45,6 +45,23 @@ def test_session_window(spark, width):
     assert unshuffled(got)
 
 
+def final_plan(pairs):
+    """What has run, without the parts of the plan that were given up meanwhile."""
+    pairs.collect()
+    return pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_copies_are_not_broadcast(spark):
+    """Seeds' copies for the parts of a hot moment never pass through the driver, however small Spark takes them to be."""
+    facts, hot = 3000, 2
+    rows = spark.range(facts).select(F.col("id").alias("from_id"), (F.col("id") % hot).alias("to_id"), F.lit("EVIDENCED_BY").alias("link_type"), F.lit("visible").alias("visibility_status"), F.lit(True).alias("searchable"))
+    episodes = spark.createDataFrame([(e, e, 50 * e) for e in range(hot)], "episode_id long, session_id long, at_s long").withColumns({"visibility_status": F.lit("visible"), "searchable": F.lit(True)})
+    got = graph.session_window(rows, episodes, spark.range(0, facts, 500).withColumnRenamed("id", "fact_id"), 40)
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(0, facts, 500) for b in range(a % hot, facts, hot) if a != b]
+    joins = [x for x in final_plan(got).splitlines() if "Join" in x and "__part" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 @pytest.mark.parametrize("way", ["evidence", "window", "entity"])
 def test_smallest_partners(spark, way):
     draw = random.Random(9)
