@@ -185,19 +185,6 @@ def _pairs(mine: DataFrame, facts: DataFrame, on: list[str], keep: Column) -> Da
     return crossed.unionByName(_checked(mine.withColumn("kind", F.explode("checks")).drop("crosses", "checks"), facts, on, keep))
 
 
-#: The facts of one key are dealt to so many tasks.
-DEALT = 16
-
-
-def _dealt_join(mine: DataFrame, placed: DataFrame, on: list[str], keep: Column) -> DataFrame:
-    """Inner join of seeds' rows and facts' rows; a key's facts are dealt to ``DEALT`` parts, and the key's seeds go to each of them."""
-    parts = mine.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
-    dealt = placed.withColumn("__part", F.pmod(F.xxhash64("fact_id"), F.lit(DEALT)).cast("int"))
-    # ``keep`` is a part of the join's condition, so pairs that it rejects are never made into rows.
-    both = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "__part"]]
-    return parts.alias("l").join(dealt.alias("r"), reduce(Column.__and__, [*both, keep, F.col("seed_id") != F.col("fact_id")]))
-
-
 def _sharing(held: DataFrame, seeds: DataFrame) -> DataFrame:
     """seed_id, fact_id of facts (``held``: fact_id, key) that share a key with a seed, each pair once.
 
@@ -206,8 +193,10 @@ def _sharing(held: DataFrame, seeds: DataFrame) -> DataFrame:
     listed = held.groupBy("fact_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     placed = listed.select("fact_id", "keys", F.posexplode("keys").alias("at", "key")).select("fact_id", "key", F.slice("keys", F.lit(1), F.col("at")).alias("before"))
     mine = placed.join(seeds.select("fact_id").distinct(), "fact_id", "left_semi").select(F.col("fact_id").alias("seed_id"), "key", F.col("before").alias("seed_before"))
-    first = (F.size("before") == 0) | (F.size("seed_before") == 0) | ~F.arrays_overlap("before", "seed_before")
-    return _dealt_join(mine, placed, ["key"], first).select("seed_id", "fact_id")
+    # Only facts and seeds that both hold a smaller key may be a pair of that one.
+    new, first, later = F.size("seed_before") == 0, F.lit("first"), F.lit("later")
+    mine = mine.withColumns({"crosses": F.when(new, F.array(first, later)).otherwise(F.array(first)), "checks": F.when(~new, F.array(later))})
+    return _pairs(mine, placed.withColumn("kind", F.when(F.size("before") == 0, first).otherwise(later)), ["key"], ~F.arrays_overlap("before", "seed_before"))
 
 
 def shared_evidence(links: DataFrame, episodes: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:

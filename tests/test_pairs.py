@@ -1,6 +1,7 @@
 """Pairs of facts: each once, without a shuffle of the pairs, against a plain comparison of all."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,20 @@ def test_copies_are_not_broadcast(spark):
     assert joins and all("SortMergeJoin" in x for x in joins)
 
 
+def test_written_pairs_stay_small(spark, tmp_path):
+    """A key's pairs come together and in order, so files hold them in a fraction of a byte each."""
+    facts, keys = 8000, 40
+    rows = spark.range(facts).select(F.col("id").alias("from_id"), F.pmod(F.xxhash64("id"), F.lit(keys)).alias("to_id"), F.lit("EVIDENCED_BY").alias("link_type"), F.lit("visible").alias("visibility_status"), F.lit(True).alias("searchable"))
+    episodes = spark.range(keys).select(F.col("id").alias("episode_id"), F.lit("visible").alias("visibility_status"), F.lit(True).alias("searchable"))
+    graph.shared_evidence(rows, episodes, spark.range(0, facts, 4).withColumnRenamed("id", "fact_id")).write.parquet(str(tmp_path / "pairs"))
+    held, led = Counter(r["to_id"] for r in rows.collect()), Counter(r["to_id"] for r in rows.filter("from_id % 4 = 0").collect())
+    expected = sum(led[k] * (held[k] - 1) for k in held)
+    back = spark.read.parquet(str(tmp_path / "pairs"))
+    assert back.count() == back.distinct().count() == expected
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 0.6 * expected, size / expected
+
+
 @pytest.mark.parametrize("way", ["evidence", "window", "entity"])
 def test_smallest_partners(spark, way):
     draw = random.Random(9)
