@@ -146,14 +146,14 @@ def _cut(rows: DataFrame, many: DataFrame, on: list[str], row_id: str, name: str
     return rows.join(many, on, "left").withColumn(name, F.pmod(F.xxhash64(row_id), F.coalesce(F.col(name), F.lit(1))).cast("int"))
 
 
-def _to_parts(mine: DataFrame, many: DataFrame, on: list[str]) -> DataFrame:
-    """Seeds' rows, once for each part of their key's facts.
+def _to_parts(rows: DataFrame, many: DataFrame, on: list[str], name: str, by: list[str]) -> DataFrame:
+    """``rows``, once for each part (column ``name``) that the other side of their key is cut into, for a join by ``by``.
 
     Spark's estimates don't count rows that ``explode`` makes, so it would broadcast the copies through the driver: hence the hint. They are dealt to a fixed
     number of tasks, as tasks with few bytes to read would be put together, though they make many rows.
     """
-    copies = mine.join(many, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__part", F.lit(1)) - 1)))
-    return copies.repartition(int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on, "__part").hint("merge")
+    copies = rows.join(many, on, "left").withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(name), F.lit(1)) - 1)))
+    return copies.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).hint("merge")
 
 
 def _crossed(mine: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
@@ -164,16 +164,18 @@ def _crossed(mine: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
     many = _many(facts, on, FACTS, "__part")
     parts = _cut(facts, many, on, "fact_id", "__part").groupBy(*on, "__part").agg(F.collect_list("fact_id").alias("facts"))
     lists = _cut(mine, _many(mine, on, SEEDS, "__list"), on, "seed_id", "__list").groupBy(*on, "__list").agg(F.collect_list("seed_id").alias("seeds"))
-    met = _to_parts(lists, many, on).join(parts, [*on, "__part"]).select("seeds", F.explode("facts").alias("fact_id"))
+    by = [*on, "__part"]
+    met = _to_parts(lists, many, on, "__part", by).join(parts, by).select("seeds", F.explode("facts").alias("fact_id"))
     return met.select(F.explode("seeds").alias("seed_id"), "fact_id").filter("seed_id <> fact_id")
 
 
 def _checked(mine: DataFrame, facts: DataFrame, on: list[str], keep: Column) -> DataFrame:
-    """seed_id, fact_id of the pairs of a key that ``keep`` lets through, a part of its facts at a time."""
-    many = _many(facts, on, ROWS, "__part")
-    left, right = _to_parts(mine, many, on).alias("l"), _cut(facts, many, on, "fact_id", "__part").alias("r")
+    """seed_id, fact_id of the pairs of a key that ``keep`` lets through, a part of its facts and one of its seeds at a time; fact by fact as in ``_crossed``."""
+    many, led, by = _many(facts, on, ROWS, "__part"), _many(mine, on, ROWS, "__list"), [*on, "__part", "__list"]
+    left = _to_parts(_cut(facts, many, on, "fact_id", "__part"), led, on, "__list", by).alias("l")
+    right = _to_parts(_cut(mine, led, on, "seed_id", "__list"), many, on, "__part", by).alias("r")
     # ``keep`` is a part of the join's condition, so pairs that it rejects are never made into rows.
-    both = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in [*on, "__part"]]
+    both = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in by]
     return left.join(right, reduce(Column.__and__, [*both, keep, F.col("seed_id") != F.col("fact_id")])).select("seed_id", "fact_id")
 
 
